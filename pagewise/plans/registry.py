@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewise.operators import dashboard as dash
 from pagewise.operators import progress as prog
 from pagewise.sources.binding import driver_log
 
@@ -27,3 +28,23 @@ def register(name: str):
 @register("reading_progress")
 def q_reading_progress(spark, sf_dir):
     return prog.reading_progress(driver_log(spark, sf_dir))
+
+
+def _dash(name):
+    fn = getattr(dash, name)
+    QUERIES[name] = lambda spark, sf_dir: fn(driver_log(spark, sf_dir))
+
+
+for _n in (
+    "total_spend",
+    "reading_totals",
+    "last_read",
+    "monthly_cumulative",
+    "monthly_series",
+    "genre_counts",
+    "genre_series",
+    "record_count",
+    "dashboard",
+    "progress_caption",
+):
+    _dash(_n)
