@@ -48,3 +48,25 @@ for _n in (
     "progress_caption",
 ):
     _dash(_n)
+
+
+from pagewise.operators import lists as lst  # noqa: E402
+
+for _n in ("wish_list", "finished_list", "book_detail", "record_log", "paged_log"):
+    QUERIES[_n] = (lambda fn: lambda spark, sf_dir: fn(driver_log(spark, sf_dir)))(getattr(lst, _n))
+
+
+@register("shelf_listing_alt")
+def q_shelf_listing_alt(spark, sf_dir):
+    return lst.shelf_listing(driver_log(spark, sf_dir), scheme="alt")
+
+
+@register("reader_scan")
+def q_reader_scan(spark, sf_dir):
+    return lst.reader_scan(spark, driver_log(spark, sf_dir).reader)
+
+
+@register("reader_profile")
+def q_reader_profile(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    return lst.reader_profile(spark, log.reader, log.shelf.select("user_id"))
