@@ -70,3 +70,129 @@ def q_reader_scan(spark, sf_dir):
 def q_reader_profile(spark, sf_dir):
     log = driver_log(spark, sf_dir)
     return lst.reader_profile(spark, log.reader, log.shelf.select("user_id"))
+
+
+# -- change application ------------------------------------------------------
+# Inputs of the write-side operators are derived from the driver tables: rows
+# dated before CUTOFF form the stored state, later rows arrive as form posts
+# (all text), so the appended state must equal the full binding.
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from pagewise.operators import changes as chg  # noqa: E402
+from pagewise.sources.binding import shelf_from, table  # noqa: E402
+from pagewise.sources.tables import write_version  # noqa: E402
+
+CUTOFF = "1998-01-01"
+
+
+def _cut():
+    return F.to_date(F.lit(CUTOFF))
+
+
+@register("append_records")
+def q_append_records(spark, sf_dir):
+    rec = driver_log(spark, sf_dir).record
+    before = F.col("r_date") < _cut()
+    base = rec.filter(before)
+    form = rec.filter(~before | F.col("r_date").isNull()).select(
+        F.col("user_id").cast("string").alias("user_id"),
+        F.col("b_isbn").cast("string").alias("b_isbn"),
+        F.date_format("r_date", "yyyy-MM-dd").alias("readDate"),
+        F.col("r_page").cast("string").alias("page"),
+    )
+    return write_version(spark, chg.add_records(base, form), "record")
+
+
+@register("append_books")
+def q_append_books(spark, sf_dir):
+    orders, lineitem = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    before = F.col("o_orderdate") < _cut()
+    base = shelf_from(orders.filter(before), lineitem)
+    new = shelf_from(orders.filter(~before | F.col("o_orderdate").isNull()), lineitem, with_dates=False)
+    form = new.select(
+        *[F.col(c).cast("string").alias(c) for c in (
+            "user_id", "b_isbn", "b_title", "b_author", "b_dicount", "b_page", "b_category", "b_memo", "b_image")],
+        F.lit("").alias("b_mlday"),
+        F.lit("").alias("b_mlpage"),
+    )
+    return write_version(spark, chg.add_books(base, form), "shelf")
+
+
+@register("append_reader")
+def q_append_reader(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.min("o_orderdate").alias("_first")
+    )
+    r = log.reader.join(first, "user_id", "left")
+    before = F.col("_first") < _cut()
+    base = r.filter(before).drop("_first")
+    form = r.filter(~before | F.col("_first").isNull()).select(
+        F.col("user_id").cast("string").alias("user_id"), "user_nm", "user_email"
+    )
+    return write_version(spark, chg.add_reader(base, form), "reader")
+
+
+@register("update_profile")
+def q_update_profile(spark, sf_dir):
+    reader = driver_log(spark, sf_dir).reader
+    changes = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 0).select(
+        F.col("c_custkey").alias("user_id"),
+        F.upper("c_name").alias("user_nm"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit(None).cast("string"))
+        .otherwise(F.lower("c_mktsegment"))
+        .alias("user_email"),
+    )
+    return chg.update_profile(reader, changes)
+
+
+@register("refresh_dates")
+def q_refresh_dates(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    stale = shelf_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), with_dates=False)
+    return chg.refresh_dates(stale, log.record)
+
+
+@register("mark_finished")
+def q_mark_finished(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    return chg.mark_finished(log.shelf, log.record)
+
+
+@register("unmark_finished")
+def q_unmark_finished(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    return chg.unmark_finished(log.shelf, log.record)
+
+
+def _wish_keys(log):
+    return log.shelf.filter(F.col("b_end_yn") == "N").select("user_id", "b_isbn")
+
+
+@register("remove_books")
+def q_remove_books(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    return chg.remove_books(log.shelf, _wish_keys(log), log.record, cascade=True)[0]
+
+
+@register("remove_books_records")
+def q_remove_books_records(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    return chg.remove_books(log.shelf, _wish_keys(log), log.record, cascade=True)[1]
+
+
+@register("remove_records")
+def q_remove_records(spark, sf_dir):
+    log = driver_log(spark, sf_dir)
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    keys = (
+        li.filter(F.col("l_returnflag") == "R")
+        .join(o, li["l_orderkey"] == o["o_orderkey"])
+        .select(
+            F.col("o_custkey").alias("user_id"),
+            F.col("l_orderkey").alias("b_isbn"),
+            F.date_format("l_shipdate", "yyyy-MM-dd").alias("rday"),
+        )
+    )
+    return chg.remove_records(log.record, keys)
