@@ -196,3 +196,26 @@ def q_remove_records(spark, sf_dir):
         )
     )
     return chg.remove_records(log.record, keys)
+
+
+# -- replay of a change log ----------------------------------------------------
+from pagewise.operators import replay as rp  # noqa: E402
+from pagewise.sources.binding import change_log  # noqa: E402
+
+
+def _replay_inputs(spark, sf_dir):
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    stored, log = change_log(li, o, CUTOFF)
+    return driver_log(spark, sf_dir).shelf, stored, log
+
+
+@register("replay_changes")
+def q_replay_changes(spark, sf_dir):
+    shelf, stored, log = _replay_inputs(spark, sf_dir)
+    return rp.replay_shelf(shelf, stored, log)
+
+
+@register("replay_records")
+def q_replay_records(spark, sf_dir):
+    _, stored, log = _replay_inputs(spark, sf_dir)
+    return rp.replay_records(stored, log)

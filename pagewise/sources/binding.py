@@ -127,3 +127,41 @@ def pooled_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
         "inner",
     )
     return ReadingLog(reader_from(customer), shelf, record)
+
+
+def change_log(lineitem: DataFrame, orders: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
+    """Stored records and an ordered change log derived from line items.
+
+    Items shipped before ``cutoff`` are the stored records; later items
+    arrive as 'add' entries; every returned item (flag 'R') also arrives as a
+    'del' of its (book, day), after all adds of its order.  ``seq`` is unique
+    per reader: order key * 2^16 + position of the line inside its order
+    (+ 2^15 for deletes).  Line numbers repeat inside an order, so the
+    position is a row number over the order's own lines — a small group.
+    """
+    from pyspark.sql import Window
+
+    o = orders.select("o_orderkey", "o_custkey")
+    pos = F.row_number().over(
+        Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    )
+    li = lineitem.withColumn("_pos", pos)
+    base = li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner").select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("l_orderkey").alias("b_isbn"),
+        F.col("l_shipdate").cast("date").alias("r_date"),
+        F.col("l_quantity").cast("long").alias("r_page"),
+        F.col("_pos").cast("long").alias("_ln"),
+        F.col("l_returnflag").alias("_rf"),
+    )
+    before = F.col("r_date") < F.to_date(F.lit(cutoff))
+    stored = base.filter(before).select("user_id", "b_isbn", "r_date", "r_page")
+    adds = base.filter(~before | F.col("r_date").isNull()).select(
+        "user_id", "b_isbn", (F.col("b_isbn") * 65536 + F.col("_ln")).alias("seq"), F.lit("add").alias("op"),
+        "r_date", "r_page",
+    )
+    dels = base.filter(F.col("_rf") == "R").select(
+        "user_id", "b_isbn", (F.col("b_isbn") * 65536 + 32768 + F.col("_ln")).alias("seq"), F.lit("del").alias("op"),
+        "r_date", F.lit(None).cast("long").alias("r_page"),
+    )
+    return stored, adds.unionByName(dels)
