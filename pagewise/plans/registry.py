@@ -219,3 +219,23 @@ def q_replay_changes(spark, sf_dir):
 def q_replay_records(spark, sf_dir):
     _, stored, log = _replay_inputs(spark, sf_dir)
     return rp.replay_records(stored, log)
+
+
+# -- streaming form of the replay ----------------------------------------------
+import uuid  # noqa: E402
+
+from pagewise.session import state_root  # noqa: E402
+from pagewise.streaming.progress_stream import ProgressStream  # noqa: E402
+
+
+@register("stream_progress")
+def q_stream_progress(spark, sf_dir):
+    """Land the change log as files (each reader's entries in one file, so the
+    arrival order is the log order) and run the stream to completion."""
+    shelf, stored, log = _replay_inputs(spark, sf_dir)
+    run = uuid.uuid4().hex
+    src = f"{state_root(spark)}/landing/changes-{run}"
+    log.repartition(4, "user_id").sortWithinPartitions("user_id", "seq").write.parquet(src)
+    ps = ProgressStream(spark, f"progress-{run}", shelf, stored)
+    ps.run_available(src, max_files_per_trigger=1)
+    return ps.current()[0]
