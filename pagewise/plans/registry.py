@@ -239,3 +239,31 @@ def q_stream_progress(spark, sf_dir):
     ps = ProgressStream(spark, f"progress-{run}", shelf, stored)
     ps.run_available(src, max_files_per_trigger=1)
     return ps.current()[0]
+
+
+# -- catalog ---------------------------------------------------------------------
+from pagewise.operators import catalog as cat  # noqa: E402
+from pagewise.sources import catalog as catsrc  # noqa: E402
+
+SEARCH_TERM = "the"
+
+
+@register("catalog_flatten")
+def q_catalog_flatten(spark, sf_dir):
+    """Pack ``part`` into search payloads, land them as JSON text, flatten back."""
+    payloads = catsrc.pack_payloads(catsrc.part_items(table(spark, sf_dir, "part")))
+    path = f"{state_root(spark)}/landing/catalog-{uuid.uuid4().hex}"
+    payloads.select("payload").write.text(path)
+    return catsrc.flatten_items(catsrc.read_payloads(spark, path))
+
+
+@register("catalog_search")
+def q_catalog_search(spark, sf_dir):
+    return cat.search(table(spark, sf_dir, "documents"), SEARCH_TERM, k=10)
+
+
+@register("catalog_lookup")
+def q_catalog_lookup(spark, sf_dir):
+    items = catsrc.part_items(table(spark, sf_dir, "part")).drop("_key")
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("isbn"))
+    return cat.lookup(items, keys)
