@@ -267,3 +267,77 @@ def q_catalog_lookup(spark, sf_dir):
     items = catsrc.part_items(table(spark, sf_dir, "part")).drop("_key")
     keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("isbn"))
     return cat.lookup(items, keys)
+
+
+# -- reading-time model ------------------------------------------------------------
+from pagewise.functions.numeric import half_up_js  # noqa: E402
+from pagewise.operators import ml  # noqa: E402
+from pagewise.sources.binding import pooled_log  # noqa: E402
+
+
+@register("training_set")
+def q_training_set(spark, sf_dir):
+    return ml.training_set(pooled_log(spark, sf_dir))
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return ml.split(ml.training_set(pooled_log(spark, sf_dir)))
+
+
+@register("metric_formulae")
+def q_metric_formulae(spark, sf_dir):
+    """MAE/RMSE/R^2 formulae on a fixed column pair (exactly checkable)."""
+    rows = ml.training_rows(pooled_log(spark, sf_dir))
+    return ml.regression_metrics(rows, label="total_days", prediction="days_since_last_read")
+
+
+@register("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    return ml.fit_and_evaluate(pooled_log(spark, sf_dir))[1]
+
+
+@register("model_compare")
+def q_model_compare(spark, sf_dir):
+    return ml.compare_models(pooled_log(spark, sf_dir))
+
+
+_MODEL_PATHS: dict[tuple[str, str], str] = {}
+
+
+def _fitted(spark, sf_dir, log):
+    """Fit once per application and data set, store, then load the stored
+    model (the original trained offline and loaded the saved files)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODEL_PATHS:
+        model, _ = ml.fit_and_evaluate(log)
+        _MODEL_PATHS[key] = ml.save_model(spark, model)
+    return ml.load_model(_MODEL_PATHS[key])
+
+
+@register("predict_plan")
+def q_predict_plan(spark, sf_dir):
+    log = pooled_log(spark, sf_dir)
+    return ml.predict_shelf(_fitted(spark, sf_dir, log), log.shelf)
+
+
+@register("write_back_predictions")
+def q_write_back_predictions(spark, sf_dir):
+    log = pooled_log(spark, sf_dir)
+    plan = ml.predict_shelf(_fitted(spark, sf_dir, log), log.shelf)
+    return ml.write_back(log.shelf, plan)
+
+
+@register("plan_from_days")
+def q_plan_from_days(spark, sf_dir):
+    """The derived plan with the observed days standing in for the prediction."""
+    rows = ml.training_rows(pooled_log(spark, sf_dir))
+    pages_text = F.col("b_page").cast("string")  # the request carries text
+    plan = rows.select(
+        "b_isbn", *ml.reading_plan(F.col("total_days").cast("float"), pages_text.cast("int"))
+    )
+    return plan.select(
+        "*",
+        half_up_js("predicted_total_days").alias("ml_days"),
+        half_up_js("average_pages_per_session").alias("ml_page"),
+    )
