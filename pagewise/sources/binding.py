@@ -103,13 +103,56 @@ def shelf_from(orders: DataFrame, lineitem: DataFrame, with_dates: bool = True)
     )
 
 
-def driver_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
-    """Binding A over the driver tables."""
+def bound_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
+    """Binding A over the driver tables, as lazy views (no materialisation)."""
     customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     return ReadingLog(reader_from(customer), shelf_from(orders, lineitem), record_from(lineitem, orders))
 
 
+_NATIVE: dict[tuple[str, str, str], ReadingLog] = {}
+
+
+def _materialise(spark: SparkSession, sf_dir: str, kind: str, build) -> ReadingLog:
+    """Store a binding once per application as native parquet tables under the
+    shared state root and serve every later query from them — the layout a
+    deployment has (the reading tables are stored tables, not views over
+    another schema).  Files are clustered by (user_id, b_isbn)."""
+    import hashlib
+
+    from pagewise.session import state_root
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
+    if key not in _NATIVE:
+        tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
+        root = f"{state_root(spark)}/native/{kind}-{tag}"
+        log = build(spark, sf_dir)
+        out = {}
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for name in ("reader", "shelf", "record"):
+            df = getattr(log, name)
+            order = [c for c in ("user_id", "b_isbn", "r_date") if c in df.columns]
+            # Round-robin files (balanced whatever the key skew; Spark sorts
+            # before it so a retried task writes the same rows), each sorted
+            # by the clustering key: row-group min/max stats then prune a
+            # single-reader filter without a sampling pass over the input.
+            df = df.repartition(n).sortWithinPartitions(*order)
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            out[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        _NATIVE[key] = ReadingLog(out["reader"], out["shelf"], out["record"])
+    return _NATIVE[key]
+
+
+def driver_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
+    """Binding A, materialised once per application (see ``_materialise``)."""
+    return _materialise(spark, sf_dir, "a", bound_log)
+
+
 def pooled_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
+    """Binding B, materialised once per application."""
+    return _materialise(spark, sf_dir, "b", pooled_view)
+
+
+def pooled_view(spark: SparkSession, sf_dir: str) -> ReadingLog:
     """Binding B: isbn = part key, so the same book sits on many shelves."""
     customer, orders, lineitem, part = (
         table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "part")
