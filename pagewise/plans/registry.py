@@ -200,13 +200,18 @@ def q_remove_records(spark, sf_dir):
 
 # -- replay of a change log ----------------------------------------------------
 from pagewise.operators import replay as rp  # noqa: E402
-from pagewise.sources.binding import change_log  # noqa: E402
+from pagewise.sources.binding import change_log, store_once  # noqa: E402
+
+
+def _landed_changes(spark, sf_dir):
+    stored, log = change_log(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), CUTOFF)
+    return {"stored": stored, "log": log}
 
 
 def _replay_inputs(spark, sf_dir):
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    stored, log = change_log(li, o, CUTOFF)
-    return driver_log(spark, sf_dir).shelf, stored, log
+    """Stored records and the change log, landed once as tables."""
+    t = store_once(spark, sf_dir, "changes", _landed_changes, cluster=("user_id", "seq"))
+    return driver_log(spark, sf_dir).shelf, t["stored"], t["log"]
 
 
 @register("replay_changes")

@@ -109,37 +109,48 @@ def bound_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
     return ReadingLog(reader_from(customer), shelf_from(orders, lineitem), record_from(lineitem, orders))
 
 
-_NATIVE: dict[tuple[str, str, str], ReadingLog] = {}
+_STORED: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
 
 
-def _materialise(spark: SparkSession, sf_dir: str, kind: str, build) -> ReadingLog:
-    """Store a binding once per application as native parquet tables under the
-    shared state root and serve every later query from them — the layout a
-    deployment has (the reading tables are stored tables, not views over
-    another schema).  Files are clustered by (user_id, b_isbn)."""
+def store_once(spark: SparkSession, sf_dir: str, kind: str, build, cluster=("user_id", "b_isbn", "r_date")):
+    """Write the tables ``build(spark, sf_dir)`` returns (name -> DataFrame)
+    once per application as parquet under the shared state root, and serve
+    the stored copies afterwards.
+
+    Files are round-robin balanced (whatever the key skew; Spark sorts before
+    it so a retried task writes the same rows) and each is sorted by the
+    clustering key, so row-group min/max statistics prune single-reader
+    filters without a sampling pass over the input.
+    """
     import hashlib
 
     from pagewise.session import state_root
 
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), kind)
-    if key not in _NATIVE:
+    if key not in _STORED:
         tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
         root = f"{state_root(spark)}/native/{kind}-{tag}"
-        log = build(spark, sf_dir)
-        out = {}
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for name in ("reader", "shelf", "record"):
-            df = getattr(log, name)
-            order = [c for c in ("user_id", "b_isbn", "r_date") if c in df.columns]
-            # Round-robin files (balanced whatever the key skew; Spark sorts
-            # before it so a retried task writes the same rows), each sorted
-            # by the clustering key: row-group min/max stats then prune a
-            # single-reader filter without a sampling pass over the input.
-            df = df.repartition(n).sortWithinPartitions(*order)
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+        out = {}
+        for name, df in build(spark, sf_dir).items():
+            order = [c for c in cluster if c in df.columns]
+            df.repartition(n).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{root}/{name}")
             out[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
-        _NATIVE[key] = ReadingLog(out["reader"], out["shelf"], out["record"])
-    return _NATIVE[key]
+        _STORED[key] = out
+    return _STORED[key]
+
+
+def _materialise(spark: SparkSession, sf_dir: str, kind: str, view) -> ReadingLog:
+    """Store a binding once per application as the native reading-log tables
+    (the layout a deployment has: stored tables, not views over another
+    schema) and serve every later query from them."""
+
+    def build(s, d):
+        log = view(s, d)
+        return {"reader": log.reader, "shelf": log.shelf, "record": log.record}
+
+    t = store_once(spark, sf_dir, kind, build)
+    return ReadingLog(t["reader"], t["shelf"], t["record"])
 
 
 def driver_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
