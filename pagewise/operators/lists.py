@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagewise.functions.category import category_label
 from pagewise.functions.numeric import ratio_round_half_up
 from pagewise.functions.text import date_text, nvl_text
+from pagewise.operators import scan
 from pagewise.operators.progress import with_pages_read
 from pagewise.schema import PAGE_SIZE, SHELF_KEY
 from pagewise.sources.binding import ReadingLog
@@ -121,7 +122,8 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
     1. identical rows (same user, book, date, pages) are interchangeable, so
        they are counted, not carried: a partial aggregate;
     2. the running total runs over these tie groups, whose number per book is
-       bounded by (days x distinct page counts), not by the record volume;
+       bounded by (days x distinct page counts), not by the record volume
+       (and ``scan.running`` still spreads a book with very many groups);
     3. the k-th row of a group has total ``upto - (n - k) * r_page``; groups
        are expanded back to rows in chunks of at most ``EXPAND_CHUNK`` rows,
        re-spread over tasks, so one hot book never lands on one task.
@@ -132,12 +134,12 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
     groups = record.groupBy(*SHELF_KEY, "r_date", "r_page").agg(F.count(F.lit(1)).alias("_n"))
     books = shelf.select(*SHELF_KEY, "b_title", "b_author", "b_page", "b_update_dt")
     g = groups.join(books, SHELF_KEY, "inner")
-    w = (
-        Window.partitionBy(*SHELF_KEY)
-        .orderBy(F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = scan.running(
+        g,
+        SHELF_KEY,
+        [F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last()],
+        [("_upto", "sum", F.col("r_page") * F.col("_n"), True)],
     )
-    g = g.withColumn("_upto", F.sum(F.col("r_page") * F.col("_n")).over(w))
     n_chunks = F.floor((F.col("_n") - 1) / EXPAND_CHUNK).cast("long")
     g = g.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)))
     g = g.repartition(*SHELF_KEY, "r_date", "r_page", "_chunk")
@@ -184,8 +186,9 @@ def paged_log(log: ReadingLog, user=None, page_size: int = PAGE_SIZE) -> DataFra
     """Record log with its row number and page number (pages of ``page_size``)."""
     log = log.for_user(user)
     r = running_pages(log.record, log.shelf)
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy(*log_order()))
-    r = r.withColumn("rn", rn)
+    # A reader's whole log is one ordering; scan.row_number spreads a reader
+    # with a huge log over many tasks instead of one window partition.
+    r = scan.row_number(r, ["user_id"], log_order(), "rn")
     return r.select(
         "user_id",
         "rn",

@@ -42,3 +42,10 @@ def test_single_user_view_is_sorted(spark):
     dates = [r.b_create_dt for r in rows]
     known = [d for d in dates if d is not None]
     assert known == sorted(known) and dates[: len(known)] == known
+
+
+def test_page_numbers_ranged(spark, monkeypatch):
+    from pagewise.operators import scan
+
+    monkeypatch.setattr(scan, "WINDOW_GROUP_LIMIT", 0)
+    test_page_numbers(spark)
