@@ -139,6 +139,7 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
         SHELF_KEY,
         [F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last()],
         [("_upto", "sum", F.col("r_page") * F.col("_n"), True)],
+        largest=scan.largest_group(record, SHELF_KEY),  # records per book bound groups per book
     )
     n_chunks = F.floor((F.col("_n") - 1) / EXPAND_CHUNK).cast("long")
     g = g.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)))
@@ -188,7 +189,7 @@ def paged_log(log: ReadingLog, user=None, page_size: int = PAGE_SIZE) -> DataFra
     r = running_pages(log.record, log.shelf)
     # A reader's whole log is one ordering; scan.row_number spreads a reader
     # with a huge log over many tasks instead of one window partition.
-    r = scan.row_number(r, ["user_id"], log_order(), "rn")
+    r = scan.row_number(r, ["user_id"], log_order(), "rn", largest=scan.largest_group(log.record, ["user_id"]))
     return r.select(
         "user_id",
         "rn",

@@ -55,15 +55,20 @@ def running(
     order: Sequence[Column],
     aggs: Sequence[tuple[str, str, Column, bool]],
     limit: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Add running aggregates: each spec is (name, kind, value, include_current)."""
+    """Add running aggregates: each spec is (name, kind, value, include_current).
+
+    ``largest``: a known upper bound of the largest key group, measured by the
+    caller on a cheap stored input (e.g. records per reader bound records per
+    book); measured here on ``df`` when omitted."""
     limit = WINDOW_GROUP_LIMIT if limit is None else limit
     keys = list(keys)
 
     def frame(w, inclusive):
         return w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
 
-    if largest_group(df, keys) <= limit:
+    if (largest if largest is not None else largest_group(df, keys)) <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
         out = df
         for name, kind, value, inclusive in aggs:
@@ -98,10 +103,15 @@ def running(
 
 
 def row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn", limit: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str = "rn",
+    limit: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """1-based position of each row inside its key group, by ``order``.
 
     Ties in ``order`` are numbered in an arbitrary order, as row_number does."""
-    out = running(df, keys, order, [(name, "count", F.lit(1), True)], limit)
+    out = running(df, keys, order, [(name, "count", F.lit(1), True)], limit, largest)
     return out.withColumn(name, F.col(name).cast("int"))
