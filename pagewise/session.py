@@ -54,7 +54,12 @@ def state_root(spark: SparkSession) -> str:
     if not root:
         root = sc.getConf().get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="pagewise-state-")
+            if not sc.master.startswith("local"):
+                raise RuntimeError(
+                    "spark.checkpoint.dir is not set: pagewise keeps checkpoints and table versions in the "
+                    "shared folder it names; set it to a location every executor can reach"
+                )
+            root = tempfile.mkdtemp(prefix="pagewise-state-")  # single machine only (tests, bench)
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     # setCheckpointDir appends a per-application sub folder; keep the parent
