@@ -192,7 +192,7 @@ def paged_log(log: ReadingLog, user=None, page_size: int = PAGE_SIZE) -> DataFra
     r = scan.row_number(r, ["user_id"], log_order(), "rn", largest=scan.largest_group(log.record, ["user_id"]))
     return r.select(
         "user_id",
-        "rn",
+        F.col("rn").cast("long").alias("rn"),
         F.ceil(F.col("rn") / page_size).cast("long").alias("page_no"),
         "b_title",
         date_text("r_date").alias("r_date"),

@@ -40,9 +40,9 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v if os.environ.get("PARITY_EXACT") else round(v, 6)
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
+        return float(v) if os.environ.get("PARITY_EXACT") else round(float(v), 6)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
@@ -52,6 +52,22 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {
+    "LongType": "BIGINT",
+    "IntegerType": "INTEGER",
+    "DoubleType": "DOUBLE",
+    "FloatType": "FLOAT",
+    "StringType": "VARCHAR",
+    "DateType": "DATE",
+    "BooleanType": "BOOLEAN",
+    "TimestampNTZType": "TIMESTAMP",
+}
+
+
+def spark_types(df):
+    return {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
@@ -72,6 +88,7 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
         return {"name": name, "rows": len(s_rows), "oracle": None, "spark_s": round(t1 - t0, 2)}
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
+    d_types = {d[0]: str(d[1]) for d in res.description}
     d_rows = res.fetchall()
     t2 = time.time()
     out = {
@@ -84,6 +101,11 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose=True):
         "duck_s": round(t2 - t1, 2),
     }
     if out["cols_match"]:
+        st = spark_types(df)
+        bad_types = {c: (st[c], d_types[c]) for c in st if st[c] != d_types[c]}
+        out["types_match"] = not bad_types
+        if bad_types:
+            out["type_diffs"] = bad_types
         a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
         out["values_match"] = a == b
         if not out["values_match"] and verbose:
@@ -109,7 +131,7 @@ if __name__ == "__main__":
             r = compare(spark, n, sf, con)
         except Exception as e:  # report and continue
             r = {"name": n, "error": repr(e)[:500]}
-        ok = r.get("values_match") or (r.get("oracle") is None and "error" not in r and "oracle_rows" not in r)
+        ok = (r.get("values_match") and r.get("types_match", True)) or (r.get("oracle") is None and "error" not in r and "oracle_rows" not in r)
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + str(r), flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
