@@ -30,9 +30,12 @@ LABEL = "total_days"
 SPLIT_SEED = 42
 
 
-def training_rows(log: ReadingLog) -> DataFrame:
+def training_rows(log: ReadingLog, ordered: bool = False) -> DataFrame:
     """b_isbn, b_page, b_category, read_speed, start_dt, end_dt,
-    days_since_last_read (a record count, as named originally), total_days."""
+    days_since_last_read (a record count, as named originally), total_days.
+
+    ``ordered`` sorts by start_dt as the original listing did (display only:
+    a global sort, so off by default)."""
     rec = log.record.groupBy("b_isbn").agg(
         F.sum("r_page").alias("_s"),
         F.count("r_page").alias("_n"),
@@ -42,7 +45,7 @@ def training_rows(log: ReadingLog) -> DataFrame:
     )
     books = log.shelf.groupBy("b_isbn", "b_page", "b_category").agg(F.count(F.lit(1)).alias("_m"))
     j = books.join(rec, "b_isbn", "inner")
-    return j.select(
+    out = j.select(
         "b_isbn",
         "b_page",
         "b_category",
@@ -52,6 +55,7 @@ def training_rows(log: ReadingLog) -> DataFrame:
         (F.col("_dates") * F.col("_m")).alias("days_since_last_read"),
         F.datediff("end_dt", "start_dt").alias("total_days"),
     )
+    return out.orderBy(F.col("start_dt").asc_nulls_last(), "b_isbn") if ordered else out
 
 
 def category_indexer(handle_invalid: str = "error") -> StringIndexer:
@@ -69,9 +73,15 @@ def training_set(log: ReadingLog) -> DataFrame:
     return category_indexer().fit(rows).transform(rows)
 
 
-def split(df: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
-    """Deterministic 50/50 split by a hash of the isbn (reproducible across
-    runs and partitionings, unlike a sampled split)."""
+def split(df: DataFrame, seed: int = SPLIT_SEED, method: str = "hash") -> DataFrame:
+    """50/50 train/test split as a ``split`` column.
+
+    ``hash`` (default): by a hash of the isbn — reproducible across runs and
+    partitionings, and checkable against SQL.  ``random``: Spark's sampled
+    ``randomSplit([0.5, 0.5], seed)`` (stable only for a fixed partitioning)."""
+    if method == "random":
+        train, test = df.randomSplit([0.5, 0.5], seed)
+        return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("b_isbn").cast("string")))
     return df.withColumn("split", F.when(F.substring(h, 1, 1) < "8", "train").otherwise("test"))
 

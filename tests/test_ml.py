@@ -64,3 +64,11 @@ def test_unseen_category_raises(spark, fitted):
     bad = spark.createDataFrame([(1, 1, 100, "NEVER-SEEN")], "user_id long, b_isbn long, b_page int, b_category string")
     with pytest.raises(Exception):
         ml.predict_shelf(model, bad).collect()
+
+
+def test_random_split_and_ordered_rows(spark):
+    rows = ml.training_rows(pooled_log(spark, SF001), ordered=True)
+    starts = [r.start_dt for r in rows.collect()]
+    assert starts == sorted(starts)
+    sp = ml.split(rows, method="random")
+    assert sp.count() == rows.count() and {r.split for r in sp.select("split").distinct().collect()} == {"train", "test"}
