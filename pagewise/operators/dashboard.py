@@ -31,16 +31,23 @@ def total_spend(log: ReadingLog, user=None) -> DataFrame:
     return _all_readers(log, spend)
 
 
-def reading_totals(log: ReadingLog, user=None) -> DataFrame:
-    """Pages read, books touched, distinct reading days (records with a shelf row)."""
-    log = log.for_user(user)
+def _totals(log: ReadingLog) -> DataFrame:
+    """Per reader with records on the shelf: pages, distinct books, distinct days.
+
+    The two DISTINCT counts plan as one Expand + two-level aggregate, both
+    levels partially aggregated (a hot reader is pre-reduced map-side)."""
     rec = log.record.join(log.shelf.select(*SHELF_KEY), SHELF_KEY, "left_semi")
-    tot = rec.groupBy("user_id").agg(
+    return rec.groupBy("user_id").agg(
         F.sum("r_page").alias("yrpage"),
         F.count_distinct("b_isbn").alias("yrbook"),
         F.count_distinct("r_date").alias("yrdt"),
     )
-    return _all_readers(log, tot).select(
+
+
+def reading_totals(log: ReadingLog, user=None) -> DataFrame:
+    """Pages read, books touched, distinct reading days (records with a shelf row)."""
+    log = log.for_user(user)
+    return _all_readers(log, _totals(log)).select(
         "user_id",
         "yrpage",
         F.coalesce("yrbook", F.lit(0).cast("long")).alias("yrbook"),
@@ -168,7 +175,7 @@ def dashboard(log: ReadingLog, user=None) -> DataFrame:
     """All tiles of the main page, one row per reader, raw and formatted."""
     log = log.for_user(user)
     spend = log.shelf.groupBy("user_id").agg(F.sum("b_dicount").alias("yrmoney"))
-    totals = reading_totals(log).drop("user_nm")
+    totals = _totals(log)
     last = last_book(log)
     base = log.reader.select("user_id", "user_nm")
     d = (
@@ -177,6 +184,8 @@ def dashboard(log: ReadingLog, user=None) -> DataFrame:
         .join(last, "user_id", "left")
     )
     lastday = F.coalesce("lastday", F.lit(NO_DATE))
+    zero = F.lit(0).cast("long")
+    d = d.withColumn("yrbook", F.coalesce("yrbook", zero)).withColumn("yrdt", F.coalesce("yrdt", zero))
     return d.select(
         "user_id",
         "user_nm",
