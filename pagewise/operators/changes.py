@@ -164,3 +164,25 @@ def remove_records(record: DataFrame, keys: DataFrame) -> DataFrame:
         F.to_date("rday", "yyyy-MM-dd").alias("r_date"),
     ).distinct()
     return record.join(k, [*SHELF_KEY, "r_date"], "left_anti").select(*[f.name for f in RECORD.fields])
+
+
+# -- one request = one plan -----------------------------------------------------
+
+
+def apply_add_request(shelf: DataFrame, record: DataFrame, form: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One "log pages" request (or a batch of requests from *different*
+    readers): insert, refresh the dates of the readers' books, set 'Y' where
+    the pages now match.  Several requests of one reader must go through the
+    replay (the flag depends on their order)."""
+    new_record = add_records(record, form)
+    users = form.select(F.col("user_id").cast("long").alias("user_id"))
+    new_shelf = mark_finished(refresh_dates(shelf, new_record, users), new_record, users)
+    return new_shelf, new_record
+
+
+def apply_delete_request(shelf: DataFrame, record: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One "delete a day" request: delete, refresh dates, set 'N' where NOT IN holds."""
+    new_record = remove_records(record, keys)
+    users = keys.select(F.col("user_id").cast("long").alias("user_id"))
+    new_shelf = unmark_finished(refresh_dates(shelf, new_record, users), new_record, users)
+    return new_shelf, new_record

@@ -44,9 +44,10 @@ def _totals(log: ReadingLog) -> DataFrame:
     )
 
 
-def reading_totals(log: ReadingLog, user=None) -> DataFrame:
-    """Pages read, books touched, distinct reading days (records with a shelf row)."""
-    log = log.for_user(user)
+def reading_totals(log: ReadingLog, user=None, year=None) -> DataFrame:
+    """Pages read, books touched, distinct reading days (records with a shelf row);
+    all time by default, one calendar year with ``year``."""
+    log = log.for_user(user).for_year(year)
     return _all_readers(log, _totals(log)).select(
         "user_id",
         "yrpage",
@@ -79,14 +80,14 @@ def monthly_pages(log: ReadingLog) -> DataFrame:
     )
 
 
-def monthly_cumulative(log: ReadingLog, user=None) -> DataFrame:
+def monthly_cumulative(log: ReadingLog, user=None, year=None) -> DataFrame:
     """Cumulative pages by month (line chart).
 
     Months are aggregated first; the running window then sees one row per
     (reader, month) — bounded by the calendar, whatever the reader's volume —
     and is partitioned by reader instead of the original single global frame.
     """
-    log = log.for_user(user)
+    log = log.for_user(user).for_year(year)
     w = (
         Window.partitionBy("user_id")
         .orderBy(F.col("dt").asc_nulls_last())
@@ -171,9 +172,13 @@ def last_book(log: ReadingLog) -> DataFrame:
     )
 
 
-def dashboard(log: ReadingLog, user=None) -> DataFrame:
-    """All tiles of the main page, one row per reader, raw and formatted."""
-    log = log.for_user(user)
+def dashboard(log: ReadingLog, user=None, year=None) -> DataFrame:
+    """All tiles of the main page, one row per reader, raw and formatted.
+
+    ``year`` limits the reading tiles to that year's records (the captions
+    say "this year"; the original SQL had no year filter, so the default is
+    all time).  Spending has no purchase date and stays all time."""
+    log = log.for_user(user).for_year(year)
     spend = log.shelf.groupBy("user_id").agg(F.sum("b_dicount").alias("yrmoney"))
     totals = _totals(log)
     last = last_book(log)

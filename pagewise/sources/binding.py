@@ -37,6 +37,13 @@ class ReadingLog:
     shelf: DataFrame
     record: DataFrame
 
+    def for_year(self, year) -> "ReadingLog":
+        """Records of one calendar year (the dashboard's "this year" captions);
+        the shelf and readers stay whole."""
+        if year is None:
+            return self
+        return ReadingLog(self.reader, self.shelf, self.record.filter(F.year("r_date") == F.lit(year)))
+
     def for_user(self, user) -> "ReadingLog":
         """Single-reader view (``WHERE user_id = :id`` on every table)."""
         if user is None:

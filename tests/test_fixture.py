@@ -91,3 +91,29 @@ def test_parse_forms(spark):
     form = spark.createDataFrame([("1", "7", "2024-12-01", "")], "user_id string, b_isbn string, readDate string, page string")
     r = changes.parse_records(form).collect()[0]
     assert (r.user_id, r.b_isbn, str(r.r_date), r.r_page) == (1, 7, "2024-12-01", None)
+
+
+def test_request_compositions_match_fold(spark):
+    import datetime as dt
+
+    from pagewise.operators.replay import fold_reference
+
+    log = micro_log(spark)
+    s_rows = [r.asDict() for r in log.shelf.collect()]
+    r_rows = [r.asDict() for r in log.record.collect()]
+    form = spark.createDataFrame([("1", "2", "2024-12-01", "200")], "user_id string, b_isbn string, readDate string, page string")
+    shelf, record = changes.apply_add_request(log.shelf, log.record, form)
+    exp_s, exp_r = fold_reference(s_rows, r_rows, [dict(user_id=1, b_isbn=2, seq=1, op="add", r_date=dt.date(2024, 12, 1), r_page=200)])
+    key = lambda r: (r["user_id"], r["b_isbn"], r["b_end_yn"], r["b_create_dt"], r["b_update_dt"])
+    assert sorted(key(r.asDict()) for r in shelf.collect()) == sorted(key(r) for r in exp_s)
+    keys = spark.createDataFrame([(1, 1, "2024-11-05")], "user_id long, b_isbn long, rday string")
+    shelf2, _ = changes.apply_delete_request(log.shelf, log.record, keys)
+    exp_s2, _ = fold_reference(s_rows, r_rows, [dict(user_id=1, b_isbn=1, seq=1, op="del", r_date=dt.date(2024, 11, 5), r_page=None)])
+    assert sorted(key(r.asDict()) for r in shelf2.collect()) == sorted(key(r) for r in exp_s2)
+
+
+def test_dashboard_year(spark):
+    d = dashboard.dashboard(micro_log(spark), year=2023).filter("user_id = 1").first()
+    assert (d.yrpage, d.yrbook, d.yrdt) == (None, 0, 0)
+    d = dashboard.dashboard(micro_log(spark), year=2024).filter("user_id = 1").first()
+    assert (d.yrpage, d.yrbook, d.yrdt) == (160, 3, 4)
