@@ -6,13 +6,25 @@ Every callable reads the driver tables at ``sf_dir`` through the binding in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagewise.functions.numeric import half_up_js
+from pagewise.operators import catalog as cat
+from pagewise.operators import changes as chg
 from pagewise.operators import dashboard as dash
+from pagewise.operators import lists as lst
+from pagewise.operators import ml
 from pagewise.operators import progress as prog
-from pagewise.sources.binding import driver_log
+from pagewise.operators import replay as rp
+from pagewise.session import state_root
+from pagewise.sources import catalog as catsrc
+from pagewise.sources.binding import change_log, driver_log, pooled_log, shelf_from, store_once, table
+from pagewise.sources.tables import write_version
+from pagewise.streaming.progress_stream import ProgressStream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,8 +42,9 @@ def q_reading_progress(spark, sf_dir):
     return prog.reading_progress(driver_log(spark, sf_dir))
 
 
-def _dash(name):
-    fn = getattr(dash, name)
+def _on_driver_log(module, name):
+    """Register ``module.name(log)`` over binding A under the same name."""
+    fn = getattr(module, name)
     QUERIES[name] = lambda spark, sf_dir: fn(driver_log(spark, sf_dir))
 
 
@@ -47,13 +60,11 @@ for _n in (
     "dashboard",
     "progress_caption",
 ):
-    _dash(_n)
+    _on_driver_log(dash, _n)
 
 
-from pagewise.operators import lists as lst  # noqa: E402
-
 for _n in ("wish_list", "finished_list", "book_detail", "record_log", "paged_log"):
-    QUERIES[_n] = (lambda fn: lambda spark, sf_dir: fn(driver_log(spark, sf_dir)))(getattr(lst, _n))
+    _on_driver_log(lst, _n)
 
 
 @register("shelf_listing_alt")
@@ -77,11 +88,6 @@ def q_reader_profile(spark, sf_dir):
 # dated before CUTOFF form the stored state, later rows arrive as form posts
 # (all text), so the appended state must equal the full binding.
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from pagewise.operators import changes as chg  # noqa: E402
-from pagewise.sources.binding import shelf_from, table  # noqa: E402
-from pagewise.sources.tables import write_version  # noqa: E402
 
 CUTOFF = "1998-01-01"
 
@@ -199,8 +205,6 @@ def q_remove_records(spark, sf_dir):
 
 
 # -- replay of a change log ----------------------------------------------------
-from pagewise.operators import replay as rp  # noqa: E402
-from pagewise.sources.binding import change_log, store_once  # noqa: E402
 
 
 def _landed_changes(spark, sf_dir):
@@ -227,10 +231,6 @@ def q_replay_records(spark, sf_dir):
 
 
 # -- streaming form of the replay ----------------------------------------------
-import uuid  # noqa: E402
-
-from pagewise.session import state_root  # noqa: E402
-from pagewise.streaming.progress_stream import ProgressStream  # noqa: E402
 
 
 @register("stream_progress")
@@ -247,8 +247,6 @@ def q_stream_progress(spark, sf_dir):
 
 
 # -- catalog ---------------------------------------------------------------------
-from pagewise.operators import catalog as cat  # noqa: E402
-from pagewise.sources import catalog as catsrc  # noqa: E402
 
 SEARCH_TERM = "the"
 
@@ -275,9 +273,6 @@ def q_catalog_lookup(spark, sf_dir):
 
 
 # -- reading-time model ------------------------------------------------------------
-from pagewise.functions.numeric import half_up_js  # noqa: E402
-from pagewise.operators import ml  # noqa: E402
-from pagewise.sources.binding import pooled_log  # noqa: E402
 
 
 @register("training_set")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagewise.schema import READER, RECORD, SHELF
 from pagewise.sources.binding import ReadingLog
 
-# Source table names of the original schema.
+# --- fixed values: table names of the original schema ---
 SOURCE_TABLES = {"reader": "tb_user", "shelf": "tb_book", "record": "tb_bookrecord"}
 SCHEMAS = {"reader": READER, "shelf": SHELF, "record": RECORD}
 
