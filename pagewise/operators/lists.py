@@ -124,9 +124,10 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
     2. the running total runs over these tie groups, whose number per book is
        bounded by (days x distinct page counts), not by the record volume
        (and ``scan.running`` still spreads a book with very many groups);
-    3. the k-th row of a group has total ``upto - (n - k) * r_page``; groups
-       are expanded back to rows in chunks of at most ``EXPAND_CHUNK`` rows,
-       re-spread over tasks, so one hot book never lands on one task.
+    3. the k-th row of a group has total ``upto - (n - k) * r_page``; when a
+       group may exceed ``EXPAND_CHUNK`` rows (bounded by records per book),
+       groups are expanded in chunks re-spread over tasks, so one hot book
+       never lands on one task; otherwise in place, without a shuffle.
 
     Inside a day the order is r_page ascending (the original leaves it open);
     the output multiset is the window's exactly.
@@ -134,23 +135,28 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
     groups = record.groupBy(*SHELF_KEY, "r_date", "r_page").agg(F.count(F.lit(1)).alias("_n"))
     books = shelf.select(*SHELF_KEY, "b_title", "b_author", "b_page", "b_update_dt")
     g = groups.join(books, SHELF_KEY, "inner")
+    # records per book bound both the groups per book and the rows per group
+    largest = scan.largest_group(record, SHELF_KEY)
     g = scan.running(
         g,
         SHELF_KEY,
         [F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last()],
         [("_upto", "sum", F.col("r_page") * F.col("_n"), True)],
-        largest=scan.largest_group(record, SHELF_KEY),  # records per book bound groups per book
+        largest=largest,
     )
-    n_chunks = F.floor((F.col("_n") - 1) / EXPAND_CHUNK).cast("long")
-    g = g.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)))
-    g = g.repartition(*SHELF_KEY, "r_date", "r_page", "_chunk")
-    lo = F.col("_chunk") * EXPAND_CHUNK + 1
-    hi = F.least(F.col("_n"), (F.col("_chunk") + 1) * EXPAND_CHUNK)
-    rows = g.withColumn("_k", F.explode(F.sequence(lo, hi)))
+    if largest <= EXPAND_CHUNK:
+        rows = g.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    else:
+        n_chunks = F.floor((F.col("_n") - 1) / EXPAND_CHUNK).cast("long")
+        g = g.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)))
+        g = g.repartition(*SHELF_KEY, "r_date", "r_page", "_chunk")
+        lo = F.col("_chunk") * EXPAND_CHUNK + 1
+        hi = F.least(F.col("_n"), (F.col("_chunk") + 1) * EXPAND_CHUNK)
+        rows = g.withColumn("_k", F.explode(F.sequence(lo, hi))).drop("_chunk")
     sum_page = F.when(
         F.col("r_page").isNull(), F.col("_upto")
     ).otherwise(F.col("_upto") - (F.col("_n") - F.col("_k")) * F.col("r_page"))
-    return rows.withColumn("sum_page", sum_page).drop("_n", "_upto", "_chunk", "_k")
+    return rows.withColumn("sum_page", sum_page).drop("_n", "_upto", "_k")
 
 
 def record_log(log: ReadingLog, user=None) -> DataFrame:

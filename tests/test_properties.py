@@ -49,3 +49,15 @@ def test_page_numbers_ranged(spark, monkeypatch):
 
     monkeypatch.setattr(scan, "WINDOW_GROUP_LIMIT", 0)
     test_page_numbers(spark)
+
+
+def test_running_pages_chunked_expansion(spark, monkeypatch):
+    """Force the chunked expansion (tiny chunk) and compare with the default path."""
+    from pagewise.operators import lists
+
+    log = driver_log(spark, SF001)
+    cols = ["user_id", "b_isbn", "r_date", "r_page", "sum_page"]
+    a = sorted(map(tuple, lists.running_pages(log.record, log.shelf).select(*cols).collect()), key=repr)
+    monkeypatch.setattr(lists, "EXPAND_CHUNK", 1)
+    b = sorted(map(tuple, lists.running_pages(log.record, log.shelf).select(*cols).collect()), key=repr)
+    assert a == b
