@@ -96,7 +96,7 @@ def test_parse_forms(spark):
 def test_request_compositions_match_fold(spark):
     import datetime as dt
 
-    from pagewise.operators.replay import fold_reference
+    from tests.fold import fold_reference
 
     log = micro_log(spark)
     s_rows = [r.asDict() for r in log.shelf.collect()]
