@@ -78,8 +78,14 @@ def add_records(record: DataFrame, form: DataFrame) -> DataFrame:
 # -- updates -----------------------------------------------------------------
 
 
-def update_profile(reader: DataFrame, changes: DataFrame) -> DataFrame:
-    """UPDATE reader SET user_nm, user_email WHERE user_id = ... (NULL is a legal new value)."""
+def update_profile(reader: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """UPDATE reader SET user_nm, user_email WHERE user_id = ... (NULL is a legal new value).
+
+    With ``order`` (e.g. a request sequence column), several changes of one
+    reader resolve to the latest; without it, one change per reader is assumed."""
+    if order is not None:
+        latest = F.max_by(F.struct("user_nm", "user_email"), order)
+        changes = changes.groupBy("user_id").agg(latest.alias("_c")).select("user_id", "_c.*")
     ch = changes.select(
         "user_id",
         F.col("user_nm").alias("_nm"),

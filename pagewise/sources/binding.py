@@ -200,13 +200,15 @@ def change_log(lineitem: DataFrame, orders: DataFrame, cutoff: str) -> tuple[Dat
     (+ 2^15 for deletes).  Line numbers repeat inside an order, so the
     position is a row number over the order's own lines — a small group.
     """
-    from pyspark.sql import Window
+    from pagewise.operators.scan import row_number
 
     o = orders.select("o_orderkey", "o_custkey")
-    pos = F.row_number().over(
-        Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    li = row_number(
+        lineitem,
+        ["l_orderkey"],
+        [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")],
+        "_pos",
     )
-    li = lineitem.withColumn("_pos", pos)
     base = li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner").select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_orderkey").alias("b_isbn"),

@@ -117,3 +117,13 @@ def test_dashboard_year(spark):
     assert (d.yrpage, d.yrbook, d.yrdt) == (None, 0, 0)
     d = dashboard.dashboard(micro_log(spark), year=2024).filter("user_id = 1").first()
     assert (d.yrpage, d.yrbook, d.yrdt) == (160, 3, 4)
+
+
+def test_update_profile_latest_change_wins(spark):
+    log = micro_log(spark)
+    ch = spark.createDataFrame(
+        [(1, "old", "o@x", 1), (1, "new", None, 2), (2, "n2b", "e2b", 1)],
+        "user_id long, user_nm string, user_email string, seq long",
+    )
+    got = {r.user_id: (r.user_nm, r.user_email) for r in changes.update_profile(log.reader, ch, order="seq").collect()}
+    assert got == {1: ("new", None), 2: ("n2b", "e2b"), 3: ("n3", None)}
