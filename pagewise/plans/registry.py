@@ -22,7 +22,15 @@ from pagewise.operators import progress as prog
 from pagewise.operators import replay as rp
 from pagewise.session import state_root
 from pagewise.sources import catalog as catsrc
-from pagewise.sources.binding import change_log, driver_log, pooled_log, shelf_from, store_once, table
+from pagewise.sources.binding import (
+    change_log_from_lines,
+    driver_log,
+    line_base,
+    pooled_log,
+    shelf_from,
+    store_once,
+    table,
+)
 from pagewise.sources.tables import write_version
 from pagewise.streaming.progress_stream import ProgressStream
 
@@ -112,10 +120,10 @@ def q_append_records(spark, sf_dir):
 
 @register("append_books")
 def q_append_books(spark, sf_dir):
-    orders, lineitem = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    orders, lines = table(spark, sf_dir, "orders"), line_base(spark, sf_dir)
     before = F.col("o_orderdate") < _cut()
-    base = shelf_from(orders.filter(before), lineitem)
-    new = shelf_from(orders.filter(~before | F.col("o_orderdate").isNull()), lineitem, with_dates=False)
+    base = shelf_from(orders.filter(before), lines)
+    new = shelf_from(orders.filter(~before | F.col("o_orderdate").isNull()), lines, with_dates=False)
     form = new.select(
         *[F.col(c).cast("string").alias(c) for c in (
             "user_id", "b_isbn", "b_title", "b_author", "b_dicount", "b_page", "b_category", "b_memo", "b_image")],
@@ -156,7 +164,7 @@ def q_update_profile(spark, sf_dir):
 @register("refresh_dates")
 def q_refresh_dates(spark, sf_dir):
     log = driver_log(spark, sf_dir)
-    stale = shelf_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), with_dates=False)
+    stale = shelf_from(table(spark, sf_dir, "orders"), line_base(spark, sf_dir), with_dates=False)
     return chg.refresh_dates(stale, log.record)
 
 
@@ -191,12 +199,11 @@ def q_remove_books_records(spark, sf_dir):
 @register("remove_records")
 def q_remove_records(spark, sf_dir):
     log = driver_log(spark, sf_dir)
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     keys = (
-        li.filter(F.col("l_returnflag") == "R")
-        .join(o, li["l_orderkey"] == o["o_orderkey"])
+        line_base(spark, sf_dir)
+        .filter(F.col("l_returnflag") == "R")
         .select(
-            F.col("o_custkey").alias("user_id"),
+            "user_id",
             F.col("l_orderkey").alias("b_isbn"),
             F.date_format("l_shipdate", "yyyy-MM-dd").alias("rday"),
         )
@@ -208,7 +215,7 @@ def q_remove_records(spark, sf_dir):
 
 
 def _landed_changes(spark, sf_dir):
-    stored, log = change_log(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), CUTOFF)
+    stored, log = change_log_from_lines(line_base(spark, sf_dir), CUTOFF)
     return {"stored": stored, "log": log}
 
 

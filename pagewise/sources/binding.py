@@ -60,6 +60,38 @@ def reader_from(customer: DataFrame) -> DataFrame:
     )
 
 
+def lines_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Line items with their order's customer: the one join every binding needs."""
+    o = orders.select("o_orderkey", "o_custkey")
+    return lineitem.join(o, lineitem["l_orderkey"] == o["o_orderkey"], "inner").select(
+        F.col("o_custkey").alias("user_id"),
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        "l_returnflag",
+        "l_shipdate",
+        "l_quantity",
+    )
+
+
+def line_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines_from`` stored once per application: the bindings and the change
+    log all derive from it, so the line items are scanned and joined once."""
+    build = lambda s, d: {"lines": lines_from(table(s, d, "lineitem"), table(s, d, "orders"))}
+    return store_once(spark, sf_dir, "lines", build, cluster=("user_id", "l_orderkey"))["lines"]
+
+
+def record_from_lines(lines: DataFrame, isbn: str = "l_orderkey") -> DataFrame:
+    """record(user_id, b_isbn, r_date, r_page) from ``lines_from`` rows."""
+    return lines.select(
+        "user_id",
+        F.col(isbn).alias("b_isbn"),
+        F.col("l_shipdate").cast("date").alias("r_date"),
+        F.col("l_quantity").cast("long").alias("r_page"),
+    )
+
+
 def record_from(lineitem: DataFrame, orders: DataFrame, isbn: str = "l_orderkey") -> DataFrame:
     """record(user_id, b_isbn, r_date, r_page): each line item is one reading entry."""
     o = orders.select("o_orderkey", "o_custkey")
@@ -111,9 +143,10 @@ def shelf_from(orders: DataFrame, lineitem: DataFrame, with_dates: bool = True)
 
 
 def bound_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
-    """Binding A over the driver tables, as lazy views (no materialisation)."""
-    customer, orders, lineitem = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    return ReadingLog(reader_from(customer), shelf_from(orders, lineitem), record_from(lineitem, orders))
+    """Binding A over the driver tables (line items read through ``line_base``)."""
+    customer, orders = (table(spark, sf_dir, t) for t in ("customer", "orders"))
+    lines = line_base(spark, sf_dir)
+    return ReadingLog(reader_from(customer), shelf_from(orders, lines), record_from_lines(lines))
 
 
 _STORED: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
@@ -172,10 +205,8 @@ def pooled_log(spark: SparkSession, sf_dir: str) -> ReadingLog:
 
 def pooled_view(spark: SparkSession, sf_dir: str) -> ReadingLog:
     """Binding B: isbn = part key, so the same book sits on many shelves."""
-    customer, orders, lineitem, part = (
-        table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "part")
-    )
-    record = record_from(lineitem, orders, isbn="l_partkey")
+    customer, part = (table(spark, sf_dir, t) for t in ("customer", "part"))
+    record = record_from_lines(line_base(spark, sf_dir), isbn="l_partkey")
     books = record.select("user_id", "b_isbn").distinct()
     shelf = books.join(
         part.select(
@@ -191,6 +222,11 @@ def pooled_view(spark: SparkSession, sf_dir: str) -> ReadingLog:
 
 
 def change_log(lineitem: DataFrame, orders: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
+    """``change_log_from_lines`` over raw line items and orders."""
+    return change_log_from_lines(lines_from(lineitem, orders), cutoff)
+
+
+def change_log_from_lines(lines: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
     """Stored records and an ordered change log derived from line items.
 
     Items shipped before ``cutoff`` are the stored records; later items
@@ -202,15 +238,14 @@ def change_log(lineitem: DataFrame, orders: DataFrame, cutoff: str) -> tuple[Dat
     """
     from pagewise.operators.scan import row_number
 
-    o = orders.select("o_orderkey", "o_custkey")
     li = row_number(
-        lineitem,
+        lines,
         ["l_orderkey"],
         [F.col(c).asc() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")],
         "_pos",
     )
-    base = li.join(o, li["l_orderkey"] == o["o_orderkey"], "inner").select(
-        F.col("o_custkey").alias("user_id"),
+    base = li.select(
+        "user_id",
         F.col("l_orderkey").alias("b_isbn"),
         F.col("l_shipdate").cast("date").alias("r_date"),
         F.col("l_quantity").cast("long").alias("r_page"),
