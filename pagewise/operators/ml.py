@@ -117,11 +117,13 @@ def regression_metrics(pred: DataFrame, label: str = LABEL, prediction: str = "p
         F.sum(y).alias("sy"),
         F.sum(y * y).alias("sy2"),
     )
+    ss_tot = F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n")
     return a.select(
         "n",
         (F.col("sae") / F.col("n")).alias("mae"),
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
-        (F.lit(1.0) - F.col("sse") / (F.col("sy2") - F.col("sy") * F.col("sy") / F.col("n"))).alias("r2"),
+        # R^2 is undefined for a constant label: NULL instead of a division error
+        F.when(ss_tot != 0, F.lit(1.0) - F.col("sse") / ss_tot).alias("r2"),
     )
 
 

@@ -72,3 +72,9 @@ def test_random_split_and_ordered_rows(spark):
     assert starts == sorted(starts)
     sp = ml.split(rows, method="random")
     assert sp.count() == rows.count() and {r.split for r in sp.select("split").distinct().collect()} == {"train", "test"}
+
+
+def test_metrics_constant_label(spark):
+    df = spark.createDataFrame([(3, 2.0), (3, 4.0)], "total_days int, prediction double")
+    m = ml.regression_metrics(df).first()
+    assert (m.n, m.mae, m.rmse, m.r2) == (2, 1.0, 1.0, None)
