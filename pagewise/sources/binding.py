@@ -42,7 +42,9 @@ class ReadingLog:
         the shelf and readers stay whole."""
         if year is None:
             return self
-        return ReadingLog(self.reader, self.shelf, self.record.filter(F.year("r_date") == F.lit(year)))
+        # a date range (not year(r_date) = y) so the predicate reaches the parquet scan
+        lo, hi = F.lit(f"{int(year):04d}-01-01").cast("date"), F.lit(f"{int(year) + 1:04d}-01-01").cast("date")
+        return ReadingLog(self.reader, self.shelf, self.record.filter((F.col("r_date") >= lo) & (F.col("r_date") < hi)))
 
     def for_user(self, user) -> "ReadingLog":
         """Single-reader view (``WHERE user_id = :id`` on every table)."""
