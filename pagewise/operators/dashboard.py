@@ -206,7 +206,6 @@ def dashboard(log: ReadingLog, user=None, year=None) -> DataFrame:
         F.concat(F.col("yrdt").cast("string"), F.lit(DAYS_UNIT)).alias("yrdt_text"),
         korean_date(lastday).alias("lastday_text"),
         F.coalesce("lastbook", F.lit(NO_BOOK)).alias("lastbook_text"),
-        F.concat(F.col("user_nm"), F.lit("'s BookBoard")).alias("page_title"),
     )
 
 
