@@ -6,7 +6,8 @@ from a per-book aggregate of ``record`` joined on the shelf key: one
 partial aggregation and one join, no correlated subquery per row.
 
 ``users`` restricts a refresh to the readers a request touched (the original
-statements re-check *all books of that reader*); ``None`` means everyone.
+statements re-check *all books of that reader*): only their records are
+aggregated and only their shelf rows joined; ``None`` means everyone.
 """
 
 from __future__ import annotations
@@ -18,15 +19,24 @@ from pagewise.functions.text import blank_to_null
 from pagewise.schema import READER, RECORD, SHELF, SHELF_KEY
 
 
-def _touched(df: DataFrame, users: DataFrame | None) -> tuple[DataFrame, Column]:
-    if users is None:
-        return df, F.lit(True)
-    t = users.select("user_id").distinct().withColumn("_touched", F.lit(True))
-    return df.join(t, "user_id", "left"), F.coalesce(F.col("_touched"), F.lit(False))
+# Largest reader set shipped to every task (8 bytes an id: ~16 MB).
+BROADCAST_READERS = 2_000_000
+
 
+def reader_set(users: DataFrame) -> DataFrame:
+    """Distinct reader ids, broadcast only when their counted number is small."""
+    ids = users.select(F.col("user_id").cast("long").alias("user_id")).distinct()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_READERS else ids
 
-def _finish(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*cols)
+
+def _for_readers(shelf: DataFrame, record: DataFrame, users: DataFrame | None, derive) -> DataFrame:
+    """Apply ``derive(shelf, record)`` to the touched readers only; the other
+    shelf rows are copied through unchanged (no aggregation of their records)."""
+    if users is None:
+        return derive(shelf, record)
+    ids = reader_set(users)
+    touched = derive(shelf.join(ids, "user_id", "left_semi"), record.join(ids, "user_id", "left_semi"))
+    return shelf.join(ids, "user_id", "left_anti").unionByName(touched.select(*shelf.columns))
 
 
 # -- inserts -----------------------------------------------------------------
@@ -113,12 +123,14 @@ def book_totals(record: DataFrame) -> DataFrame:
 
 def refresh_dates(shelf: DataFrame, record: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """First/last reading date of every book of the touched readers (NULL when no dated record)."""
-    cols = shelf.columns
-    j = shelf.join(book_totals(record).select(*SHELF_KEY, "_first", "_last"), SHELF_KEY, "left")
-    j, touched = _touched(j, users)
-    j = j.withColumn("b_create_dt", F.when(touched, F.col("_first")).otherwise(F.col("b_create_dt")))
-    j = j.withColumn("b_update_dt", F.when(touched, F.col("_last")).otherwise(F.col("b_update_dt")))
-    return _finish(j, cols)
+
+    def derive(sh: DataFrame, rec: DataFrame) -> DataFrame:
+        j = sh.join(book_totals(rec).select(*SHELF_KEY, "_first", "_last"), SHELF_KEY, "left")
+        return j.withColumn("b_create_dt", F.col("_first")).withColumn("b_update_dt", F.col("_last")).select(
+            *sh.columns
+        )
+
+    return _for_readers(shelf, record, users, derive)
 
 
 def mark_finished(shelf: DataFrame, record: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -127,11 +139,13 @@ def mark_finished(shelf: DataFrame, record: DataFrame, users: DataFrame | None =
     (isbn, page) IN (isbn, SUM(pages)): NULL on either side is UNKNOWN, and a
     book without records is not IN — both leave the flag as it was.
     """
-    cols = shelf.columns
-    j = shelf.join(book_totals(record).select(*SHELF_KEY, "_sum"), SHELF_KEY, "left")
-    j, touched = _touched(j, users)
-    hit = touched & F.coalesce(F.col("_sum") == F.col("b_page"), F.lit(False))
-    return _finish(j.withColumn("b_end_yn", F.when(hit, F.lit("Y")).otherwise(F.col("b_end_yn"))), cols)
+
+    def derive(sh: DataFrame, rec: DataFrame) -> DataFrame:
+        j = sh.join(book_totals(rec).select(*SHELF_KEY, "_sum"), SHELF_KEY, "left")
+        hit = F.coalesce(F.col("_sum") == F.col("b_page"), F.lit(False))
+        return j.withColumn("b_end_yn", F.when(hit, F.lit("Y")).otherwise(F.col("b_end_yn"))).select(*sh.columns)
+
+    return _for_readers(shelf, record, users, derive)
 
 
 def unmark_finished(shelf: DataFrame, record: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -140,13 +154,15 @@ def unmark_finished(shelf: DataFrame, record: DataFrame, users: DataFrame | None
     TRUE for a book without records (empty set) or a known, different sum;
     UNKNOWN (flag unchanged) when the sum or b_page is NULL.
     """
-    cols = shelf.columns
-    j = shelf.join(book_totals(record).select(*SHELF_KEY, "_rows", "_sum"), SHELF_KEY, "left")
-    j, touched = _touched(j, users)
-    no_rows = F.col("_rows").isNull()
-    differs = F.coalesce(F.col("_sum") != F.col("b_page"), F.lit(False))
-    hit = touched & (no_rows | differs)
-    return _finish(j.withColumn("b_end_yn", F.when(hit, F.lit("N")).otherwise(F.col("b_end_yn"))), cols)
+
+    def derive(sh: DataFrame, rec: DataFrame) -> DataFrame:
+        j = sh.join(book_totals(rec).select(*SHELF_KEY, "_rows", "_sum"), SHELF_KEY, "left")
+        no_rows = F.col("_rows").isNull()
+        differs = F.coalesce(F.col("_sum") != F.col("b_page"), F.lit(False))
+        hit = no_rows | differs
+        return j.withColumn("b_end_yn", F.when(hit, F.lit("N")).otherwise(F.col("b_end_yn"))).select(*sh.columns)
+
+    return _for_readers(shelf, record, users, derive)
 
 
 # -- deletes -----------------------------------------------------------------
