@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import exact_dedup, sharding
+from pagewise.llm import decontaminate, exact_dedup, language_id, sharding, simhash
 from pagewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,52 @@ FROM d JOIN g USING (norm)
 def op2_sharding(spark, sf_dir):
     out = sharding.shard(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("spans")
+
+
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"""
+
+ORACLE["op4_decontamination"] = f"""
+WITH i AS (
+  SELECT item_id, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), phrases AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n,
+         array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM i)
+), d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), hits AS (
+  SELECT x.doc_id, x.s, x.n, p.item
+  FROM (
+    SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS p
+    FROM (SELECT d.doc_id, d.w, l.n, unnest(range(1, len(d.w) - l.n + 2)) AS s
+          FROM d, (SELECT DISTINCT n FROM phrases) l WHERE len(d.w) >= l.n)
+  ) x JOIN phrases p ON p.n = x.n AND p.p = x.p
+), words_hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hits) GROUP BY doc_id
+), items_hit AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(a.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(b.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(b.items, '')) AS items_sha256,
+       coalesce(a.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_hit a USING (doc_id) LEFT JOIN items_hit b USING (doc_id)
+"""
+
+
+@query
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
