@@ -50,8 +50,8 @@ def op4_decontamination(spark, sf_dir):
     return out.drop("spans")
 
 
-_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"""
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 ORACLE["op4_decontamination"] = f"""
 WITH i AS (
