@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, exact_dedup, language_id, sharding, simhash
+from pagewise.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, toxicity, url_filter
 from pagewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,18 @@ def op6_simhash(spark, sf_dir):
 @query
 def op10_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
