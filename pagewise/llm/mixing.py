@@ -205,7 +205,17 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEAT, max_patterns:
     near = rows.filter(edge).withColumn("edge", F.lit(1)).withColumn("run", F.sum("size").over(tied) + F.col("before") - F.col("size") / 2).drop("edge")
     far = rows.filter(~edge | F.col("bin").isNull()).withColumn("run", F.when(F.col("bin") < F.col("last"), F.lit(-1.0)))
     extra = F.coalesce((F.col("run") <= F.col("rest")).cast("long"), F.lit(0))
-    return near.unionByName(far).select("doc_id", "source", "digest", "size", "source_size", "target", (F.col("size") * (F.col("rounds") + extra)).alias("taken"))
+    rows = stored(near.unionByName(far).withColumn("extra", extra).drop("z", "bin", "run", "last", "before"), "drawn")
+
+    # the last document drawn may be long: turn the one decision in each source that brings it nearest to its quota
+    miss = rows.groupBy("s").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("miss"))
+    one = rows.filter("chance > 0").groupBy("s", "digest", "doc_id", "extra").agg(F.sum("size").alias("n")).join(F.broadcast(miss), "s")
+    better = one.withColumn("left", F.abs(F.col("miss") - F.when(F.col("extra") == 1, -F.col("n")).otherwise(F.col("n")))).filter("left < abs(miss)")
+    turned = better.groupBy("s").agg(F.min(F.struct("left", "digest", "doc_id")).alias("x")).select("s", F.col("x.digest").alias("turn"), F.col("x.doc_id").alias("turn_id"))
+    rows = rows.join(F.broadcast(turned), "s", "left")  # one row per source
+    is_it = (F.col("chance") > 0) & F.coalesce(F.col("digest") == F.col("turn"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("turn_id"))
+    taken = F.col("size") * (F.col("rounds") + F.when(is_it, 1 - F.col("extra")).otherwise(F.col("extra")))
+    return rows.select("doc_id", "source", "digest", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
