@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, toxicity, url_filter
+from pagewise.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, substring_dedup, toxicity, url_filter
 from pagewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,30 @@ def op7_toxicity(spark, sf_dir):
 @query
 def op8_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_substring_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 49], ' ') AS p
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)
+), least AS (
+  SELECT p, min(doc_id) AS first FROM windows GROUP BY p
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS pos
+  FROM windows JOIN least USING (p) WHERE first < doc_id
+), kept AS (
+  SELECT x.doc_id, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.pos) AS words
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.pos = x.pos) GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
