@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, exact_dedup, language_id, mixing, sharding, simhash, substring_dedup, toxicity, url_filter
+from pagewise.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, sharding, simhash, substring_dedup, toxicity, url_filter
 from pagewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
        sha256(coalesce(kept.words, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
