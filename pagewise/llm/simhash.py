@@ -27,8 +27,9 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewise.llm import graph
 from pagewise.llm.common import buffers, stored
@@ -60,15 +61,16 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(digests)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, name: str = "fp") -> DataFrame:
+    """``docs`` and the fingerprint of ``text`` as a signed long."""
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in buffers(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fps)], names=[*columns, name])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _segments(k: int) -> list[tuple[int, int]]:
@@ -90,36 +92,90 @@ def variants(fps: DataFrame, k: int = MAX_BITS) -> DataFrame:
     return fps.select("fp", F.posexplode(masks).alias("v", "mask")).select("v", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
-def _near(a: Column, b: Column, k: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= k
+def _linked(k: int, hot: int):
+    """For rows (v, key, fp) in order of (v, key): edges (a, b) between fingerprints of one variant at k or fewer
+    bits, and (fp, null) for each fingerprint of a variant with more than ``hot``."""
+
+    def edges(fps: np.ndarray):
+        bits = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64))
+        a, b = np.nonzero(np.triu(bits <= k, 1))
+        return np.minimum(fps[a], fps[b]), np.maximum(fps[a], fps[b])
+
+    def run(batches):
+        kept = [np.empty(0, np.int64)] * 3  # the last group of a batch may go on in the next
+        crowded = None
+        for batch in batches:
+            v, low, fp = (np.concatenate([old, batch.column(c).to_numpy().astype(np.int64)]) for old, c in zip(kept, ("v", "key", "fp")))
+            if not len(fp):
+                continue
+            cuts = np.flatnonzero((v[1:] != v[:-1]) | (low[1:] != low[:-1])) + 1
+            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(fp)]])
+            pairs, crowd = [], []
+            for i in np.flatnonzero((ends - starts > 1) | (starts == 0)).tolist():
+                group, name = fp[starts[i] : ends[i]], (v[starts[i]], low[starts[i]])
+                if name == crowded or len(group) > hot:
+                    crowd.append(group)
+                    crowded = name
+                elif ends[i] < len(fp):
+                    pairs.append(edges(group))
+            kept = [x[starts[-1] :] if (v[-1], low[-1]) != crowded else x[:0] for x in (v, low, fp)]
+            yield from _edge_batch(pairs, crowd)
+        yield from _edge_batch([edges(kept[2])], [])
+
+    return run
+
+
+def _edge_batch(pairs, crowd):
+    a, b = (np.concatenate([p[i] for p in pairs] + [np.empty(0, np.int64)]) for i in (0, 1))
+    alone = np.concatenate([*crowd, np.empty(0, np.int64)])
+    if len(a) + len(alone):
+        missing = np.arange(len(a) + len(alone)) >= len(a)
+        other = pa.array(np.concatenate([b, alone]), mask=missing)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, alone])), other], names=["a", "b"])
 
 
 def links(fps: DataFrame, k: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that make the same components as all links at k or fewer bits do.
 
-    Outside hot variants, these are all links."""
-    keys = variants(fps, k)
-    groups = keys.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    groups = stored(groups, "variants")
-    two = groups.filter("n = 2").filter(_near(F.col("a"), F.col("b"), k)).select("a", "b")
-    some = keys.join(groups.filter(f"n > 2 and n <= {hot}").select("v", "key"), ["v", "key"])
-    left, right = some.select("v", "key", F.col("fp").alias("a")), some.select("v", "key", F.col("fp").alias("b"))
-    pairs = left.join(right, (left.v == right.v) & (left.key == right.key) & (F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"), k)).select("a", "b")
-    crowd = keys.join(groups.filter(f"n > {hot}").select("v", "key"), ["v", "key"], "left_semi").select("fp").distinct()
+    Outside hot variants, these are all links.  Variants are dealt out and
+    sorted by value, and the fingerprints of one value, at most ``hot`` at
+    once, compared in their task."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = variants(fps.repartition(parts, "fp"), k).repartition(parts, "v", "key").sortWithinPartitions("v", "key")
+    found = stored(keys.mapInArrow(_linked(k, hot), "a long, b long").distinct(), "links")
+    crowd = found.filter("b is null").select(F.col("a").alias("fp")).repartition(parts, "fp")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = F.array(*[F.lit(signed(((1 << 64) - 1) ^ sum(1 << i for i in bits))) for bits in combinations(range(64), k)])
     spread = crowd.select("fp", F.posexplode(masks).alias("v", "mask")).select("v", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     least = spread.groupBy("v", "key").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).filter(F.size("all") > 1)  # 2**k at most
     stars = least.select("a", F.explode("all").alias("b")).filter("a != b")
-    return two.union(pairs).union(stars).distinct()
+    return found.filter("b is not null").union(stars)
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, k: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links), one row per row of ``docs``."""
-    rows = stored(fingerprints(docs, width), "fingerprints")
+def _grouped(rows: DataFrame, k: int, hot: int) -> DataFrame:
+    """rows (doc_id, fp) and their component: root (its least fingerprint), component_id."""
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = graph.components(links(nodes.select("fp"), k, hot)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(placed.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, k: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links), one row per row of ``docs``."""
+    rows = stored(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "fingerprints")
+    return _grouped(rows, k, hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = SHINGLE, k: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row with the smallest doc_id stays.
+
+    Of rows that repeat it, and of rows of that id with other texts in the component, one stays; of a component of
+    null ids only, one."""
+    last = (1 << 63) - 1  # stands for a null id
+    rows = stored(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "fingerprints")
+    found = _grouped(rows, k, hot).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = found.groupBy("root").agg(F.min("fp").alias("_fp"), F.first("doc_id").alias("_id"))
+    stay = stay.select("_fp", F.coalesce("_id", F.lit(last)).alias("_id"))
+    full = fingerprints(docs, width, "_fp").withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(last)))
+    return full.join(stay, ["_fp", "_id"]).dropDuplicates(["_fp", "_id"]).select(*docs.columns)
