@@ -55,7 +55,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     span = top
     while span * top < (1 << 62) and width < 4:  # several symbols in the first key
         nxt = np.zeros(n, np.int64)
-        nxt[: n - width] = s[width:]
+        if width < n:
+            nxt[: n - width] = s[width:]
         key = key * top + nxt
         span *= top
         width += 1
