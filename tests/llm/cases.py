@@ -1,0 +1,34 @@
+"""Tables shared by the tests of the llm operators."""
+
+import random
+
+from pyspark.sql import functions as F
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns whose names the operators use themselves.
+CLASHING = "k t r id key fp h n s b shard slot size first digest hashes toxic score kept words recipe mask v a pattern taken".split()
+
+
+def frame(spark, rows, schema=DOCS, clash=True):
+    """documents of (doc_id, text, lang, source) rows, with clashing extra columns."""
+    rows = [(i, t, lang, src, None if t is None else len(t)) for i, t, lang, src in rows]
+    df = spark.createDataFrame(rows, schema)
+    return df.select("*", *[F.lit(f"x{c}").alias(c) for c in CLASHING]) if clash else df
+
+
+def odd_rows(seed=1):
+    """Nulls in every column, empty and blank texts, a very long text, ties, rows that repeat, ids that repeat."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    shared = text(70)
+    rows = [
+        (1, None, "en", "a"), (2, "", "en", "a"), (3, " \t\n", "de", None), (4, "...", None, "b"),
+        (None, shared, "en", "a"), (None, None, None, None), (None, shared, "en", "a"),
+        (5, shared, "en", "a"), (6, shared, "en", "b"), (6, shared, "en", "b"), (7, shared.upper(), "en", "b"),
+        (8, text(20) + " " + shared + "\n" + text(30), "de", "c"), (8, text(60), "de", "c"),
+        (9, text(120_000), "fr", "b"), (10, "x" * 300_000, "fr", None), (11, "éèê ñ \U0001f600 " + text(5), "es", "a"),
+    ]
+    rows += [(100 + i, text(rng.randint(1, 120)), rng.choice(["en", "de"]), rng.choice("abc")) for i in range(60)]
+    rows += [(200 + i, shared + "\n" + text(3), "en", "a") for i in range(40)]
+    return rows
