@@ -1,27 +1,66 @@
-"""Corpus pipeline: STAGES over ``documents``."""
+"""Corpus pipeline: five stages over ``documents``, each calling one operator of ``pagewise.llm``.
+
+A stage takes (spark, docs, sf_dir), works on every row that the stage before
+kept, and returns the columns of ``documents``; the last returns the shard and
+slot of each row.  ``run`` writes each stage's rows as Parquet in the shared
+folder and reads them again for the next, so a lost executor costs one stage
+at most.  An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pagewise.llm import sharding
-from pagewise.llm.common import shared_dir, table
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewise.llm import decontaminate, language_id, mixing, sharding, simhash
+from pagewise.llm.common import shared_dir, table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: texts without a letter, or whose best language has a score below one half, go."""
+    return language_id.known_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: of each group the document with the smallest id stays."""
+    return simhash.representatives(docs)
 
-def sharded(spark, docs, sf_dir):
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: spans of benchmark phrases are cut from the texts; texts of nothing else go."""
+    cut = decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sharding: the shard and slot of each row."""
     out = sharding.shard(docs, n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-STAGES = [("sharding", sharded)]
+STAGES = [
+    ("language ID", known_language),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed),
+    ("sharding", sharded),
+]
+
+#: Hashes, a trained model and a flow decide: SQL can't express the stages.  tests/llm hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
-    docs, root = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, root = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/llm/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name.replace(' ', '_')}")
-        docs = spark.read.parquet(f"{root}/{name.replace(' ', '_')}")
+        path = f"{root}/{name.replace(' ', '_')}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
