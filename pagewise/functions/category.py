@@ -20,9 +20,3 @@ def category_label(code: Column | str, scheme: str = "kdc") -> Column:
     for k, v in labels.items():
         expr = F.when(code == F.lit(k), F.lit(v)) if expr is None else expr.when(code == F.lit(k), F.lit(v))
     return expr.otherwise(F.lit(OTHER_LABEL))
-
-
-def category_sql(code: str, scheme: str = "kdc") -> str:
-    """The same mapping as SQL text (used by oracle statements and spark.sql)."""
-    branches = " ".join(f"WHEN {code} = '{k}' THEN '{v}'" for k, v in CATEGORY_LABELS[scheme].items())
-    return f"CASE {branches} ELSE '{OTHER_LABEL}' END"
