@@ -18,8 +18,7 @@ from pagewise.operators.progress import with_pages_read
 from pagewise.schema import PAGE_SIZE, SHELF_KEY
 from pagewise.sources.binding import ReadingLog
 
-# Largest number of identical rows generated by one task when a tie group is
-# expanded back into rows (see running_pages).
+# Identical rows of a tie group that one input row is expanded into (see running_pages).
 EXPAND_CHUNK = 1 << 20
 
 
@@ -121,42 +120,34 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
 
     1. identical rows (same user, book, date, pages) are interchangeable, so
        they are counted, not carried: a partial aggregate;
-    2. the running total runs over these tie groups, whose number per book is
-       bounded by (days x distinct page counts), not by the record volume
-       (and ``scan.running`` still spreads a book with very many groups);
-    3. the k-th row of a group has total ``upto - (n - k) * r_page``; when a
-       group may exceed ``EXPAND_CHUNK`` rows (bounded by records per book),
-       groups are expanded in chunks re-spread over tasks, so one hot book
-       never lands on one task; otherwise in place, without a shuffle.
+    2. the running total runs over these tie groups, month by month of a book;
+       a book that stands on a shelf several times meets its rows only after;
+    3. the k-th row of a group has total ``upto - (n - k) * r_page``; groups
+       are cut into chunks of ``EXPAND_CHUNK`` rows, dealt out and expanded, so
+       one hot book never lands on one task.
 
     Inside a day the order is r_page ascending (the original leaves it open);
     the output multiset is the window's exactly.
     """
-    groups = record.groupBy(*SHELF_KEY, "r_date", "r_page").agg(F.count(F.lit(1)).alias("_n"))
-    books = shelf.select(*SHELF_KEY, "b_title", "b_author", "b_page", "b_update_dt")
-    g = groups.join(books, SHELF_KEY, "inner")
-    # records per book bound both the groups per book and the rows per group
-    largest = scan.largest_group(record, SHELF_KEY)
+    g = record.groupBy(*SHELF_KEY, "r_date", "r_page").agg(F.count(F.lit(1)).alias("_n"))
     g = scan.running(
         g,
         SHELF_KEY,
         [F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last()],
         [("_upto", "sum", F.col("r_page") * F.col("_n"), True)],
-        largest=largest,
+        [(F.trunc("r_date", "month"), "asc_nulls_last")],
     )
-    if largest <= EXPAND_CHUNK:
-        rows = g.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    else:
-        n_chunks = F.floor((F.col("_n") - 1) / EXPAND_CHUNK).cast("long")
-        g = g.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks)))
-        g = g.repartition(*SHELF_KEY, "r_date", "r_page", "_chunk")
-        lo = F.col("_chunk") * EXPAND_CHUNK + 1
-        hi = F.least(F.col("_n"), (F.col("_chunk") + 1) * EXPAND_CHUNK)
-        rows = g.withColumn("_k", F.explode(F.sequence(lo, hi))).drop("_chunk")
+    books = shelf.select(*SHELF_KEY, "b_title", "b_author", "b_page", "b_update_dt")
+    g = g.join(books, SHELF_KEY, "inner")
+    last_chunk = F.expr(f"(_n - 1) div {EXPAND_CHUNK}")
+    g = g.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
+    g = g.repartition(*SHELF_KEY, "r_date", "r_page", "_chunk")
+    lo, hi = F.col("_chunk") * EXPAND_CHUNK + 1, F.least(F.col("_n"), (F.col("_chunk") + 1) * EXPAND_CHUNK)
+    rows = g.withColumn("_k", F.explode(F.sequence(lo, hi)))
     sum_page = F.when(
         F.col("r_page").isNull(), F.col("_upto")
     ).otherwise(F.col("_upto") - (F.col("_n") - F.col("_k")) * F.col("r_page"))
-    return rows.withColumn("sum_page", sum_page).drop("_n", "_upto", "_k")
+    return rows.withColumn("sum_page", sum_page).drop("_n", "_upto", "_k", "_chunk")
 
 
 def record_log(log: ReadingLog, user=None) -> DataFrame:
@@ -193,9 +184,10 @@ def paged_log(log: ReadingLog, user=None, page_size: int = PAGE_SIZE) -> DataFra
     """Record log with its row number and page number (pages of ``page_size``)."""
     log = log.for_user(user)
     r = running_pages(log.record, log.shelf)
-    # A reader's whole log is one ordering; scan.row_number spreads a reader
-    # with a huge log over many tasks instead of one window partition.
-    r = scan.row_number(r, ["user_id"], log_order(), "rn", largest=scan.largest_group(log.record, ["user_id"]))
+    # A reader's whole log is one ordering; its buckets are the books last read
+    # on one day and, inside, the days.
+    days = [(F.col("b_update_dt"), "desc_nulls_first"), (F.col("r_date"), "desc_nulls_first")]
+    r = scan.row_number(r, ["user_id"], log_order(), days)
     return r.select(
         "user_id",
         F.col("rn").cast("long").alias("rn"),

@@ -2,24 +2,16 @@
 
 ``Window.partitionBy(key)`` puts every row of one key into one task.  When a
 key may hold a third of all rows (one reader's whole log), that task is the
-job.  These helpers first measure the largest group (one partial-aggregated
-count per key, a single number to the driver):
-
-* small enough (``WINDOW_GROUP_LIMIT`` rows): the plain window;
-* larger: a distributed prefix scan —
-  1. ``repartitionByRange(key, order)`` (sampled bounds split a hot key over
-     several partitions, balanced by row count);
-  2. the same window over (partition id, key): each piece is at most one
-     range partition;
-  3. the pieces are checkpointed (reliable, under spark.checkpoint.dir) so the
-     partition ids stay fixed for the next two steps;
-  4. per (partition, key) totals -> exclusive prefix over the key's pieces
-     (a window over at most #partitions rows per key) -> joined back and
-     combined with the local values.
-
-Supported running aggregates: ``sum`` (over non-NULL inputs), ``min``,
-``max`` and ``count``; frames are "all preceding rows" with or without the
-current row.  A suffix aggregate is a prefix over the reversed order.
+job.  The caller therefore names a bucket: columns that lead the order (the
+month of a date, a range of sequence numbers), so that a key's rows fall into
+many small groups.  The window runs per (key, bucket); the totals of a key's
+buckets, one row each, are turned into an exclusive prefix and joined back.
+There is one path whatever the sizes, and building the frame runs no job.
+
+Supported: ``sum`` (over non-NULL inputs), ``min``, ``max`` and ``count``; a
+frame is "all preceding rows" with or without the current row.  A suffix
+aggregate is a prefix over the reversed order.  NULL keys and NULL buckets are
+values like any other.
 """
 
 from __future__ import annotations
@@ -29,24 +21,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW_GROUP_LIMIT = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest key group (partial aggregation, one value back)."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(r[0] or 0)
-
-
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
 def _combine(kind: str, off: Column, local: Column) -> Column:
     if kind in ("sum", "count"):
         return F.when(off.isNull(), local).when(local.isNull(), off).otherwise(off + local)
-    if kind == "min":
-        return F.least(off, local)
-    return F.greatest(off, local)
+    return F.least(off, local) if kind == "min" else F.greatest(off, local)
 
 
 def running(
@@ -54,64 +35,36 @@ def running(
     keys: Sequence[str],
     order: Sequence[Column],
     aggs: Sequence[tuple[str, str, Column, bool]],
-    limit: int | None = None,
-    largest: int | None = None,
+    buckets: Sequence[tuple[Column, str]],
 ) -> DataFrame:
     """Add running aggregates: each spec is (name, kind, value, include_current).
 
-    ``largest``: a known upper bound of the largest key group, measured by the
-    caller on a cheap stored input (e.g. records per reader bound records per
-    book); measured here on ``df`` when omitted."""
-    limit = WINDOW_GROUP_LIMIT if limit is None else limit
-    keys = list(keys)
+    ``buckets``: (value, direction) pairs that come before ``order`` in the
+    wanted order; direction is a Column method such as ``asc_nulls_last``."""
+    keys, names = list(keys), [f"_b{i}" for i in range(len(buckets))]
+    place = [*keys, *names]
 
     def frame(w, inclusive):
         return w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
 
-    if (largest if largest is not None else largest_group(df, keys)) <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        out = df
-        for name, kind, value, inclusive in aggs:
-            out = out.withColumn(name, _AGG[kind](value).over(frame(w, inclusive)))
-        return out
-
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", *keys).orderBy(*order)
-    local = ranged
-    for name, kind, value, inclusive in aggs:
-        local = local.withColumn(name, _AGG[kind](value).over(frame(w, inclusive)))
-        local = local.withColumn(f"_v_{name}", value)
-    local = local.checkpoint(eager=True)
-    tot = local.groupBy("_pid", *keys).agg(
-        *[_AGG[kind](F.col(f"_v_{name}")).alias(f"_t_{name}") for name, kind, _, _ in aggs]
-    )
-    wp = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(
-        "_pid",
-        *keys,
-        *[
-            (F.sum if kind in ("sum", "count") else _AGG[kind])(F.col(f"_t_{name}")).over(wp).alias(f"_o_{name}")
-            for name, kind, _, _ in aggs
-        ],
+    local = df.withColumns({n: c for n, (c, _) in zip(names, buckets)} | {f"_v_{n}": v for n, _, v, _ in aggs})
+    w = Window.partitionBy(*place).orderBy(*order)
+    totals = local.groupBy(*place).agg(*[_AGG[kind](f"_v_{n}").alias(f"_t_{n}") for n, kind, _, _ in aggs])
+    before = Window.partitionBy(*keys).orderBy(*[getattr(F.col(n), how)() for n, (_, how) in zip(names, buckets)])
+    join_back = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+    offsets = totals.select(
+        *[F.col(c).alias(f"_k_{c}") for c in place],
+        *[join_back[kind](f"_t_{n}").over(frame(before, False)).alias(f"_o_{n}") for n, kind, _, _ in aggs],
     )
-    out = local.join(off, ["_pid", *keys], "left")
-    for name, kind, _, _ in aggs:
-        out = out.withColumn(name, _combine(kind, F.col(f"_o_{name}"), F.col(name)))
-    return out.drop("_pid", *[f"_v_{n}" for n, _, _, _ in aggs], *[f"_o_{n}" for n, _, _, _ in aggs])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in place]
+    out = local.withColumns({n: _AGG[kind](f"_v_{n}").over(frame(w, inclusive)) for n, kind, _, inclusive in aggs})
+    out = out.join(offsets, same, "left")
+    out = out.withColumns({n: _combine(kind, F.col(f"_o_{n}"), F.col(n)) for n, kind, _, _ in aggs})
+    return out.select(*df.columns, *[n for n, *_ in aggs if n not in df.columns])
 
 
-def row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str = "rn",
-    limit: int | None = None,
-    largest: int | None = None,
-) -> DataFrame:
-    """1-based position of each row inside its key group, by ``order``.
+def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[tuple[Column, str]], name: str = "rn") -> DataFrame:
+    """1-based position of each row inside its key group, by buckets and then ``order``.
 
     Ties in ``order`` are numbered in an arbitrary order, as row_number does."""
-    out = running(df, keys, order, [(name, "count", F.lit(1), True)], limit, largest)
-    return out.withColumn(name, F.col(name).cast("int"))
+    return running(df, keys, order, [(name, "count", F.lit(1), True)], buckets)

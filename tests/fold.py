@@ -9,7 +9,7 @@ def fold_reference(shelf_rows, record_rows, log_rows):
     record_rows: dicts with user_id, b_isbn, r_date, r_page
     log_rows: dicts with user_id, b_isbn, seq, op, r_date, r_page
     """
-    shelf = {(s["user_id"], s["b_isbn"]): dict(s) for s in shelf_rows}
+    shelf = [dict(s) for s in shelf_rows]  # a book may stand on a shelf several times
     recs = [dict(r) for r in record_rows]
     for e in sorted(log_rows, key=lambda x: (x["user_id"], x["seq"])):
         u = e["user_id"]
@@ -20,9 +20,10 @@ def fold_reference(shelf_rows, record_rows, log_rows):
                 r for r in recs
                 if not (r["user_id"] == u and r["b_isbn"] == e["b_isbn"] and r["r_date"] == e["r_date"])
             ]
-        for (su, si), s in shelf.items():
-            if su != u:
+        for s in shelf:
+            if s["user_id"] != u:
                 continue
+            si = s["b_isbn"]
             mine = [r for r in recs if r["user_id"] == u and r["b_isbn"] == si]
             dated = [r["r_date"] for r in mine if r["r_date"] is not None]
             s["b_create_dt"] = min(dated) if dated else None
@@ -35,4 +36,4 @@ def fold_reference(shelf_rows, record_rows, log_rows):
             else:
                 if not mine or (total is not None and s["b_page"] is not None and total != s["b_page"]):
                     s["b_end_yn"] = "N"
-    return list(shelf.values()), recs
+    return shelf, recs

@@ -44,13 +44,6 @@ def test_single_user_view_is_sorted(spark):
     assert known == sorted(known) and dates[: len(known)] == known
 
 
-def test_page_numbers_ranged(spark, monkeypatch):
-    from pagewise.operators import scan
-
-    monkeypatch.setattr(scan, "WINDOW_GROUP_LIMIT", 0)
-    test_page_numbers(spark)
-
-
 def test_running_pages_chunked_expansion(spark, monkeypatch):
     """Force the chunked expansion (tiny chunk) and compare with the default path."""
     from pagewise.operators import lists

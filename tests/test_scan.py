@@ -1,7 +1,8 @@
-"""The distributed prefix scan equals the plain window, on a skewed key."""
+"""The bucketed running aggregates equal the plain window, on a skewed key and on NULL keys."""
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewise.operators import scan
@@ -13,10 +14,23 @@ def _data(spark):
     for i in range(6000):
         k = 0 if i < 4000 else rng.randint(1, 50)  # key 0 holds two thirds of the rows
         rows.append((k, i * 3 + rng.randint(0, 2), rng.choice([None, 1, 2, 5]), rng.randint(-9, 9)))
+    rows += [(None, i, 1, 1) for i in range(40)] + [(1, None, 2, 2)]
     return spark.createDataFrame(rows, "k long, seq long, v long, w long")
 
 
-def test_running_ranged_equals_window(spark):
+def _plain(df, keys, order, specs):
+    agg = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
+    w = Window.partitionBy(*keys).orderBy(*order)
+    for name, kind, value, inclusive in specs:
+        df = df.withColumn(name, agg[kind](value).over(w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)))
+    return df
+
+
+def _rows(df, cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+def test_running_equals_window(spark):
     df = _data(spark)
     specs = [
         ("s_inc", "sum", F.coalesce(F.col("v"), F.lit(0)), True),
@@ -25,21 +39,29 @@ def test_running_ranged_equals_window(spark):
         ("x_exc", "max", F.col("v"), False),
         ("c_inc", "count", F.col("v"), True),
     ]
-    order = [F.col("seq").asc()]
-    plain = scan.running(df, ["k"], order, specs, limit=10**9)
-    ranged = scan.running(df, ["k"], order, specs, limit=0)
     cols = ["k", "seq", "s_inc", "s_exc", "m_inc", "x_exc", "c_inc"]
-    a = sorted(tuple(r) for r in plain.select(*cols).collect())
-    b = sorted(tuple(r) for r in ranged.select(*cols).collect())
-    assert a == b
+    for how in ("asc_nulls_last", "desc_nulls_first"):
+        order = [getattr(F.col("seq"), how)()]
+        got = scan.running(df, ["k"], order, specs, [(F.expr("seq div 500"), how)])
+        assert _rows(got, cols) == _rows(_plain(df, ["k"], order, specs), cols)
 
 
-def test_row_number_ranged(spark):
+def test_row_number(spark):
     df = _data(spark)
-    out = scan.row_number(df, ["k"], [F.col("seq").desc()], limit=0)
-    got = sorted((r.k, r.seq, r.rn) for r in out.select("k", "seq", "rn").collect())
-    exp = []
-    for k in {r.k for r in df.select("k").distinct().collect()}:
-        seqs = sorted((r.seq for r in df.filter(F.col("k") == k).select("seq").collect()), reverse=True)
-        exp += [(k, s, i + 1) for i, s in enumerate(seqs)]
-    assert got == sorted(exp)
+    out = scan.row_number(df, ["k"], [F.col("seq").desc_nulls_last()], [(F.expr("seq div 100"), "desc_nulls_last")])
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("seq").desc_nulls_last())).cast("long"))
+    assert _rows(out, ["k", "seq", "rn"]) == _rows(want, ["k", "seq", "rn"])
+
+
+def test_building_a_frame_runs_no_job(spark):
+    from tests.fixture import micro_log
+
+    from pagewise.operators import changes, lists
+
+    log = micro_log(spark)
+    tracker, group = spark.sparkContext.statusTracker(), "lazy"
+    spark.sparkContext.setJobGroup(group, group)
+    lists.paged_log(log)
+    lists.record_log(log)
+    changes.refresh_dates(log.shelf, log.record, log.reader.select("user_id"))
+    assert not tracker.getJobIdsForGroup(group)
