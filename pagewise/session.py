@@ -2,7 +2,7 @@
 
 On a cluster the session comes from the platform and ``spark.checkpoint.dir``
 names a shared folder; we only read it.  Tests and the bench build a local
-session and, only there, point the checkpoint folder at a fresh scratch dir.
+session with ``build_session`` and, only there, the folder is a fresh scratch dir.
 """
 
 from __future__ import annotations
@@ -34,34 +34,24 @@ def build_session(
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PAGEWISE_DRIVER_MEMORY", "8g"))
     )
-    for k, v in (extra or {}).items():
+    extra = dict(extra or {})
+    if "spark.checkpoint.dir" not in extra:  # this session is for one machine: a scratch folder
+        extra["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="pagewise-state-")
+    for k, v in extra.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    state_root(spark)
     return spark
 
 
 def state_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and written table versions.
+    """Shared folder for checkpoints and written table versions: ``spark.checkpoint.dir``, as it is set.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only when
-    neither is set (local tests) a fresh scratch folder is created and
-    registered, so later ``checkpoint()`` calls have somewhere to go.
-    """
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir()
+    Spark keeps its own checkpoints in a folder per application below it;
+    tables, state and stream checkpoints stand beside those, so the next
+    application finds them.  There is no default: tests and the bench set a
+    folder through ``build_session``."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = sc.getConf().get("spark.checkpoint.dir", None)
-        if not root:
-            if not sc.master.startswith("local"):
-                raise RuntimeError(
-                    "spark.checkpoint.dir is not set: pagewise keeps checkpoints and table versions in the "
-                    "shared folder it names; set it to a location every executor can reach"
-                )
-            root = tempfile.mkdtemp(prefix="pagewise-state-")  # single machine only (tests, bench)
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir() or root
-    # setCheckpointDir appends a per-application sub folder; keep the parent
-    # so table versions written by different runs share one root.
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that every executor can reach")
     return root.rstrip("/")

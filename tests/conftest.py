@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,8 +14,5 @@ def spark():
     from pagewise.session import build_session
 
     s = build_session(master="local[*]", shuffle_partitions=8)
-    # tests run without a cluster-provided checkpoint folder: use a scratch one
-    if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewise-test-"))
     yield s
     s.stop()
