@@ -19,29 +19,12 @@ def _c(c: Column | str) -> Column:
 
 def ratio_round_half_up(num: Column | str, den: Column | str, scale: int = 2) -> Column:
     """round(num/den, scale) half away from zero, exact; NULL when den is 0/NULL."""
-    n, d = _c(num).cast("long"), _c(den).cast("long")
+    n, d = _c(num).cast("decimal(25,0)"), _c(den).cast("decimal(20,0)")
     p = 10**scale
-    mag = (F.abs(n) * (2 * p) + d) / (d * 2)
-    q = F.floor(mag)  # operands are exact integers well inside 2^53 for page counts
-    val = F.when(d > 0, F.signum(n) * q / F.lit(float(p)))
-    return val.cast("double")
-
-
-def ratio_round_half_even(num: Column | str, den: Column | str, scale: int = 2) -> Column:
-    """round(num/den, scale) half to even on the exact ratio (Python's rounding rule)."""
-    n, d = _c(num).cast("long"), _c(den).cast("long")
-    p = 10**scale
-    scaled = n * p
-    q = F.floor(scaled / d).cast("long")
-    r = scaled - q * d
-    up = (r * 2 > d) | ((r * 2 == d) & (F.pmod(q, F.lit(2)) == 1))
-    return F.when(d != 0, (q + F.when(up, 1).otherwise(0)) / F.lit(float(p))).cast("double")
-
-
-def avg_round(values: Column | str, scale: int = 2) -> Column:
-    """ROUND(AVG(x), scale) for whole-number x, as an aggregate expression."""
-    v = _c(values)
-    return ratio_round_half_up(F.sum(v), F.count(v), scale)
+    # 25 digits of |n| times 2p, plus d: exact in 38 digits; floor of an exact quotient of whole numbers
+    top = F.abs(n) * F.lit(2 * p).cast("decimal(4,0)") + d
+    q = F.call_function("div", top, d * F.lit(2).cast("decimal(1,0)"))
+    return F.when(d > 0, F.signum(n) * q / F.lit(float(p))).cast("double")
 
 
 def half_up_js(c: Column | str, scale: int = 2) -> Column:

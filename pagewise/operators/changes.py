@@ -12,6 +12,9 @@ aggregated and only their shelf rows joined; ``None`` means everyone.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +22,9 @@ from pagewise.functions.text import blank_to_null
 from pagewise.schema import READER, RECORD, SHELF, SHELF_KEY
 
 
-# Largest reader set shipped to every task (8 bytes an id: ~16 MB).
-BROADCAST_READERS = 2_000_000
-
-
 def reader_set(users: DataFrame) -> DataFrame:
-    """Distinct reader ids, broadcast only when their counted number is small."""
-    ids = users.select(F.col("user_id").cast("long").alias("user_id")).distinct()
-    return F.broadcast(ids) if ids.count() <= BROADCAST_READERS else ids
+    """Distinct reader ids; Spark broadcasts them where their measured size allows."""
+    return users.select(F.col("user_id").cast("long").alias("user_id")).distinct()
 
 
 def _for_readers(shelf: DataFrame, record: DataFrame, users: DataFrame | None, derive) -> DataFrame:
@@ -51,12 +49,14 @@ def parse_books(form: DataFrame) -> DataFrame:
     """Form rows (all text) -> shelf rows, as the insert statement stores them.
 
     Blank fields become NULL (the database treats '' as NULL), the finished
-    flag starts at 'N' and the reading dates start empty.
+    flag starts at 'N' and the reading dates start empty.  A row with a field
+    that doesn't parse is left out here and found by ``rejected_books``.
     """
+    form = form.filter(~_bad_book())
     t = {f.name: f.dataType for f in SHELF.fields}
 
     def val(c: str) -> Column:
-        return blank_to_null(F.col(c).cast("string")).cast(t[c]).alias(c)
+        return blank_to_null(F.col(c).cast("string")).try_cast(t[c]).alias(c)
 
     return form.select(
         *[val(c) for c in ("user_id", "b_isbn", "b_title", "b_author", "b_dicount", "b_page", "b_category",
@@ -67,17 +67,44 @@ def parse_books(form: DataFrame) -> DataFrame:
     )
 
 
+def _unparsed(c: str, kind: str) -> Column:
+    """A field that is neither blank nor of the kind."""
+    text = blank_to_null(F.col(c).cast("string"))
+    return text.isNotNull() & text.try_cast(kind).isNull()
+
+
+def _bad_book() -> Column:
+    kinds = [("user_id", "long"), ("b_isbn", "long"), ("b_dicount", "long"), ("b_page", "int")]
+    return reduce(or_, [_unparsed(c, k) for c, k in kinds])
+
+
+def _bad_record() -> Column:
+    day = blank_to_null(F.col("readDate"))
+    bad = [_unparsed(c, "long") for c in ("user_id", "b_isbn", "page")]
+    return reduce(or_, bad, day.isNotNull() & F.try_to_date(day, "yyyy-MM-dd").isNull())
+
+
+def rejected_books(form: DataFrame) -> DataFrame:
+    """Form rows that ``parse_books`` leaves out: one bad field loses one request, not the batch."""
+    return form.filter(_bad_book())
+
+
+def rejected_records(form: DataFrame) -> DataFrame:
+    """Form rows that ``parse_records`` leaves out."""
+    return form.filter(_bad_record())
+
+
 def add_books(shelf: DataFrame, form: DataFrame) -> DataFrame:
     return shelf.unionByName(parse_books(form))
 
 
 def parse_records(form: DataFrame) -> DataFrame:
-    """Form rows (user_id, b_isbn, readDate 'YYYY-MM-DD', page) -> record rows."""
-    return form.select(
-        F.col("user_id").cast("long").alias("user_id"),
-        F.col("b_isbn").cast("long").alias("b_isbn"),
-        F.to_date(blank_to_null("readDate"), "yyyy-MM-dd").alias("r_date"),
-        blank_to_null(F.col("page").cast("string")).cast("long").alias("r_page"),
+    """Form rows (user_id, b_isbn, readDate 'YYYY-MM-DD', page) -> record rows, without ``rejected_records``."""
+    return form.filter(~_bad_record()).select(
+        F.col("user_id").try_cast("long").alias("user_id"),
+        F.col("b_isbn").try_cast("long").alias("b_isbn"),
+        F.try_to_date(blank_to_null("readDate"), "yyyy-MM-dd").alias("r_date"),
+        blank_to_null(F.col("page").cast("string")).try_cast("long").alias("r_page"),
     )
 
 
@@ -142,8 +169,7 @@ def mark_finished(shelf: DataFrame, record: DataFrame, users: DataFrame | None =
 
     def derive(sh: DataFrame, rec: DataFrame) -> DataFrame:
         j = sh.join(book_totals(rec).select(*SHELF_KEY, "_sum"), SHELF_KEY, "left")
-        hit = F.coalesce(F.col("_sum") == F.col("b_page"), F.lit(False))
-        return j.withColumn("b_end_yn", F.when(hit, F.lit("Y")).otherwise(F.col("b_end_yn"))).select(*sh.columns)
+        return j.withColumn("b_end_yn", _finished_flag()).select(*sh.columns)
 
     return _for_readers(shelf, record, users, derive)
 
@@ -157,10 +183,7 @@ def unmark_finished(shelf: DataFrame, record: DataFrame, users: DataFrame | None
 
     def derive(sh: DataFrame, rec: DataFrame) -> DataFrame:
         j = sh.join(book_totals(rec).select(*SHELF_KEY, "_rows", "_sum"), SHELF_KEY, "left")
-        no_rows = F.col("_rows").isNull()
-        differs = F.coalesce(F.col("_sum") != F.col("b_page"), F.lit(False))
-        hit = no_rows | differs
-        return j.withColumn("b_end_yn", F.when(hit, F.lit("N")).otherwise(F.col("b_end_yn"))).select(*sh.columns)
+        return j.withColumn("b_end_yn", _unfinished_flag()).select(*sh.columns)
 
     return _for_readers(shelf, record, users, derive)
 
@@ -191,20 +214,37 @@ def remove_records(record: DataFrame, keys: DataFrame) -> DataFrame:
 # -- one request = one plan -----------------------------------------------------
 
 
+def _refreshed(shelf: DataFrame, record: DataFrame, users: DataFrame, flag) -> DataFrame:
+    """Dates and flag of the touched readers' books from one per-book aggregate."""
+
+    def derive(sh: DataFrame, rec: DataFrame) -> DataFrame:
+        j = sh.join(book_totals(rec), SHELF_KEY, "left").withColumn("b_end_yn", flag())
+        return j.withColumn("b_create_dt", F.col("_first")).withColumn("b_update_dt", F.col("_last")).select(*sh.columns)
+
+    return _for_readers(shelf, record, users, derive)
+
+
+def _finished_flag() -> Column:
+    hit = F.coalesce(F.col("_sum") == F.col("b_page"), F.lit(False))
+    return F.when(hit, F.lit("Y")).otherwise(F.col("b_end_yn"))
+
+
+def _unfinished_flag() -> Column:
+    hit = F.col("_rows").isNull() | F.coalesce(F.col("_sum") != F.col("b_page"), F.lit(False))
+    return F.when(hit, F.lit("N")).otherwise(F.col("b_end_yn"))
+
+
 def apply_add_request(shelf: DataFrame, record: DataFrame, form: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One "log pages" request (or a batch of requests from *different*
     readers): insert, refresh the dates of the readers' books, set 'Y' where
     the pages now match.  Several requests of one reader must go through the
     replay (the flag depends on their order)."""
-    new_record = add_records(record, form)
-    users = form.select(F.col("user_id").cast("long").alias("user_id"))
-    new_shelf = mark_finished(refresh_dates(shelf, new_record, users), new_record, users)
-    return new_shelf, new_record
+    new = parse_records(form)
+    new_record = record.unionByName(new)
+    return _refreshed(shelf, new_record, new, _finished_flag), new_record
 
 
 def apply_delete_request(shelf: DataFrame, record: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One "delete a day" request: delete, refresh dates, set 'N' where NOT IN holds."""
     new_record = remove_records(record, keys)
-    users = keys.select(F.col("user_id").cast("long").alias("user_id"))
-    new_shelf = unmark_finished(refresh_dates(shelf, new_record, users), new_record, users)
-    return new_shelf, new_record
+    return _refreshed(shelf, new_record, keys, _unfinished_flag), new_record

@@ -16,16 +16,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewise.functions.numeric import half_up_js, ratio_round_half_up
+from pagewise.operators import scan
 from pagewise.session import state_root
 from pagewise.sources.binding import ReadingLog
 
-FEATURES = ["b_category_encoded", "b_page"]
+FEATURES = ["category_number", "b_page"]
 LABEL = "total_days"
 SPLIT_SEED = 42
 
@@ -77,12 +78,18 @@ def split(df: DataFrame, seed: int = SPLIT_SEED, method: str = "hash") -> DataFr
     """50/50 train/test split as a ``split`` column.
 
     ``hash`` (default): by a hash of the isbn — reproducible across runs and
-    partitionings, and checkable against SQL.  ``random``: Spark's sampled
+    partitionings, and checkable against SQL.  ``half``: exactly half of the
+    rows, those first by that hash.  ``random``: Spark's sampled
     ``randomSplit([0.5, 0.5], seed)`` (stable only for a fixed partitioning)."""
     if method == "random":
         train, test = df.randomSplit([0.5, 0.5], seed)
         return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("b_isbn").cast("string")))
+    if method == "half":
+        first, last = F.substring("_h", 1, 3), [F.col("_h"), F.col("b_isbn")]  # 4,096 buckets of the hash, totalled one row each
+        out = scan.row_number(df.withColumn("_h", h), [], last, [(first, "asc")], "_up")
+        out = scan.row_number(out, [], [c.desc() for c in last], [(first, "desc")], "_down")
+        return out.withColumn("split", F.when(F.col("_up") <= F.col("_down"), "train").otherwise("test")).drop("_h", "_up", "_down")
     return df.withColumn("split", F.when(F.substring(h, 1, 1) < "8", "train").otherwise("test"))
 
 
@@ -93,16 +100,24 @@ def booster(max_iter: int = 100, seed: int = 1, max_depth: int = 6, step: float
     )
 
 
-def model_pipeline(regressor=None) -> Pipeline:
+def model_pipeline(regressor=None, handle_invalid: str = "error") -> Pipeline:
+    """Encode, assemble, regress.  The code enters as a plain number, as in the original: a nominal feature would
+    limit the trees to ``maxBins`` categories.  ``handle_invalid`` ("error", "skip", "keep") is for unseen categories."""
     return Pipeline(
         stages=[
-            category_indexer(),
+            category_indexer(handle_invalid),
+            SQLTransformer(statement="SELECT *, b_category_encoded + 0.0D AS category_number FROM __THIS__"),
             VectorAssembler(inputCols=FEATURES, outputCol="features"),
             regressor if regressor is not None else booster(),
         ]
     )
 
 
+def usable() -> Column:
+    """Rows that a model can be asked about: category and pages are known."""
+    return F.col("b_category").isNotNull() & F.col("b_page").isNotNull()
+
+
 def regression_metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
     """MAE, RMSE, R^2 in one distributed aggregate (no driver round trip).
 
@@ -127,17 +142,20 @@ def regression_metrics(pred: DataFrame, label: str = LABEL, prediction: str = "p
     )
 
 
-def fit_and_evaluate(log: ReadingLog, regressor=None, name: str = "gbt") -> tuple[PipelineModel, DataFrame]:
-    rows = split(training_rows(log))
-    train = rows.filter(F.col("split") == "train")
-    test = rows.filter(F.col("split") == "test")
-    model = model_pipeline(regressor).fit(train)
-    m = regression_metrics(model.transform(test))
+def fit_rows(rows: DataFrame, regressor=None, name: str = "gbt", handle_invalid: str = "error") -> tuple[PipelineModel, DataFrame]:
+    """Fit on the train half of split ``rows`` and evaluate on the test half; rows with a NULL feature or label stay out."""
+    rows = rows.filter(usable() & F.col(LABEL).isNotNull())
+    model = model_pipeline(regressor, handle_invalid).fit(rows.filter(F.col("split") == "train"))
+    m = regression_metrics(model.transform(rows.filter(F.col("split") == "test")))
     return model, m.select(F.lit(name).alias("model"), "*")
 
 
-def compare_models(log: ReadingLog) -> DataFrame:
-    """The alternatives the original tried: linear, random forest, GBT(500,
+def fit_and_evaluate(log: ReadingLog, regressor=None, name: str = "gbt") -> tuple[PipelineModel, DataFrame]:
+    return fit_rows(split(training_rows(log)), regressor, name)
+
+
+def compare_models(rows: DataFrame) -> DataFrame:
+    """The alternatives the original tried, over one (stored) split: linear, random forest, GBT(500,
     0.01, depth 6) and the shipped booster (100 trees)."""
     candidates = [
         ("linear", LinearRegression(featuresCol="features", labelCol=LABEL)),
@@ -147,7 +165,7 @@ def compare_models(log: ReadingLog) -> DataFrame:
     ]
     out = None
     for name, reg in candidates:
-        _, m = fit_and_evaluate(log, reg, name)
+        _, m = fit_rows(rows, reg, name)
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -174,23 +192,29 @@ def reading_plan(days: Column, pages: Column) -> list[Column]:
     ]
 
 
+PLAN = ("predicted_total_days", "average_reading_sessions", "average_pages_per_session")
+
+
+def with_plan(model: PipelineModel, shelf: DataFrame) -> DataFrame:
+    """Shelf rows with the derived plan, in one pass: no join, so rows that repeat stay as many.  A row with a NULL
+    category or page count has a NULL plan."""
+    cols = shelf.columns
+    known = model.transform(shelf.filter(usable())).select(*cols, *reading_plan(F.col("prediction"), F.col("b_page")))
+    unknown = shelf.filter(~usable()).select(*cols, *[F.lit(None).cast("double").alias(c) for c in PLAN])
+    return known.unionByName(unknown)
+
+
 def predict_shelf(model: PipelineModel, shelf: DataFrame) -> DataFrame:
     """Bulk prediction for every shelf row (category, pages) + the derived plan."""
-    pred = model.transform(shelf.select("user_id", "b_isbn", "b_page", "b_category"))
-    return pred.select("user_id", "b_isbn", "b_page", *reading_plan(F.col("prediction"), F.col("b_page")))
+    return with_plan(model, shelf.select("user_id", "b_isbn", "b_page", "b_category")).drop("b_category")
 
 
-def write_back(shelf: DataFrame, plan: DataFrame) -> DataFrame:
-    """Store the rounded plan on the shelf as text (b_mlday, b_mlpage), rounded
+def write_back(planned: DataFrame) -> DataFrame:
+    """Store the rounded plan of ``with_plan`` rows on the shelf as text (b_mlday, b_mlpage), rounded
     the way the page did (half up) before the insert."""
-    p = plan.select(
-        "user_id",
-        "b_isbn",
-        half_up_js(F.col("predicted_total_days")).cast("string").alias("_mlday"),
-        half_up_js(F.col("average_pages_per_session")).cast("string").alias("_mlpage"),
+    keep = [c for c in planned.columns if c not in PLAN and c not in ("b_mlday", "b_mlpage")]
+    return planned.select(
+        *keep,
+        half_up_js(F.col(PLAN[0])).cast("string").alias("b_mlday"),
+        half_up_js(F.col(PLAN[2])).cast("string").alias("b_mlpage"),
     )
-    cols = shelf.columns
-    j = shelf.join(p, ["user_id", "b_isbn"], "left")
-    out = j.withColumn("b_mlday", F.col("_mlday")).withColumn("b_mlpage", F.col("_mlpage"))
-    keep = cols + [c for c in ("b_mlday", "b_mlpage") if c not in cols]
-    return out.select(*keep)

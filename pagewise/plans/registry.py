@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from pagewise.operators import lists as lst
 from pagewise.operators import ml
 from pagewise.operators import progress as prog
 from pagewise.operators import replay as rp
+from pagewise.operators import scan
 from pagewise.session import state_root
 from pagewise.sources import catalog as catsrc
 from pagewise.sources.binding import (
@@ -31,7 +33,7 @@ from pagewise.sources.binding import (
     store_once,
     table,
 )
-from pagewise.sources.tables import write_version
+from pagewise.sources.tables import append_rows, write_version
 from pagewise.streaming.progress_stream import ProgressStream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +93,67 @@ def q_reader_profile(spark, sf_dir):
     return lst.reader_profile(spark, log.reader, log.shelf.select("user_id"))
 
 
+# -- one reader's pages: the id is bound, and pushed into the scans ---------------------
+
+USER = 5
+YEAR = 1997
+
+
+@register("reading_progress_user")
+def q_reading_progress_user(spark, sf_dir):
+    return prog.reading_progress(driver_log(spark, sf_dir), user=USER)
+
+
+for _n in ("wish_list", "finished_list", "record_log"):
+    QUERIES[f"{_n}_user"] = lambda spark, sf_dir, fn=getattr(lst, _n): fn(driver_log(spark, sf_dir), user=USER)
+
+
+@register("book_detail_one")
+def q_book_detail_one(spark, sf_dir):
+    """The detail card of the reader's first book, as the positional JSON array of the page."""
+    log = driver_log(spark, sf_dir)
+    first = log.for_user(USER).shelf.agg(F.min("b_isbn").alias("b_isbn"))
+    return lst.detail_json(lst.book_detail(log, user=USER).join(first, "b_isbn", "left_semi"))
+
+
+@register("profile_bound")
+def q_profile_bound(spark, sf_dir):
+    return lst.profile_of(spark, driver_log(spark, sf_dir).reader, USER)
+
+
+@register("page_count")
+def q_page_count(spark, sf_dir):
+    return lst.page_count(driver_log(spark, sf_dir))
+
+
+@register("reading_totals_year")
+def q_reading_totals_year(spark, sf_dir):
+    return dash.reading_totals(driver_log(spark, sf_dir), year=YEAR)
+
+
+@register("add_request")
+def q_add_request(spark, sf_dir):
+    """Every second reader logs the pages that are missing of the first book."""
+    log = driver_log(spark, sf_dir)
+    first = log.shelf.groupBy("user_id").agg(F.min("b_isbn").alias("b_isbn"))
+    form = prog.with_pages_read(log.shelf.join(first, ["user_id", "b_isbn"], "left_semi"), log.record).filter("user_id % 2 = 0")
+    form = form.select(
+        F.col("user_id").cast("string").alias("user_id"), F.col("b_isbn").cast("string").alias("b_isbn"),
+        F.lit("1999-01-01").alias("readDate"), (F.col("b_page") - F.col("cur_page")).cast("string").alias("page"),
+    )
+    return chg.apply_add_request(log.shelf, log.record, form)[0]
+
+
+@register("delete_request")
+def q_delete_request(spark, sf_dir):
+    """Every second reader deletes the first day of each book."""
+    log = driver_log(spark, sf_dir)
+    keys = log.shelf.filter("b_create_dt is not null and user_id % 2 = 1").select(
+        "user_id", "b_isbn", F.date_format("b_create_dt", "yyyy-MM-dd").alias("rday")
+    )
+    return chg.apply_delete_request(log.shelf, log.record, keys)[0]
+
+
 # -- change application ------------------------------------------------------
 # Inputs of the write-side operators are derived from the driver tables: rows
 # dated before CUTOFF form the stored state, later rows arrive as form posts
@@ -100,6 +163,13 @@ def q_reader_profile(spark, sf_dir):
 CUTOFF = "1998-01-01"
 
 
+def _append(spark, base, new, name):
+    """The stored state as a version of its own; only the new rows are written to it."""
+    version = uuid.uuid4().hex
+    write_version(spark, base, name, version)
+    return append_rows(spark, new.select(*base.columns), name, version)
+
+
 def _cut():
     return F.to_date(F.lit(CUTOFF))
 
@@ -115,7 +185,7 @@ def q_append_records(spark, sf_dir):
         F.date_format("r_date", "yyyy-MM-dd").alias("readDate"),
         F.col("r_page").cast("string").alias("page"),
     )
-    return write_version(spark, chg.add_records(base, form), "record")
+    return _append(spark, base, chg.parse_records(form), "record")
 
 
 @register("append_books")
@@ -130,7 +200,7 @@ def q_append_books(spark, sf_dir):
         F.lit("").alias("b_mlday"),
         F.lit("").alias("b_mlpage"),
     )
-    return write_version(spark, chg.add_books(base, form), "shelf")
+    return _append(spark, base, chg.parse_books(form), "shelf")
 
 
 @register("append_reader")
@@ -145,7 +215,7 @@ def q_append_reader(spark, sf_dir):
     form = r.filter(~before | F.col("_first").isNull()).select(
         F.col("user_id").cast("string").alias("user_id"), "user_nm", "user_email"
     )
-    return write_version(spark, chg.add_reader(base, form), "reader")
+    return _append(spark, base, chg.add_reader(base.limit(0), form), "reader")
 
 
 @register("update_profile")
@@ -237,6 +307,14 @@ def q_replay_records(spark, sf_dir):
     return rp.replay_records(stored, log)
 
 
+@register("replay_duplicates")
+def q_replay_duplicates(spark, sf_dir):
+    """The replay over a shelf that holds every tenth book twice, with other numbers of pages."""
+    shelf, stored, log = _replay_inputs(spark, sf_dir)
+    second = shelf.filter("b_isbn % 10 = 0").withColumn("b_page", (F.col("b_page") + 25).cast("int"))
+    return rp.replay_shelf(shelf.unionByName(second), stored, log)
+
+
 # -- streaming form of the replay ----------------------------------------------
 
 
@@ -247,9 +325,9 @@ def q_stream_progress(spark, sf_dir):
     shelf, stored, log = _replay_inputs(spark, sf_dir)
     run = uuid.uuid4().hex
     src = f"{state_root(spark)}/landing/changes-{run}"
-    log.repartition(4, "user_id").sortWithinPartitions("user_id", "seq").write.parquet(src)
+    log.repartition("user_id").sortWithinPartitions("user_id", "seq").write.parquet(src)
     ps = ProgressStream(spark, f"progress-{run}", shelf, stored)
-    ps.run_available(src, max_files_per_trigger=1)
+    ps.run_available(src)
     return ps.current()[0]
 
 
@@ -299,44 +377,97 @@ def q_metric_formulae(spark, sf_dir):
     return ml.regression_metrics(rows, label="total_days", prediction="days_since_last_read")
 
 
+@register("train_test_half")
+def q_train_test_half(spark, sf_dir):
+    return ml.split(ml.training_rows(pooled_log(spark, sf_dir)), method="half").select("b_isbn", "split")
+
+
+@register("training_set_ordered")
+def q_training_set_ordered(spark, sf_dir):
+    """The training rows with their place in the original listing's order."""
+    rows = ml.training_rows(pooled_log(spark, sf_dir))
+    days = [(F.col("start_dt"), "asc_nulls_last")]  # at most one total for each day
+    return scan.row_number(rows, [], [F.col("b_isbn").asc()], days, "position")
+
+
+def _training(spark, sf_dir):
+    """Split training rows, stored once for all fits."""
+    build = lambda s, d: {"training": ml.split(ml.training_rows(pooled_log(s, d)))}
+    return store_once(spark, sf_dir, "training", build, cluster=("b_isbn",))["training"]
+
+
+_MODEL_PATHS: dict[tuple[str, str, str], str] = {}
+
+
+def _fitted(spark, sf_dir, name="gbt"):
+    """Fit once per application and data set, store, then load the stored
+    model (the original trained offline and loaded the saved files)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MODEL_PATHS:
+        linear = LinearRegression(featuresCol="features", labelCol=ml.LABEL, solver="normal") if name == "linear" else None
+        model, _ = ml.fit_rows(_training(spark, sf_dir), linear, name)
+        _MODEL_PATHS[key] = ml.save_model(spark, model)
+    return ml.load_model(_MODEL_PATHS[key])
+
+
+def _held_out(spark, sf_dir):
+    return _training(spark, sf_dir).filter(ml.usable() & F.col(ml.LABEL).isNotNull() & (F.col("split") == "test"))
+
+
 @register("model_metrics")
 def q_model_metrics(spark, sf_dir):
     """Held-out MAE / RMSE / R^2 of the stored booster."""
-    log = pooled_log(spark, sf_dir)
-    test = ml.split(ml.training_rows(log)).filter(F.col("split") == "test")
-    m = ml.regression_metrics(_fitted(spark, sf_dir, log).transform(test))
+    m = ml.regression_metrics(_fitted(spark, sf_dir).transform(_held_out(spark, sf_dir)))
     return m.select(F.lit("gbt").alias("model"), "*")
 
 
 @register("model_compare")
 def q_model_compare(spark, sf_dir):
-    return ml.compare_models(pooled_log(spark, sf_dir))
+    return ml.compare_models(_training(spark, sf_dir))
+
+
+@register("booster_checks")
+def q_booster_checks(spark, sf_dir):
+    """Counts that hold for any fitted booster: rows of each half, finite predictions, and that reloading changes none."""
+    shelf, model = pooled_log(spark, sf_dir).shelf, _fitted(spark, sf_dir)
+    again = ml.load_model(ml.save_model(spark, model))
+    known = shelf.filter(ml.usable())
+    pred = model.transform(known).select("user_id", "b_isbn", F.col("prediction").alias("p"))
+    other = again.transform(known).select("user_id", "b_isbn", F.col("prediction").alias("q"))
+    finite = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") < float("inf"))
+    both = pred.join(other, ["user_id", "b_isbn"]).agg(
+        F.count(F.lit(1)).alias("n_predicted"), F.count_if(finite).alias("n_finite"), F.count_if(F.col("p") != F.col("q")).alias("n_changed_by_reload")
+    )
+    rows = _training(spark, sf_dir).filter(ml.usable() & F.col(ml.LABEL).isNotNull())
+    halves = rows.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    one = F.lit(1).alias("_one")
+    return halves.select(one, "*").join(both.select(one, "*"), "_one").drop("_one")
 
 
-_MODEL_PATHS: dict[tuple[str, str], str] = {}
+@register("linear_metrics")
+def q_linear_metrics(spark, sf_dir):
+    m = ml.regression_metrics(_fitted(spark, sf_dir, "linear").transform(_held_out(spark, sf_dir)))
+    return m.select("n", *[F.round(c, 2).alias(c) for c in ("mae", "rmse", "r2")])
 
 
-def _fitted(spark, sf_dir, log):
-    """Fit once per application and data set, store, then load the stored
-    model (the original trained offline and loaded the saved files)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODEL_PATHS:
-        model, _ = ml.fit_and_evaluate(log)
-        _MODEL_PATHS[key] = ml.save_model(spark, model)
-    return ml.load_model(_MODEL_PATHS[key])
+@register("linear_plan")
+def q_linear_plan(spark, sf_dir):
+    return ml.predict_shelf(_fitted(spark, sf_dir, "linear"), pooled_log(spark, sf_dir).shelf)
+
+
+@register("linear_write_back")
+def q_linear_write_back(spark, sf_dir):
+    return ml.write_back(ml.with_plan(_fitted(spark, sf_dir, "linear"), pooled_log(spark, sf_dir).shelf.drop("b_title")))
 
 
 @register("predict_plan")
 def q_predict_plan(spark, sf_dir):
-    log = pooled_log(spark, sf_dir)
-    return ml.predict_shelf(_fitted(spark, sf_dir, log), log.shelf)
+    return ml.predict_shelf(_fitted(spark, sf_dir), pooled_log(spark, sf_dir).shelf)
 
 
 @register("write_back_predictions")
 def q_write_back_predictions(spark, sf_dir):
-    log = pooled_log(spark, sf_dir)
-    plan = ml.predict_shelf(_fitted(spark, sf_dir, log), log.shelf)
-    return ml.write_back(log.shelf, plan)
+    return ml.write_back(ml.with_plan(_fitted(spark, sf_dir), pooled_log(spark, sf_dir).shelf))
 
 
 @register("plan_from_days")

@@ -41,6 +41,13 @@ def write_version(
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append_rows(spark: SparkSession, df: DataFrame, name: str, version: str, cluster_by: str | None = "user_id") -> DataFrame:
+    """INSERT: add the files of ``df`` to a stored version; the files that are there stay as they are."""
+    path = table_path(spark, name, version)
+    (df.sortWithinPartitions(cluster_by) if cluster_by else df).write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_native(spark: SparkSession, root: str) -> ReadingLog:
     """Load reader/shelf/record parquet directories with their fixed schemas."""
     r, s, c = (spark.read.schema(SCHEMAS[t]).parquet(f"{root.rstrip('/')}/{t}") for t in ("reader", "shelf", "record"))

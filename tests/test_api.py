@@ -55,3 +55,24 @@ def test_single_user_views(spark):
     rl = lists.record_log(log, user=1).collect()
     assert [r.r_date for r in rl][:2] == ["2024-11-05", "2024-11-05"]  # latest book first, newest first
     assert {r.b_isbn for r in lists.finished_list(log, user=1).collect()} == {1, 3, 4}
+
+
+def test_one_bad_field_loses_one_request(spark):
+    from pagewise.operators import changes
+
+    form = spark.createDataFrame(
+        [("1", "2", "2024-01-01", "5"), ("1", "2", "01.02.2024", "5"), ("1", "x", "2024-01-01", "5"), ("1", "2", "", "")],
+        "user_id string, b_isbn string, readDate string, page string",
+    )
+    assert changes.parse_records(form).count() == 2 and changes.rejected_records(form).count() == 2
+
+
+def test_append_keeps_the_files_that_are_there(spark):
+    import os
+
+    log = micro_log(spark)
+    tables.write_version(spark, log.record, "record", "appended")
+    path = tables.table_path(spark, "record", "appended").removeprefix("file:")
+    before = set(os.listdir(path))
+    back = tables.append_rows(spark, log.record.limit(1), "record", "appended")
+    assert before <= set(os.listdir(path)) and back.count() == log.record.count() + 1

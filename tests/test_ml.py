@@ -78,3 +78,34 @@ def test_metrics_constant_label(spark):
     df = spark.createDataFrame([(3, 2.0), (3, 4.0)], "total_days int, prediction double")
     m = ml.regression_metrics(df).first()
     assert (m.n, m.mae, m.rmse, m.r2) == (2, 1.0, 1.0, None)
+
+
+def _shelf(spark, rows):
+    return spark.createDataFrame(rows, "user_id long, b_isbn long, b_page int, b_category string")
+
+
+def test_null_rows_get_a_null_plan(spark, fitted):
+    log, model, _ = fitted
+    cat = log.shelf.select("b_category").first()[0]
+    rows = [(1, 1, 100, cat), (1, 1, 100, cat), (1, 2, None, cat), (1, 3, 50, None)]
+    planned = ml.with_plan(model, _shelf(spark, rows))
+    got = {(r.b_isbn, r.predicted_total_days is None) for r in planned.collect()}
+    assert got == {(1, False), (2, True), (3, True)}
+    back = ml.write_back(planned)
+    assert back.count() == 4 and back.filter("b_mlday is null").count() == 2  # rows that repeat stay as many
+
+
+def test_many_categories_fit(spark):
+    rows = [(i, 50 + i % 7, f"c{i % 40:02d}", i % 13, "train" if i // 40 % 2 else "test") for i in range(400)]
+    df = spark.createDataFrame(rows + [(900, None, "c01", 3, "train"), (901, 10, None, 3, "test")], "b_isbn long, b_page int, b_category string, total_days int, split string")
+    model, metrics = ml.fit_rows(df, ml.booster(max_iter=3))
+    assert metrics.first().n == 200
+    unseen = _shelf(spark, [(1, 1, 10, "zz")])
+    kept, _ = ml.fit_rows(df, ml.booster(max_iter=1), handle_invalid="keep")
+    assert ml.with_plan(kept, unseen).first().predicted_total_days is not None
+
+
+def test_half_split_is_exact(spark):
+    rows = ml.training_rows(pooled_log(spark, SF001))
+    got = {r.split: r["count"] for r in ml.split(rows, method="half").groupBy("split").count().collect()}
+    assert got["train"] - got["test"] in (0, 1)
