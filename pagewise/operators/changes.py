@@ -17,6 +17,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewise.functions.text import blank_to_null
 from pagewise.schema import READER, RECORD, SHELF, SHELF_KEY
@@ -24,7 +25,7 @@ from pagewise.schema import READER, RECORD, SHELF, SHELF_KEY
 
 def reader_set(users: DataFrame) -> DataFrame:
     """Distinct reader ids; Spark broadcasts them where their measured size allows."""
-    return users.select(F.col("user_id").cast("long").alias("user_id")).distinct()
+    return users.select("user_id").distinct()
 
 
 def _for_readers(shelf: DataFrame, record: DataFrame, users: DataFrame | None, derive) -> DataFrame:
@@ -32,7 +33,7 @@ def _for_readers(shelf: DataFrame, record: DataFrame, users: DataFrame | None, d
     shelf rows are copied through unchanged (no aggregation of their records)."""
     if users is None:
         return derive(shelf, record)
-    ids = reader_set(users)
+    ids = reader_set(users.select(F.col("user_id").cast(shelf.schema["user_id"].dataType).alias("user_id")))
     touched = derive(shelf.join(ids, "user_id", "left_semi"), record.join(ids, "user_id", "left_semi"))
     return shelf.join(ids, "user_id", "left_anti").unionByName(touched.select(*shelf.columns))
 
@@ -42,18 +43,19 @@ def _for_readers(shelf: DataFrame, record: DataFrame, users: DataFrame | None, d
 
 def add_reader(reader: DataFrame, new: DataFrame) -> DataFrame:
     """INSERT INTO reader: append profiles (user_id, user_nm, user_email)."""
-    return reader.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in READER.fields]))
+    return reader.unionByName(new.select(*[F.col(f.name).cast(reader.schema[f.name].dataType) for f in READER.fields]))
 
 
-def parse_books(form: DataFrame) -> DataFrame:
+def parse_books(form: DataFrame, schema: T.StructType = SHELF) -> DataFrame:
     """Form rows (all text) -> shelf rows, as the insert statement stores them.
 
     Blank fields become NULL (the database treats '' as NULL), the finished
     flag starts at 'N' and the reading dates start empty.  A row with a field
-    that doesn't parse is left out here and found by ``rejected_books``.
+    that doesn't parse is left out here and found by ``rejected_books``.  The
+    keys have the types of ``schema``.
     """
-    form = form.filter(~_bad_book())
-    t = {f.name: f.dataType for f in SHELF.fields}
+    form = form.filter(~_bad_book(schema))
+    t = {f.name: f.dataType for f in schema.fields}
 
     def val(c: str) -> Column:
         return blank_to_null(F.col(c).cast("string")).try_cast(t[c]).alias(c)
@@ -67,49 +69,48 @@ def parse_books(form: DataFrame) -> DataFrame:
     )
 
 
-def _unparsed(c: str, kind: str) -> Column:
+def _unparsed(c: str, kind: T.DataType) -> Column:
     """A field that is neither blank nor of the kind."""
     text = blank_to_null(F.col(c).cast("string"))
     return text.isNotNull() & text.try_cast(kind).isNull()
 
 
-def _bad_book() -> Column:
-    kinds = [("user_id", "long"), ("b_isbn", "long"), ("b_dicount", "long"), ("b_page", "int")]
-    return reduce(or_, [_unparsed(c, k) for c, k in kinds])
+def _bad_book(schema: T.StructType) -> Column:
+    return reduce(or_, [_unparsed(c, schema[c].dataType) for c in ("user_id", "b_isbn", "b_dicount", "b_page")])
 
 
-def _bad_record() -> Column:
+def _bad_record(schema: T.StructType) -> Column:
     day = blank_to_null(F.col("readDate"))
-    bad = [_unparsed(c, "long") for c in ("user_id", "b_isbn", "page")]
+    bad = [_unparsed("user_id", schema["user_id"].dataType), _unparsed("b_isbn", schema["b_isbn"].dataType), _unparsed("page", schema["r_page"].dataType)]
     return reduce(or_, bad, day.isNotNull() & F.try_to_date(day, "yyyy-MM-dd").isNull())
 
 
-def rejected_books(form: DataFrame) -> DataFrame:
+def rejected_books(form: DataFrame, schema: T.StructType = SHELF) -> DataFrame:
     """Form rows that ``parse_books`` leaves out: one bad field loses one request, not the batch."""
-    return form.filter(_bad_book())
+    return form.filter(_bad_book(schema))
 
 
-def rejected_records(form: DataFrame) -> DataFrame:
+def rejected_records(form: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
     """Form rows that ``parse_records`` leaves out."""
-    return form.filter(_bad_record())
+    return form.filter(_bad_record(schema))
 
 
 def add_books(shelf: DataFrame, form: DataFrame) -> DataFrame:
-    return shelf.unionByName(parse_books(form))
+    return shelf.unionByName(parse_books(form, shelf.schema))
 
 
-def parse_records(form: DataFrame) -> DataFrame:
+def parse_records(form: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
     """Form rows (user_id, b_isbn, readDate 'YYYY-MM-DD', page) -> record rows, without ``rejected_records``."""
-    return form.filter(~_bad_record()).select(
-        F.col("user_id").try_cast("long").alias("user_id"),
-        F.col("b_isbn").try_cast("long").alias("b_isbn"),
+    return form.filter(~_bad_record(schema)).select(
+        F.col("user_id").try_cast(schema["user_id"].dataType).alias("user_id"),
+        F.col("b_isbn").try_cast(schema["b_isbn"].dataType).alias("b_isbn"),
         F.try_to_date(blank_to_null("readDate"), "yyyy-MM-dd").alias("r_date"),
-        blank_to_null(F.col("page").cast("string")).try_cast("long").alias("r_page"),
+        blank_to_null(F.col("page").cast("string")).try_cast(schema["r_page"].dataType).alias("r_page"),
     )
 
 
 def add_records(record: DataFrame, form: DataFrame) -> DataFrame:
-    return record.unionByName(parse_records(form))
+    return record.unionByName(parse_records(form, record.schema))
 
 
 # -- updates -----------------------------------------------------------------
@@ -204,9 +205,9 @@ def remove_books(
 def remove_records(record: DataFrame, keys: DataFrame) -> DataFrame:
     """DELETE every record of (user_id, b_isbn, day); the day arrives as 'YYYY-MM-DD' text."""
     k = keys.select(
-        F.col("user_id").cast("long").alias("user_id"),
-        F.col("b_isbn").cast("long").alias("b_isbn"),
-        F.to_date("rday", "yyyy-MM-dd").alias("r_date"),
+        F.col("user_id").cast(record.schema["user_id"].dataType).alias("user_id"),
+        F.col("b_isbn").cast(record.schema["b_isbn"].dataType).alias("b_isbn"),
+        F.try_to_date(F.col("rday").cast("string"), "yyyy-MM-dd").alias("r_date"),
     ).distinct()
     return record.join(k, [*SHELF_KEY, "r_date"], "left_anti").select(*[f.name for f in RECORD.fields])
 
@@ -239,7 +240,7 @@ def apply_add_request(shelf: DataFrame, record: DataFrame, form: DataFrame) -> t
     readers): insert, refresh the dates of the readers' books, set 'Y' where
     the pages now match.  Several requests of one reader must go through the
     replay (the flag depends on their order)."""
-    new = parse_records(form)
+    new = parse_records(form, record.schema)
     new_record = record.unionByName(new)
     return _refreshed(shelf, new_record, new, _finished_flag), new_record
 

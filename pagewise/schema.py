@@ -40,6 +40,16 @@ RECORD = T.StructType(
     ]
 )
 
+
+
+def text_keyed(schema: T.StructType) -> T.StructType:
+    """The schema with login names and isbns as text, as the source tables hold them.
+
+    The driver's tables have numeric keys; every operator keeps the key types of the tables it is given."""
+    text = ("user_id", "b_isbn")
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in text else f for f in schema.fields])
+
+
 # Catalog item as carried inside a search payload: every field is text.
 CATALOG_ITEM = T.StructType(
     [

@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewise.schema import READER, RECORD, SHELF
+from pagewise.schema import READER, RECORD, SHELF, text_keyed
 from pagewise.session import state_root
 from pagewise.sources.binding import ReadingLog
 
@@ -48,9 +48,10 @@ def append_rows(spark: SparkSession, df: DataFrame, name: str, version: str, clu
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read_native(spark: SparkSession, root: str) -> ReadingLog:
-    """Load reader/shelf/record parquet directories with their fixed schemas."""
-    r, s, c = (spark.read.schema(SCHEMAS[t]).parquet(f"{root.rstrip('/')}/{t}") for t in ("reader", "shelf", "record"))
+def read_native(spark: SparkSession, root: str, text_keys: bool = False) -> ReadingLog:
+    """Load reader/shelf/record parquet directories with their fixed schemas; ``text_keys``: keys as text."""
+    schemas = {t: text_keyed(x) if text_keys else x for t, x in SCHEMAS.items()}
+    r, s, c = (spark.read.schema(schemas[t]).parquet(f"{root.rstrip('/')}/{t}") for t in ("reader", "shelf", "record"))
     return ReadingLog(r, s, c)
 
 
