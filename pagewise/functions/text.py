@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewise.schema import MONTH_SUFFIX
+from pagewise.schema import DATE_PARTS, MONTH_SUFFIX
 
 
 def _c(c: Column | str) -> Column:
@@ -35,9 +35,8 @@ def month_label(yyyymm: Column | str) -> Column:
 def korean_date(yyyymmdd: Column | str) -> Column:
     """'YYYY년 MM월 DD일' cut from a YYYYMMDD string (works on the default '00000000')."""
     s = _c(yyyymmdd)
-    return F.concat(
-        F.substring(s, 1, 4), F.lit("년 "), F.substring(s, 5, 2), F.lit("월 "), F.substring(s, 7, 2), F.lit("일")
-    )
+    year, month, day = map(F.lit, DATE_PARTS)
+    return F.concat(F.substring(s, 1, 4), year, F.substring(s, 5, 2), month, F.substring(s, 7, 2), day)
 
 
 def thousands(c: Column | str) -> Column:

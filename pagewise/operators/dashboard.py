@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagewise.functions.category import category_label
 from pagewise.functions.text import authors_text, js_text, korean_date, month_label, thousands
 from pagewise.operators.progress import reading_progress
-from pagewise.schema import BOOKS_UNIT, DAYS_UNIT, NO_BOOK, NO_DATE, PAGES_UNIT, SHELF_KEY, WON
+from pagewise.schema import BOOKS_UNIT, CAPTION_PARTS, DAYS_UNIT, NO_BOOK, NO_DATE, PAGES_UNIT, SHELF_KEY, WON
 from pagewise.sources.binding import ReadingLog
 
 
@@ -212,16 +212,6 @@ def dashboard(log: ReadingLog, user=None, year=None) -> DataFrame:
 def progress_caption(log: ReadingLog, user=None) -> DataFrame:
     """'title (a, b) [cur p/total p], 남은 페이지 : n p' per book in progress."""
     p = reading_progress(log, user)
-    cap = F.concat(
-        js_text("b_title"),
-        F.lit(" ("),
-        js_text(authors_text("b_author")),
-        F.lit(") ["),
-        js_text("cur_page"),
-        F.lit("p/"),
-        js_text("b_page"),
-        F.lit("p], 남은 페이지 : "),
-        js_text("to_page"),
-        F.lit("p"),
-    )
+    values = ("b_title", authors_text("b_author"), "cur_page", "b_page", "to_page")
+    cap = F.concat(*[x for v, part in zip(values, CAPTION_PARTS) for x in (js_text(v), F.lit(part))])
     return p.select("user_id", "b_isbn", cap.alias("caption"))

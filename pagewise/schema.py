@@ -104,4 +104,7 @@ WON, PAGES_UNIT, BOOKS_UNIT, DAYS_UNIT = "원", "쪽", "권", "일"
 NO_DATE, NO_BOOK = "00000000", "없음"
 MONTH_SUFFIX = "월"
 PAGE_SIZE = 10
+# 'YYYY년 MM월 DD일' of a date tile; '... [12p/300p], 남은 페이지 : 288p' of a progress caption.
+DATE_PARTS = ("년 ", "월 ", "일")
+CAPTION_PARTS = (" (", ") [", "p/", "p], 남은 페이지 : ", "p")
 # ---------------------------------------------------------------------------
