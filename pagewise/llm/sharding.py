@@ -6,8 +6,9 @@ by them, the ranges are measured, and a range that holds too many bytes or
 rows (a text with very many copies) is subdivided by splitters sampled inside
 it.  Running sums inside each range, and the totals of the ranges before it,
 give every record its exact place in the order of all bytes; shard s takes the
-records whose middle byte lies in the s-th part.  Equal texts are neighbours,
-so they share a shard unless a boundary falls inside their group.
+records whose middle byte lies in the s-th part.  Equal texts are neighbours
+and placed as one, by the middle of their group, unless the group is larger
+than a ``WHOLE_GROUP``-th of a shard: such a group may be divided.
 
 Only (id, size, checksum, key) move; texts are read once, where they lie.
 
@@ -28,6 +29,8 @@ from pagewise.llm.common import stored
 
 SAMPLES_PER_RANGE = 32
 OVERFULL = 2.0  # times the mean
+WHOLE_GROUP = 40  # equal texts of up to one fortieth of a shard stay together
+FIRST = -(1 << 63)  # the least value of the second sort key
 SEED = 11
 
 
@@ -78,8 +81,11 @@ def _totals(rec: DataFrame) -> list[tuple[int, int, int]]:
 
 
 def _quantiles(keys: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+    """Boundaries between ``parts`` parts; one falls inside a group of equal texts only where the next is the same group."""
     keys = sorted(keys)
-    return [keys[len(keys) * i // parts] for i in range(1, parts)] if len(keys) >= parts else keys
+    if len(keys) >= parts:
+        keys = [keys[len(keys) * i // parts] for i in range(1, parts)]
+    return [(k, t) if i and keys[i - 1][0] == k else (k, FIRST) for i, (k, t) in enumerate(keys)]
 
 
 def splitters(rec: DataFrame, n_ranges: int, rounds: int = 4) -> list[tuple[int, int]]:
@@ -126,11 +132,14 @@ def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int | None = None) -> Da
     w = Window.partitionBy("r").orderBy("k", "t", "doc_id", "size", "text_crc32")
     run = placed.withColumn("b1", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n1", F.row_number().over(w))
     middle = 2 * (F.col("b0") + F.col("b1")) - F.col("size")
+    group = Window.partitionBy("r", "k")  # sorted so already
+    run = run.withColumn("whole", F.sum("size").over(group)).withColumn("ahead", F.min(F.col("b1") - F.col("size")).over(group))
+    together = F.col("whole") * (WHOLE_GROUP * n_shards) <= sum_b
     run = run.join(offsets, "r").select(
         "doc_id",
         "size",
         "text_crc32",
-        middle.alias("middle"),
+        F.when(together, 2 * (F.col("b0") + F.col("ahead")) + F.col("whole")).otherwise(middle).alias("middle"),
         (F.col("n0") + F.col("n1") - 1).alias("place"),
     )
     part = F.expr(f"least(middle * {n_shards} div {2 * max(sum_b, 1)}, {n_shards - 1})").cast("int")

@@ -56,12 +56,16 @@ def check_shards(got, rows, n, most):
 
 def test_shards_are_even(spark):
     rng = random.Random(5)
-    rows = [(i, "hot text" if i % 3 == 0 else "x" * rng.randint(0, 400), "en", "a") for i in range(3000)]
+    rows = [(i, "hot text" if i % 3 == 0 else "x" * rng.randint(0, 400) + str(rng.randint(0, 2)), "en", "a") for i in range(3000)]
     rows += [(i % 7, f"text {i % 7}", "en", "a") for i in range(50)] + [(None, None, None, None), (None, "", None, None)]
     got = sharding.shard(frame(spark, rows), 8).collect()
-    check_shards(got, rows, 8, 401)
-    crossed = sum(len({r.shard for r in got if r.text_crc32 == c}) > 1 for c in {r.text_crc32 for r in got})
-    assert crossed <= 7  # equal texts are neighbours: a boundary cuts one group at most
+    shard_bytes = sum(r.size for r in got) / 8
+    check_shards(got, rows, 8, 401 + shard_bytes / sharding.WHOLE_GROUP)
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.text_crc32].append(r)
+    cut = [g for g in groups.values() if len({r.shard for r in g}) > 1]
+    assert all(sum(r.size for r in g) > shard_bytes / sharding.WHOLE_GROUP for g in cut)  # smaller groups share a shard
     assert Counter(map(tuple, got)) == Counter(map(tuple, sharding.shard(frame(spark, rows), 8).collect()))
 
 
