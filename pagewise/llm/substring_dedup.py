@@ -298,11 +298,11 @@ def _kept(near: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Two frames: (id, n_words, sha, key, copy) of every row; (id, key, n_removed, kept_sha256, kept) of texts that lose some words."""
     base = stored(measured(docs, window), "measured")
-    firsts = base.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("least"))
-    marked = base.select("id", "n_words", "sha", "key").join(firsts, "sha", "left")
-    marked = marked.select("id", "n_words", "sha", "key", F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy"))
+    firsts = base.filter(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("id")).withColumn("copy", F.lit(False))
+    marked = base.select("id", "n_words", "sha", "key").join(firsts, ["sha", "id"], "left")  # both keys: copies of one text are dealt out
+    marked = marked.withColumn("copy", (F.col("n_words") >= window) & F.coalesce("copy", F.lit(True)))
 
-    own = base.filter(F.size("anchors") > 0).join(firsts, "sha").filter("id = least").select("id", F.explode("anchors").alias("a"))
+    own = base.filter(F.size("anchors") > 0).join(firsts, ["sha", "id"]).select("id", F.explode("anchors").alias("a"))
     shared = own.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("a")
     near = own.join(shared, "a").groupBy("id").agg(F.collect_set("a").alias("shared"))  # at most the anchors of the texts of one id
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text").filter("text is not null")
