@@ -168,10 +168,12 @@ def _cut(batches):
 def alignments(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Two frames: (id, key, sha, n_lines, copy) of every row; (id, key, n_removed, kept_sha256, kept) of texts that lose lines."""
     base = stored(measured(docs), "lines")
-    firsts = base.groupBy("sha").agg(F.min("id").alias("least"))
+    firsts = base.groupBy("sha").agg(F.min("id").alias("id")).withColumn("copy", F.lit(False))
     enough = F.aggregate("chars", F.lit(0), lambda n, x: n + x) >= least
-    rows = base.join(firsts, "sha").select("*", F.size("hashes").cast("long").alias("n_lines"), ((F.col("id") > F.col("least")) & enough).alias("copy"))
-    texts = rows.filter("id = least").select("id", "key", "hashes", "chars", "anchors").dropDuplicates(["id", "key"])
+    rows = base.select("id", "key", "sha", F.size("hashes").cast("long").alias("n_lines"), enough.alias("enough"))
+    rows = rows.join(firsts, ["sha", "id"], "left")  # both keys: copies of one text are dealt out
+    rows = rows.withColumn("copy", F.col("enough") & F.coalesce("copy", F.lit(True)))
+    texts = base.join(firsts, ["sha", "id"]).select("id", "key", "hashes", "chars", "anchors").dropDuplicates(["id", "key"])
     earlier = texts.select(F.col("id").alias("id0"), F.col("key").alias("key0"), F.col("hashes").alias("hashes0"), F.col("chars").alias("chars0"))
     both = pairs(texts, rare).join(earlier, ["id0", "key0"]).join(texts.drop("anchors"), ["id", "key"])
     gone = both.select("id", "key", "hashes0", "chars0", "hashes", "chars").mapInArrow(_align(least), "id long, key long, gone array<int>")
