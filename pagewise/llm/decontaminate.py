@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pagewise.llm.common import buffers
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 SAMPLE = 16  # one suffix position in so many is kept
 BLOCK_WORDS = 2_000_000
 

@@ -39,7 +39,9 @@ ROUNDS = 3
 SMOOTHING = 0.02
 MAX_PIECE = 16
 MAX_WORD = 64
-CACHE_WORDS = 1 << 20  # words whose likelihoods a task remembers at once
+CACHE_WORDS = 1 << 17  # words whose likelihoods a task remembers at once
+LATTICE_WORDS = 1 << 14  # words of one length that are cut at once
+TEXT_BYTES = 1 << 20  # bytes of text that are scored at once
 
 LETTER = re.compile(r"[^\W\d_]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -96,8 +98,8 @@ class Vocabulary:
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for n, which in by_length.items():
-            for part in range(0, len(which), 1 << 16):
-                rows = which[part : part + (1 << 16)]
+            for part in range(0, len(which), LATTICE_WORDS):
+                rows = which[part : part + LATTICE_WORDS]
                 letters = "".join([words[i] for i in rows]).encode("utf-32-le", "surrogatepass")
                 codes = np.asfortranarray(np.frombuffer(letters, np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1))
                 arcs = {}
@@ -253,7 +255,7 @@ class Scorer:
         start = 0
         while start < len(todo):
             end, held = start, 0
-            while end < len(todo) and held < (8 << 20):  # bytes at once
+            while end < len(todo) and held < TEXT_BYTES:
                 held += len(texts[todo[end]])
                 end += 1
             logs = self.likelihoods([texts[i] for i in todo[start:end]])
