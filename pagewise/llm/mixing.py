@@ -178,7 +178,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEAT, max_patterns:
 
     shared = rows.groupBy("digest").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.array_sort(F.collect_set("s")).alias("in")).filter("lo < hi")
     shared = shared.select("digest", F.array_join(F.transform("in", lambda x: x.cast("string")), " ").alias("pattern"))
-    rows = rows.join(shared, "digest", "left").withColumn("pattern", F.coalesce("pattern", F.col("s").cast("string")))
+    rows = rows.join(stored(shared, "shared"), "digest", "left").withColumn("pattern", F.coalesce("pattern", F.col("s").cast("string")))
     rows = stored(rows, "patterns")
     several = F.col("pattern").contains(" ")
     common = rows.filter(several).groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(max_patterns)
