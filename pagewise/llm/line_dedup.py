@@ -1,15 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through the hashes of rare lines, each later
+Documents that overlap are found through the hashes of lines, each later
 document is aligned with the earlier one by patience diff, and the blocks of
 lines that align are deleted from the later one.
 
 A line is an anchor of a document if it stands there once and has at least
-``MIN_CHARS`` characters.  A document is paired with the first holder of each
-of its anchors that at most ``RARE`` texts hold; a document without such a
-line (one of thousands of near copies) is paired through its rarest shared
-line.  So a line held by n texts makes n - 1 pairs at most.  Equal texts are
-one text: their later copies go whole, without an alignment.
+``MIN_CHARS`` characters.  A document is paired with the first holders of all
+its anchors, however many texts hold them.  So a line held by n texts makes
+n - 1 pairs at most.  The pairs of a first holder are dealt to slices of about
+``RARE``, each with a copy of its hashes, so a popular line is not one task.
+Equal texts are one text: their later copies go whole, without an alignment.
 
 Only line hashes move and are aligned (a match also needs the same length);
 texts with deletions are read again to cut them.
@@ -127,14 +127,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def pairs(texts: DataFrame, rare: int = RARE) -> DataFrame:
-    """(id, key, id0, key0): a text and an earlier one to align it with."""
+    """(id, key, id0, key0, slice): a text and the first holder of one of its anchors, to align it with.
+
+    A first holder has a slice for each ``rare`` texts that its anchors may pair it with."""
     held = texts.select("id", "key", F.explode("anchors").alias("h"))
     holders = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key")).alias("first")).filter("n > 1")
-    near = held.join(holders, "h").filter("id > first.id")
-    best = near.groupBy("id", "key").agg(F.min(F.struct("n", "h", "first")).alias("best"), F.max((F.col("n") <= rare).cast("int")).alias("any"))
-    found = near.filter(F.col("n") <= rare).select("id", "key", "first")
-    rest = best.filter("any = 0").select("id", "key", F.col("best.first").alias("first"))
-    return found.union(rest).distinct().select("id", "key", F.col("first.id").alias("id0"), F.col("first.key").alias("key0"))
+    slices = holders.groupBy("first").agg(F.ceil(F.sum(F.col("n") - 1) / rare).alias("slices"))  # at most the anchors of one text
+    near = held.join(holders.join(slices, "first"), "h").filter("id > first.id").select("id", "key", "first", "slices").distinct()
+    return near.select("id", "key", F.col("first.id").alias("id0"), F.col("first.key").alias("key0"), F.pmod(F.xxhash64("id", "key"), "slices").alias("slice"))
 
 
 def _align(least: int):
@@ -175,7 +175,9 @@ def alignments(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> tup
     rows = rows.withColumn("copy", F.col("enough") & F.coalesce("copy", F.lit(True)))
     texts = base.join(firsts, ["sha", "id"]).select("id", "key", "hashes", "chars", "anchors").dropDuplicates(["id", "key"])
     earlier = texts.select(F.col("id").alias("id0"), F.col("key").alias("key0"), F.col("hashes").alias("hashes0"), F.col("chars").alias("chars0"))
-    both = pairs(texts, rare).join(earlier, ["id0", "key0"]).join(texts.drop("anchors"), ["id", "key"])
+    near = stored(pairs(texts, rare), "line_pairs")
+    earlier = near.select("id0", "key0", "slice").distinct().join(earlier, ["id0", "key0"])  # once a slice: a hot first holder is dealt out
+    both = near.join(earlier, ["id0", "key0", "slice"]).join(texts.drop("anchors"), ["id", "key"])
     gone = both.select("id", "key", "hashes0", "chars0", "hashes", "chars").mapInArrow(_align(least), "id long, key long, gone array<int>")
     gone = gone.select("id", "key", F.explode("gone").alias("j")).groupBy("id", "key").agg(F.array_sort(F.collect_set("j")).alias("gone"))  # lines of one text
     own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")

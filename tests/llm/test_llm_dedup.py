@@ -161,6 +161,32 @@ def test_line_dedup(spark):
     assert line_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
+def brute_lines(rows):
+    """Kept text by id: each text is aligned with the first holder of every line of 20 characters that stands once in both; ids and texts differ."""
+    texts = [(i, t.split("\n")) for i, t, *_ in sorted(rows, key=lambda r: order(r[0]))]
+    anchors = [{x for x, n in Counter(lines).items() if n == 1 and len(x) >= 20} for _, lines in texts]
+    out = {}
+    for n, (i, lines) in enumerate(texts):
+        firsts = {next(m for m in range(n + 1) if a in anchors[m]) for a in anchors[n]} - {n}
+        gone = {j for m in firsts for s, e in line_dedup.blocks(texts[m][1], lines, [len(x) for x in lines]) for j in range(s, e)}
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+@pytest.mark.parametrize("rare", [1, 4, 64])
+def test_line_dedup_of_popular_lines(spark, rare):
+    line = lambda x: f"{x} is a line that is long enough"
+    popular = [[line(f"popular {p}/{i}") for i in range(3)] for p in range(3)]
+    rows = [(i, "\n".join([line(f"{i}/0"), *popular[i], line(f"{i}/1")]), None, None) for i in range(3)]
+    for i in range(10, 100):  # all passages are popular, most texts have a rare shared line as well
+        body = [x for p in popular[: 1 + i % 3] for x in p] + [line(f"pair {i // 2}")] * (i % 5 > 0) + [line(f"{i}/0")]
+        rows.append((i, "\n".join(body), None, None))
+    got = {r.doc_id: r.kept_sha256 for r in line_dedup.deduplicated(frame(spark, rows), rare=rare).collect()}
+    want = brute_lines(rows)
+    assert want[12] == "\n".join([line("pair 6"), line("12/0")]) and "popular" not in "".join(want[i] for i in range(10, 100))
+    assert got == {i: sha(t) for i, t in want.items()}
+
+
 # -- substrings ------------------------------------------------------------------
 
 
