@@ -8,10 +8,10 @@ repeated evenly and late.  Whole rounds of a (pattern, source) cell are taken
 in full; for the rest documents are drawn in a seeded order, each with the
 chance its cell's flow gives it, until the source's quota is met.
 
-Only sums per pattern and source reach the driver.  The ``MAX_PATTERNS``
-patterns with most tokens take part as such; a text with a rarer pattern is
-mixed by its own row's source alone, which leaves quotas and results whole and
-only forgoes weighing its repetition across sources.
+Only sums per pattern and source reach the driver, and every pattern takes
+part in the flow.  The shares of the ``MAX_PATTERNS`` patterns with most tokens
+are broadcast to the rows; those of rarer patterns are joined by a shuffle,
+which changes no result.
 
 The draw is a prefix of an order: a histogram finds the part of it where the
 quota is met, and only that part is sorted.
@@ -180,19 +180,21 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEAT, max_patterns:
     shared = shared.select("digest", F.array_join(F.transform("in", lambda x: x.cast("string")), " ").alias("pattern"))
     rows = rows.join(stored(shared, "shared"), "digest", "left").withColumn("pattern", F.coalesce("pattern", F.col("s").cast("string")))
     rows = stored(rows, "patterns")
-    several = F.col("pattern").contains(" ")
-    common = rows.filter(several).groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(max_patterns)
-    common = [r.pattern for r in common.collect()]
-    rows = rows.withColumn("pattern", F.when(several & ~F.col("pattern").isin(common), F.col("s").cast("string")).otherwise(F.col("pattern")))
     cells = {(r.pattern, r.s): r.n for r in rows.groupBy("pattern", "s").agg(F.sum("size").alias("n")).filter("n > 0").collect()}
     texts = rows.groupBy("pattern", "digest").agg(F.max("size").alias("size"))
     unique = {r.pattern: r.n for r in texts.groupBy("pattern").agg(F.sum("size").alias("n")).filter("n > 0").collect()}
     sent = route(cells, unique, [int(t) for t in goal], most)
 
     share = [(p, s, x // cells[p, s], (x % cells[p, s]) / cells[p, s]) for (p, s), x in sent.items()]
-    share = F.broadcast(spark.createDataFrame(share, "pattern string, s int, rounds long, chance double"))  # max_patterns x sources at most
+    by_tokens = sorted((p for p in unique if " " in p), key=lambda p: (-unique[p], p))
+    rare = set(by_tokens[max_patterns:])
+    shares = [spark.createDataFrame([x for x in share if (x[0] in rare) == y], "pattern string, s int, rounds long, chance double") for y in (False, True)]
     u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("digest")), F.lit(SEED)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-    rows = rows.join(share, ["pattern", "s"], "left").fillna({"rounds": 0, "chance": 0.0})
+    is_common = ~F.col("pattern").contains(" ") | F.col("pattern").isin(by_tokens[:max_patterns]) | (F.col("size") == 0)
+    dealt = (rows.filter(is_common) if rare else rows).join(F.broadcast(shares[0]), ["pattern", "s"], "left")  # max_patterns x sources at most
+    if rare:
+        dealt = dealt.unionByName(rows.filter(~is_common).join(shares[1], ["pattern", "s"], "left"))
+    rows = dealt.fillna({"rounds": 0, "chance": 0.0})
     rows = rows.withColumn("z", F.when(F.col("chance") > 0, u / (u + F.col("chance")))).withColumn("bin", F.floor(F.col("z") * bins).cast("int"))
     rest = rows.groupBy("s").agg((F.first("target") - F.sum(F.col("rounds") * F.col("size"))).alias("rest"))
     filled = rows.filter("bin is not null").groupBy("s", "bin").agg(F.sum("size").alias("n"))

@@ -152,6 +152,22 @@ def test_mix_meets_its_targets(spark, patterns):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.plan(docs, max_patterns=patterns).collect()))
 
 
+def test_every_pattern_takes_part_in_the_flow(spark, monkeypatch):
+    """276 patterns of two sources: each keeps both, and how shares reach the rows changes nothing."""
+    names = [f"s{i:02d}" for i in range(24)]
+    rows = [(i, " ".join(["w"] * (5 + 7 * i) + [str(i)]), "en", s) for i, s in enumerate(names)]
+    for a, b in itertools.combinations(names, 2):
+        rows += [(len(rows) + k, f"{a} {b} " + "x " * (len(rows) % 9), "en", s) for k, s in enumerate((a, b))]
+    seen, route = [], mixing.route
+    monkeypatch.setattr(mixing, "route", lambda cells, unique, *x: seen.append((cells, unique)) or route(cells, unique, *x))
+    docs = frame(spark, rows)
+    got = [Counter(map(tuple, mixing.plan(docs, max_patterns=n).collect())) for n in (mixing.MAX_PATTERNS, 2, 1000)]
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) == len(rows)
+    patterns = {f"{a} {b}" for a, b in itertools.combinations(range(24), 2)} | {str(i) for i in range(24)}
+    for cells, unique in seen:
+        assert set(unique) == patterns and set(cells) == {(p, int(s)) for p in patterns for s in p.split()}
+
+
 def test_mix_rows(spark):
     rows = mixed_rows(200)
     docs = frame(spark, rows)
