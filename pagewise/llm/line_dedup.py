@@ -4,8 +4,10 @@ Documents that overlap are found through the hashes of lines, each later
 document is aligned with the earlier one by patience diff, and the blocks of
 lines that align are deleted from the later one.
 
-A line is an anchor of a document if it stands there once and has at least
-``MIN_CHARS`` characters.  A document is paired with the first holders of all
+A run is a line of at least ``MIN_CHARS`` characters, or the shorter lines from
+one that isn't blank on until they have as many.  The anchors of a document
+are its runs, each with the number of its occurrence, and besides those that
+stand there once as such.  A document is paired with the first holders of all
 its anchors, however many texts hold them.  So a line held by n texts makes
 n - 1 pairs at most.  The pairs of a first holder are dealt to slices of about
 ``RARE``, each with a copy of its hashes, so a popular line is not one task.
@@ -104,8 +106,30 @@ def blocks(a: list, b: list, chars: list[int], least: int = MIN_CHARS) -> list[t
     return out
 
 
+def _mixed(hashes: list[int]) -> int:
+    return xxhash.xxh3_64_intdigest(np.array(hashes, np.int64).tobytes()) - (1 << 63)
+
+
+def anchors_of(hashes: list[int], chars: list[int], least: int = MIN_CHARS) -> list[int]:
+    """Any common block of ``least`` characters gives two texts an anchor in common."""
+    runs = []
+    for i, c in enumerate(chars):
+        n, j = c, i + 1
+        while 0 < n < least and j < len(chars) and chars[j] < least:  # a line is passed from fewer than ``least`` starts
+            n, j = n + chars[j], j + 1
+        if n >= least:
+            runs.append(hashes[i] if j == i + 1 else _mixed(hashes[i:j]))
+    times, seen, out = Counter(runs), Counter(), []
+    for x in runs:
+        if times[x] == 1:
+            out.append(x)
+        out.append(_mixed([x, seen[x], -1]))  # also where another text repeats it
+        seen[x] += 1
+    return out
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """id, key (of the text), sha256 of the text, and per line its hash, length and whether it is an anchor."""
+    """id, key (of the text), sha256 of the text, and of each line its hash and length, and the anchors."""
 
     def run(batches):
         types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -116,10 +140,8 @@ def measured(docs: DataFrame) -> DataFrame:
                 lines = lines_of(text)
                 h = [_hash(x) for x in lines]
                 chars = [len(x.strip().decode("utf-8", "replace")) for x in lines]
-                n = Counter(h)
                 sha = hashlib.sha256(text or b"").digest()
-                anchors = [x for x, c in zip(h, chars) if n[x] == 1 and c >= MIN_CHARS]
-                out.append((LAST if doc is None else doc, int.from_bytes(sha[:8], "big", signed=True), sha.hex(), h, chars, anchors))
+                out.append((LAST if doc is None else doc, int.from_bytes(sha[:8], "big", signed=True), sha.hex(), h, chars, anchors_of(h, chars)))
             cols = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 

@@ -187,6 +187,29 @@ def test_line_dedup_of_popular_lines(spark, rare):
     assert got == {i: sha(t) for i, t in want.items()}
 
 
+def test_line_dedup_of_short_and_repeated_lines(spark):
+    line = lambda x: f"{x} is a line that is long enough"
+    verse = ["roses are", "", "red", "violets", "blue"]
+    twice = [line("x"), line("y")] * 2
+    rows = [
+        (1, "\n".join([line(1), *verse, line(10)]), None, None), (2, "\n".join([line(2), "head", *verse, line(20)]), None, None),
+        (3, "\n".join([*twice, line(3)]), None, None), (4, "\n".join([*twice, line(4)]), None, None),
+        (5, "\n".join([*twice[:2], line(5)]), None, None), (6, "\n".join([line(6), "blue", "red", "roses are"]), None, None),
+    ]
+    got = {r.doc_id: r.kept_sha256 for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
+    kept = {1: rows[0][1], 2: "\n".join([line(2), "head", line(20)]), 3: rows[2][1], 4: line(4), 5: line(5), 6: rows[5][1]}
+    assert got == {i: sha(t) for i, t in kept.items()}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=9), st.lists(st.integers(0, 9), max_size=9), st.lists(st.integers(0, 9), min_size=1, max_size=9))
+def test_a_common_block_gives_a_common_anchor(head, tail, block):
+    size = lambda lines: [3 * x for x in lines]
+    one, two = head + block + tail, tail + block + head
+    if sum(size(block)) >= 20:
+        assert set(line_dedup.anchors_of(one, size(one))) & set(line_dedup.anchors_of(two, size(two)))
+
+
 # -- substrings ------------------------------------------------------------------
 
 
