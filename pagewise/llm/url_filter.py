@@ -2,8 +2,8 @@
 
 Fixed rules (host, path) judge the urls they fit, the longest winning.  Those
 verdicts are also the labels that the rest is learned from: a url's tokens
-(scheme, parts of the host, segments and shapes of the path, query keys) make
-a transaction, its verdict one more item, and Spark's FP-growth mines the
+(scheme, parts of the host, shapes of all segments of the path, those after the
+fourth without their position, all query keys) make a transaction, its verdict one more item, and Spark's FP-growth mines the
 combinations.  Rules whose consequent is a verdict are pruned by support and
 confidence, and a rule that a shorter one with the same verdict and no less
 confidence covers is dropped.  Each rule is indexed under its rarest token;
@@ -70,9 +70,10 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     n = F.size(parts)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     shape = F.transform(
-        F.slice(segments, 1, 4),
-        lambda s, i: F.concat(F.lit("path"), (i + 1).cast("string"), F.lit("="), F.regexp_replace(s, r"(?<=[0-9])[0-9]+", "0")),
+        segments,
+        lambda s, i: F.concat(F.lit("path"), F.when(i < 4, (i + 1).cast("string")).otherwise(""), F.lit("="), F.regexp_replace(s, r"(?<=[0-9])[0-9]+", "0")),
     )
+    query = F.regexp_extract(url, r"(?s)^[^?]*\?(.*)$", 1)
     found = F.concat(
         F.array(
             F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))),
@@ -82,7 +83,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
             F.concat(F.lit("sub="), F.when(n > 2, F.element_at(parts, 1)).otherwise("")),
         ),
         shape,
-        F.transform(F.regexp_extract_all(url, F.lit(r"[?&]([A-Za-z_]+)="), F.lit(1)), lambda k: F.concat(F.lit("query="), k)),
+        F.transform(F.regexp_extract_all(query, F.lit(r"(?:^|&)([^=&#]+)="), F.lit(1)), lambda k: F.concat(F.lit("query="), k)),
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(found)))
 

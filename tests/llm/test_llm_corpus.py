@@ -220,6 +220,16 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge(url_pages(spark, ["http://a.net/x", None])).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("tail", ["a/b/c/bad/x", "a/b/c/d/e/f/bad", "a?sid-2=1", "a?x=1&0/é=y=z#&w=2"])
+def test_deep_segments_and_all_query_keys_are_tokens(spark, tail):
+    """The tail, which only blocked urls have, blocks a url that no fixed rule fits."""
+    good = tail.replace("bad", "good").replace("sid-2", "sid-3").replace("0/é", "0/e")
+    urls = [f"http://h{i}.com/de/{tail}" for i in range(20)] + [f"http://h{i}.com/fr/{good}" for i in range(20)]
+    urls += [f"http://other.net/q/{tail}", f"http://other.net/q/{good}"]
+    got = {r.page_id: r for r in url_filter.judge(url_pages(spark, urls)).collect()}
+    assert (got[40].rule, got[40].verdict, got[41].verdict) == (None, "block", "allow")
+
+
 def test_mined_rules_against_brute_force(spark):
     rng = random.Random(8)
     sets = []
