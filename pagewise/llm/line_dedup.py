@@ -173,12 +173,18 @@ def _align(least: int):
     return run
 
 
+def to_cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """id, key, text, gone: the rows of ``docs`` whose id and text lose lines; null ids are told apart by their texts."""
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    key = F.conv(F.substring(sha, 1, 16), 16, -10).cast("long")  # as measured() has it
+    own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), key.alias("key"), "text")
+    return own.join(gone, ["id", "key"]).select("id", "key", "text", "gone")
+
+
 def _cut(batches):
     for batch in batches:
         out = []
         for doc, key, text, gone in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), buffers(batch.column("text")), batch.column("gone").to_pylist()):
-            if int.from_bytes(hashlib.sha256(text or b"").digest()[:8], "big", signed=True) != key:
-                continue  # another row that shares the id
             drop = np.zeros(len(lines := lines_of(text)), bool)
             drop[gone] = True
             kept = b"\n".join(x for x, d in zip(lines, drop.tolist()) if not d)
@@ -202,8 +208,7 @@ def alignments(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> tup
     both = near.join(earlier, ["id0", "key0", "slice"]).join(texts.drop("anchors"), ["id", "key"])
     gone = both.select("id", "key", "hashes0", "chars0", "hashes", "chars").mapInArrow(_align(least), "id long, key long, gone array<int>")
     gone = gone.select("id", "key", F.explode("gone").alias("j")).groupBy("id", "key").agg(F.array_sort(F.collect_set("j")).alias("gone"))  # lines of one text
-    own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
-    lost = own.join(gone, "id").select("id", "key", "text", "gone").mapInArrow(_cut, "id long, key long, n_removed long, kept_sha256 string, kept string")
+    lost = to_cut(docs, gone).mapInArrow(_cut, "id long, key long, n_removed long, kept_sha256 string, kept string")
     return rows.select("id", "key", "sha", "n_lines", "copy"), lost.dropDuplicates(["id", "key"])
 
 

@@ -201,6 +201,15 @@ def test_line_dedup_of_short_and_repeated_lines(spark):
     assert got == {i: sha(t) for i, t in kept.items()}
 
 
+def test_texts_of_null_ids_are_cut_by_their_key(spark):
+    rows = odd_rows() + [(None, f"text {i} é\U0001f600", None, None) for i in range(40)]
+    docs = frame(spark, rows)
+    base = line_dedup.measured(docs).select("id", "key")
+    gone = base.distinct().selectExpr("id", "key", "array(0) as gone")
+    found = Counter((r.id, r.key) for r in line_dedup.to_cut(docs, gone).collect())
+    assert found == Counter(map(tuple, base.collect())) and sum(found.values()) == len(rows)  # each row meets its own text alone
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=9), st.lists(st.integers(0, 9), max_size=9), st.lists(st.integers(0, 9), min_size=1, max_size=9))
 def test_a_common_block_gives_a_common_anchor(head, tail, block):
