@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewise.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, sharding, simhash, substring_dedup, toxicity, url_filter
+from pagewise.llm import (
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    language_id,
+    license_scan,
+    line_dedup,
+    mixing,
+    sharding,
+    simhash,
+    spelling,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 from pagewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +152,107 @@ FROM d LEFT JOIN kept USING (doc_id)
 @query
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), f AS (
+  SELECT d.doc_id, part,
+         [CAST(len(w) < 100 AS INT), CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT),
+          CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS INT),
+          CAST(regexp_matches(text, '[#$%&*|]') AS INT),
+          CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT)] AS fails
+  FROM d
+), l AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), x AS (SELECT unnest(range(1, 6)) AS i), orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+  SELECT array_to_string([substr('ABCDE', k, 1) FOR k IN o], '') AS filter_order, s.i AS step, o[s.i] AS f,
+         o[1 : s.i - 1] AS before
+  FROM orders, x s
+), counted AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN list_sum([0] || [fails[k] FOR k IN before]) = 0 AND fails[f] = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN list_sum([0] || [fails[k] FOR k IN before]) = 0 AND fails[f] = 1 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN list_sum([0] || [fails[k] FOR k IN before]) > 0 AND fails[f] = 1 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN list_sum(fails) = 1 AND fails[f] = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN list_sum([0] || [fails[k] FOR k IN before]) = 0 AND fails[f] = 1 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN list_sum([0] || [fails[k] FOR k IN before]) = 0 AND fails[f] = 1 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table of 256 remainders; near words share what is left when one letter is deleted.
+ORACLE["op13_spelling"] = """
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(0, 256)) AS i))
+), runs AS (
+  SELECT id, run, count(*) AS k FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents) GROUP BY id, run
+), hashed AS (
+  SELECT run, k, length(run) AS n, xor(list_reduce([4294967295] || flatten([
+           CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END
+           FOR ch IN string_split(id || ':' || run, '')]),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % n AS INT)) || substr(run, CAST(h % n AS INT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS form, max(n) AS form_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form,
+         CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NOT NULL
+), roots AS (
+  SELECT walk.word, walk.root FROM walk JOIN formed ON formed.word = walk.root WHERE formed.form IS NULL
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM formed JOIN roots USING (word)
+"""
