@@ -22,7 +22,7 @@ from tests.parity import compare, duck
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == [] and "pipeline" in names
     assert not any(n.startswith("op") or n == "pipeline" for n in __import__("pagewise.plans.registry", fromlist=["QUERIES"]).QUERIES)
 
 
