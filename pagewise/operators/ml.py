@@ -17,12 +17,13 @@ import uuid
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewise.functions.numeric import half_up_js, ratio_round_half_up
 from pagewise.operators import scan
+from pagewise.operators.boosting import Boosted, CellModel, Forest
 from pagewise.session import state_root
 from pagewise.sources.binding import ReadingLog
 
@@ -93,22 +94,21 @@ def split(df: DataFrame, seed: int = SPLIT_SEED, method: str = "hash") -> DataFr
     return df.withColumn("split", F.when(F.substring(h, 1, 1) < "8", "train").otherwise("test"))
 
 
-def booster(max_iter: int = 100, seed: int = 1, max_depth: int = 6, step: float = 0.3) -> GBTRegressor:
-    """Gradient-boosted trees; depth 6 / step 0.3 mirror the original booster's defaults."""
-    return GBTRegressor(
-        featuresCol="features", labelCol=LABEL, maxIter=max_iter, seed=seed, maxDepth=max_depth, stepSize=step
-    )
+def booster(max_iter: int = 100, max_depth: int = 6, step: float = 0.3, lam: float = 1.0) -> Boosted:
+    """Second-order boosted trees with the original booster's public defaults (100 trees, depth 6, step 0.3, lambda 1).
+    It draws nothing at random, so it takes no seed."""
+    return Boosted(rounds=max_iter, depth=max_depth, eta=step, lam=lam)
 
 
-def model_pipeline(regressor=None, handle_invalid: str = "error") -> Pipeline:
-    """Encode, assemble, regress.  The code enters as a plain number, as in the original: a nominal feature would
-    limit the trees to ``maxBins`` categories.  ``handle_invalid`` ("error", "skip", "keep") is for unseen categories."""
+def model_pipeline(regressor, handle_invalid: str = "error") -> Pipeline:
+    """Encode, assemble, regress with a Spark ML regressor.  The code enters as a plain number, as in the original.
+    ``handle_invalid`` ("error", "skip", "keep") is for unseen categories."""
     return Pipeline(
         stages=[
             category_indexer(handle_invalid),
             SQLTransformer(statement="SELECT *, b_category_encoded + 0.0D AS category_number FROM __THIS__"),
             VectorAssembler(inputCols=FEATURES, outputCol="features"),
-            regressor if regressor is not None else booster(),
+            regressor,
         ]
     )
 
@@ -142,25 +142,30 @@ def regression_metrics(pred: DataFrame, label: str = LABEL, prediction: str = "p
     )
 
 
-def fit_rows(rows: DataFrame, regressor=None, name: str = "gbt", handle_invalid: str = "error") -> tuple[PipelineModel, DataFrame]:
-    """Fit on the train half of split ``rows`` and evaluate on the test half; rows with a NULL feature or label stay out."""
+def fit_rows(rows: DataFrame, regressor=None, name: str = "gbt", handle_invalid: str = "error") -> tuple[PipelineModel | CellModel, DataFrame]:
+    """Fit on the train half of split ``rows`` and evaluate on the test half; rows with a NULL feature or label stay out.
+    ``regressor``: trees on cells (the booster by default) or a Spark ML regressor."""
     rows = rows.filter(usable() & F.col(LABEL).isNotNull())
-    model = model_pipeline(regressor, handle_invalid).fit(rows.filter(F.col("split") == "train"))
+    train, regressor = rows.filter(F.col("split") == "train"), regressor if regressor is not None else booster()
+    if isinstance(regressor, (Boosted, Forest)):
+        model = regressor.fit(train, LABEL, handle_invalid)
+    else:
+        model = model_pipeline(regressor, handle_invalid).fit(train)
     m = regression_metrics(model.transform(rows.filter(F.col("split") == "test")))
     return model, m.select(F.lit(name).alias("model"), "*")
 
 
-def fit_and_evaluate(log: ReadingLog, regressor=None, name: str = "gbt") -> tuple[PipelineModel, DataFrame]:
+def fit_and_evaluate(log: ReadingLog, regressor=None, name: str = "gbt") -> tuple[PipelineModel | CellModel, DataFrame]:
     return fit_rows(split(training_rows(log)), regressor, name)
 
 
 def compare_models(rows: DataFrame) -> DataFrame:
-    """The alternatives the original tried, over one (stored) split: linear, random forest, GBT(500,
-    0.01, depth 6) and the shipped booster (100 trees)."""
+    """The alternatives the original tried, over one (stored) split: linear, random forest, plain gradient boosting
+    (500, 0.01, depth 6) and the shipped booster (100 trees)."""
     candidates = [
-        ("linear", LinearRegression(featuresCol="features", labelCol=LABEL)),
-        ("random_forest", RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=1)),
-        ("gbt_500", booster(max_iter=500, seed=42, max_depth=6, step=0.01)),
+        ("linear", LinearRegression(featuresCol="features", labelCol=LABEL, solver="normal")),
+        ("random_forest", Forest()),
+        ("gbt_500", booster(max_iter=500, step=0.01, lam=0.0)),
         ("gbt_100", booster()),
     ]
     out = None
@@ -170,13 +175,20 @@ def compare_models(rows: DataFrame) -> DataFrame:
     return out
 
 
-def save_model(spark: SparkSession, model: PipelineModel, name: str | None = None) -> str:
+def save_model(spark: SparkSession, model: PipelineModel | CellModel, name: str | None = None) -> str:
     path = f"{state_root(spark)}/models/{name or uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
+    if isinstance(model, CellModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel | CellModel:
+    spark = SparkSession.getActiveSession()
+    grid = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/grid")
+    if grid.getFileSystem(spark._jsc.hadoopConfiguration()).exists(grid):
+        return CellModel.load(spark, path)
     return PipelineModel.load(path)
 
 
@@ -195,7 +207,7 @@ def reading_plan(days: Column, pages: Column) -> list[Column]:
 PLAN = ("predicted_total_days", "average_reading_sessions", "average_pages_per_session")
 
 
-def with_plan(model: PipelineModel, shelf: DataFrame) -> DataFrame:
+def with_plan(model: PipelineModel | CellModel, shelf: DataFrame) -> DataFrame:
     """Shelf rows with the derived plan, in one pass: no join, so rows that repeat stay as many.  A row with a NULL
     category or page count has a NULL plan."""
     cols = shelf.columns
@@ -204,7 +216,7 @@ def with_plan(model: PipelineModel, shelf: DataFrame) -> DataFrame:
     return known.unionByName(unknown)
 
 
-def predict_shelf(model: PipelineModel, shelf: DataFrame) -> DataFrame:
+def predict_shelf(model: PipelineModel | CellModel, shelf: DataFrame) -> DataFrame:
     """Bulk prediction for every shelf row (category, pages) + the derived plan."""
     return with_plan(model, shelf.select("user_id", "b_isbn", "b_page", "b_category")).drop("b_category")
 

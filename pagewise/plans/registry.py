@@ -404,8 +404,8 @@ def _fitted(spark, sf_dir, name="gbt"):
     model (the original trained offline and loaded the saved files)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MODEL_PATHS:
-        linear = LinearRegression(featuresCol="features", labelCol=ml.LABEL, solver="normal") if name == "linear" else None
-        model, _ = ml.fit_rows(_training(spark, sf_dir), linear, name)
+        linear = LinearRegression(featuresCol="features", labelCol=ml.LABEL, solver="normal")
+        model, _ = ml.fit_rows(_training(spark, sf_dir), {"linear": linear, "small": ml.booster(max_iter=2, max_depth=2)}.get(name), name)
         _MODEL_PATHS[key] = ml.save_model(spark, model)
     return ml.load_model(_MODEL_PATHS[key])
 
@@ -414,16 +414,27 @@ def _held_out(spark, sf_dir):
     return _training(spark, sf_dir).filter(ml.usable() & F.col(ml.LABEL).isNotNull() & (F.col("split") == "test"))
 
 
+def _scores():
+    return [F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2")]
+
+
 @register("model_metrics")
 def q_model_metrics(spark, sf_dir):
     """Held-out MAE / RMSE / R^2 of the stored booster."""
     m = ml.regression_metrics(_fitted(spark, sf_dir).transform(_held_out(spark, sf_dir)))
-    return m.select(F.lit("gbt").alias("model"), "*")
+    return m.select(F.lit("gbt").alias("model"), "n", *_scores())
+
+
+@register("booster_two_rounds")
+def q_booster_two_rounds(spark, sf_dir):
+    """What the booster predicts after two rounds of depth 2 for each category and page count of the training rows."""
+    cells = _training(spark, sf_dir).filter(ml.usable() & F.col(ml.LABEL).isNotNull()).select("b_category", "b_page").distinct()
+    return _fitted(spark, sf_dir, "small").transform(cells)
 
 
 @register("model_compare")
 def q_model_compare(spark, sf_dir):
-    return ml.compare_models(_training(spark, sf_dir))
+    return ml.compare_models(_training(spark, sf_dir)).select("model", "n", *_scores())
 
 
 @register("booster_checks")
