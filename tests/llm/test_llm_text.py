@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -111,8 +112,7 @@ def test_forward_sums_all_segmentations(vocab):
 
 def test_expected_counts_agree_with_likelihood(vocab):
     probs = np.vstack([np.full((vocab.size, 2), 1 / vocab.size), np.zeros((1, 2))])
-    weights = np.array([[2.0, 0], [0, 3.0]])
-    got = language_id.expected(vocab, probs, ["▁the", "▁hello"], weights)
+    got = language_id.expected(vocab, probs, ["▁the", "▁hello"], np.array([0, 1]), np.array([2.0, 3.0]))
     h = 1e-6  # the derivative of the log-likelihood by log p is the expected count
     at = int(got[:, 1].argmax())
     more = probs.copy()
@@ -121,6 +121,58 @@ def test_expected_counts_agree_with_likelihood(vocab):
     assert abs(3 * diff - got[at, 1]) < 1e-4 and got[:, 0].sum() > 0
 
 
+LONG = ["▁" + "qxz" * 70, "▁" + "\u4e2d\u6587\u5b57" * 25, "▁Donaudampfschifffahrtsgesellschaftskapitän" * 3, "▁" + "a" * 65]
+
+
+def exact_sums(vocab, probs, word):
+    """log of the sum over all segmentations and the expected counts of pieces, in fractions: nothing is rounded or runs out."""
+    from fractions import Fraction
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=language_id.VOCABULARY)
+    keep = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
+    pieces = {p: i for i, p in enumerate(p for p in map(sp.id_to_piece, keep) if 0 < len(p) <= language_id.MAX_PIECE)}
+    n = len(word)
+    arcs = [(a, b, pieces.get(word[a:b], vocab.unknown if b == a + 1 else None)) for b in range(1, n + 1) for a in range(max(0, b - 16), b)]
+    arcs = [(a, b, i, Fraction(float(probs[i]))) for a, b, i in arcs if i is not None]
+    alpha, beta = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+    for a, b, _, p in arcs:
+        alpha[b] += alpha[a] * p
+    for a, b, _, p in sorted(arcs, key=lambda x: -x[1]):
+        beta[a] += p * beta[b]
+    counts = {}
+    for a, b, i, p in arcs:
+        counts[i] = counts.get(i, 0) + float(alpha[a] * p * beta[b] / alpha[n])
+    log = lambda x: math.log(x.numerator) - math.log(x.denominator)
+    return log(alpha[n]), counts
+
+
+@pytest.mark.parametrize("chunk, few", [(2048, 8), (2048, 0), (7, 8), (16, 0)])
+def test_long_words_are_neither_cut_nor_clamped(vocab, monkeypatch, chunk, few):
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
+    monkeypatch.setattr(language_id, "FEW", few)
+    rng = np.random.default_rng(1)
+    probs = np.vstack([rng.random((vocab.size, 3)) ** 4 / vocab.size + 1e-12, np.zeros((1, 3))])
+    got = language_id.forward(vocab, probs, LONG)
+    for w, row in zip(LONG, got):
+        want = [exact_sums(vocab, probs[:, k], w) for k in range(3)]
+        assert np.allclose(row, [x[0] for x in want], rtol=1e-10, atol=1e-8) and len(set(row.tolist())) == 3
+        counts = language_id.expected(vocab, probs, [w], np.array([1]), np.array([1.0]))
+        full = np.zeros(vocab.size)
+        for i, x in want[1][1].items():
+            full[i] = x
+        assert np.allclose(counts[:, 1], full, atol=1e-8) and not counts[:, [0, 2]].any()
+    assert got.min() < -744  # exp of it is no number
+
+
+def test_text_without_a_letter(spark):
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(["²", "½ 12", "x²", "٣ 7 __", "◌́ \u0301", "ª", "語", "words of a text that has letters"] * 3)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    assert [got[i][0] for i in range(8)] == ["und", "und", "en", "und", "und", "en", "en", "en"]
+    assert [got[i][1] for i in (0, 1, 3, 4)] == [0.0] * 4
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     got = language_id.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
