@@ -60,6 +60,17 @@ def buffers(column):
         yield v.as_py()
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores after it until no column has it (columns match in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lean(run):
     """``run`` over Arrow batches, whose task gives the memory it took back to the system when it ends.
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewise.llm.common import buffers
+from pagewise.llm.common import buffers, fresh, lean
 
 WINDOW = 10
 SHARD_WORDS = 1 << 18
@@ -256,44 +256,54 @@ def cut_words(text: bytes, spans) -> bytes:
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _ITEMS = pa.list_(pa.string())
-_OWN = "_n_words long, _spans array<struct<start:int,end:int>>, _items array<string>"
 
 
-def _pass(docs: DataFrame, phrases: Phrases, shard_words: int) -> DataFrame:
-    """Add (or, in a later pass, extend) _n_words, _spans, _items."""
-    others = [c for c in docs.columns if c not in ("_n_words", "_spans", "_items")]
-    schema = T.StructType([docs.schema[c] for c in others] + T.StructType.fromDDL(_OWN).fields)
+def _pass(docs: DataFrame, phrases: Phrases, shard_words: int, own: list[str], cut: bool) -> DataFrame:
+    """Add (or, in a later pass, extend) the columns ``own``: number of words, spans, items; ``cut``: take the spans out of the text."""
+    others = [c for c in docs.columns if c not in own]
+    schema = T.StructType([docs.schema[c] for c in others] + T.StructType.fromDDL("n long, spans array<struct<start:int,end:int>>, items array<string>").fields)
+    for field, name in zip(schema.fields[len(others) :], own):
+        field.name = name
+    schema = T.StructType(schema.fields)
 
+    @lean
     def run(batches):
         for batch in batches:
             counts, hits = search_texts(list(buffers(batch.column("text"))), phrases, shard_words)
-            old = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()) if "_spans" in batch.schema.names else [([], [])] * len(counts)
+            old = zip(batch.column(own[1]).to_pylist(), batch.column(own[2]).to_pylist()) if own[1] in batch.schema.names else [([], [])] * len(counts)
             spans, items = [], []
             for doc, (was, had) in enumerate(old):
                 new, names = hits.get(doc, ((), ()))
-                spans.append([{"start": a, "end": b} for a, b in merged([*new, *((x["start"], x["end"]) for x in was)])] if new or was else [])
+                spans.append(merged([*new, *((x["start"], x["end"]) for x in was)]) if new or was else [])
                 items.append(sorted({*names, *had}))
-            own = [pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, _ITEMS)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + own, names=[*others, "_n_words", "_spans", "_items"])
+            columns = [batch.column(c) for c in others]
+            if cut and any(spans):
+                texts = [cut_words(t, s) if s else t for t, s in zip(buffers(batch.column("text")), spans)]
+                columns[others.index("text")] = pa.array(texts, pa.binary()).cast(batch.column("text").type)
+            spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
+            columns += [pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, _ITEMS)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, *own])
 
     return docs.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` and its _n_words, _spans (merged, in words: start, end) and _items (names of the items that occur, sorted)."""
+def find(docs: DataFrame, benchmark: DataFrame, own: list[str], cut: bool = False, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` and three columns named ``own``: number of words, spans (merged, in words: start, end), items that occur
+    (names, sorted).  With ``cut`` the spans are taken out of ``text``."""
     name = F.coalesce(F.col("item_id").cast("string"), F.lit("null"))
     items = benchmark.select(name.alias("item"), F.col("text").cast("binary").alias("text")).filter("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))  # a word and its gap take two bytes at least
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     for i in range(blocks):
-        docs = _pass(docs, Phrases([(x.item, bytes(x.text)) for x in items.filter(part == i).collect()], window), shard_words)
+        phrases = Phrases([(x.item, bytes(x.text)) for x in items.filter(part == i).collect()], window)
+        docs = _pass(docs, phrases, shard_words, own, cut and i == blocks - 1)
     return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
-    found = find(docs.select("doc_id", "text"), benchmark, **how)
+    found = find(docs.select("doc_id", "text"), benchmark, ["_n_words", "_spans", "_items"], **how)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select(
         "doc_id",
@@ -308,18 +318,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` with the spans cut out of ``text``; rows whose text loses every word go."""
-    found = find(docs, benchmark, **how)
-    schema = T.StructType(found.schema.fields)
-
-    def run(batches):
-        for batch in batches:
-            spans = batch.column("_spans").to_pylist()
-            if any(spans):
-                texts = [cut_words(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(buffers(batch.column("text")), spans)]
-                at = batch.schema.get_field_index("text")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type))
-            yield batch
-
-    left = found.mapInArrow(run, schema)
-    lost = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return left.filter((lost == 0) | (lost < F.col("_n_words"))).drop("_n_words", "_spans", "_items")
+    own = fresh(docs.columns, "_n_words", "_spans", "_items")
+    left = find(docs, benchmark, own, cut=True, **how)
+    lost = F.aggregate(own[1], F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return left.filter((lost == 0) | (lost < F.col(own[0]))).drop(*own)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewise.llm.common import buffers, held_out, lean, stored
+from pagewise.llm.common import buffers, fresh, held_out, lean, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS = 8_000
@@ -359,8 +359,8 @@ class Scorer:
         return pred, score
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and _lang_pred, _score."""
+def predict(docs: DataFrame, model: Model, lang: str, score_: str) -> DataFrame:
+    """``docs`` and two columns, the predicted language and its score."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # pieces x languages numbers
     names = docs.columns
@@ -370,20 +370,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in batches:
             pred, score = scorer(list(buffers(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, lang, score_])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score_, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, vocabulary: str = VOCABULARY, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     model = fit(docs, vocabulary, fit_rows)
-    out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    out = predict(docs.select("doc_id", "text"), model, "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` whose language is found with a score of ``least`` or more."""
-    out = predict(docs, fit(docs, vocabulary, fit_rows))
-    return out.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).drop("_lang_pred", "_score")
+    own = fresh(docs.columns, "_lang_pred", "_score")
+    out = predict(docs, fit(docs, vocabulary, fit_rows), *own)
+    return out.filter((F.col(own[0]) != "und") & (F.col(own[1]) >= least)).drop(*own)

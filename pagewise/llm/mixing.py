@@ -31,7 +31,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewise.llm.common import stored
+from pagewise.llm.common import fresh, stored
 
 WEIGHTS = (5, 2, 1)  # fixed values, repeating over the sources in order
 MAX_REPEAT = 3
@@ -222,9 +222,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEAT, max_patterns:
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it is taken, rows without a word not at all."""
-    chosen = plan(docs, weights, most).filter("taken > 0").select(
-        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), F.expr("cast(taken div size as int)").alias("_times")
-    ).distinct()
-    keyed = docs.withColumn("_d", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    on = (F.col("_d") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return keyed.join(chosen, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    own = doc, source, digest, times, copy = fresh(docs.columns, "_doc_id", "_source", "_digest", "_times", "_copy")
+    chosen = plan(docs, weights, most).filter("taken > 0")
+    chosen = chosen.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("digest").alias(digest), F.expr("cast(taken div size as int)").alias(times)).distinct()
+    key = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    on = (key == chosen[digest]) & docs["doc_id"].eqNullSafe(chosen[doc]) & docs["source"].eqNullSafe(chosen[source])
+    return docs.join(chosen, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(*own)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagewise.llm import graph
-from pagewise.llm.common import buffers, stored
+from pagewise.llm.common import buffers, fresh, lean, stored
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, name: str = "fp") -> Dat
     """``docs`` and the fingerprint of ``text`` as a signed long."""
     columns = docs.columns
 
+    @lean
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in buffers(batch.column("text"))], np.uint64).view(np.int64)
@@ -142,7 +143,7 @@ def links(fps: DataFrame, k: int = MAX_BITS, hot: int = HOT) -> DataFrame:
     once, compared in their task."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = variants(fps.repartition(parts, "fp"), k).repartition(parts, "v", "key").sortWithinPartitions("v", "key")
-    found = stored(keys.mapInArrow(_linked(k, hot), "a long, b long").distinct(), "links")
+    found = stored(keys.mapInArrow(lean(_linked(k, hot)), "a long, b long").distinct(), "links")
     crowd = found.filter("b is null").select(F.col("a").alias("fp")).repartition(parts, "fp")
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = F.array(*[F.lit(signed(((1 << 64) - 1) ^ sum(1 << i for i in bits))) for bits in combinations(range(64), k)])
@@ -175,7 +176,8 @@ def representatives(docs: DataFrame, width: int = SHINGLE, k: int = MAX_BITS, ho
     last = (1 << 63) - 1  # stands for a null id
     rows = stored(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "fingerprints")
     found = _grouped(rows, k, hot).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.groupBy("root").agg(F.min("fp").alias("_fp"), F.first("doc_id").alias("_id"))
-    stay = stay.select("_fp", F.coalesce("_id", F.lit(last)).alias("_id"))
-    full = fingerprints(docs, width, "_fp").withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(last)))
-    return full.join(stay, ["_fp", "_id"]).dropDuplicates(["_fp", "_id"]).select(*docs.columns)
+    own = fp, key = fresh(docs.columns, "_fp", "_id")
+    stay = found.groupBy("root").agg(F.min("fp").alias(fp), F.first("doc_id").alias(key))
+    stay = stay.select(fp, F.coalesce(key, F.lit(last)).alias(key))
+    full = fingerprints(docs, width, fp).withColumn(key, F.coalesce(F.col("doc_id"), F.lit(last)))
+    return full.join(stay, own).dropDuplicates(own).select(*docs.columns)

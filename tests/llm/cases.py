@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
-CLASHING = "k t r id key fp h n s b shard slot size first digest hashes toxic score kept words recipe mask v a pattern taken".split()
+CLASHING = "k t r id key fp h n s b shard slot size first digest hashes toxic score kept words recipe mask v a pattern taken _spans _items _n_words _d _digest _copy _times _fp _id _lang_pred _score _doc_id _source".split()
 
 
 def frame(spark, rows, schema=DOCS, clash=True):

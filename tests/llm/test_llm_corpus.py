@@ -14,7 +14,7 @@ import corpus_pipeline
 from pagewise.llm import decontaminate, mixing, sharding, url_filter
 from pagewise.llm.queries import ORACLE, QUERIES
 from tests.conftest import SF001
-from tests.llm.cases import DOCS, frame, odd_rows
+from tests.llm.cases import CLASHING, DOCS, frame, odd_rows
 from tests.parity import compare, duck
 
 # -- registration ---------------------------------------------------------------------
@@ -265,7 +265,7 @@ def test_mined_rules_against_brute_force(spark):
 
 
 def tables(spark, tmp_path, rows):
-    frame(spark, rows, DOCS, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(12)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return str(tmp_path)
 
@@ -293,6 +293,7 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["SimHash near-dedup"] == Counter(r[0] for r in rows if r[0] < 200 or 300 <= r[0] < 400)
     assert kept["benchmark decontamination"] == kept["SimHash near-dedup"]
     assert set(kept["mixing sources to target weights"]) <= set(kept["SimHash near-dedup"])
+    assert all(docs.filter(F.col(c) == f"x{c}").count() == docs.count() for c in CLASHING)  # extra columns come through unharmed
     out = corpus_pipeline.run(spark, d).collect()
     assert Counter(r.doc_id for r in out) == kept["mixing sources to target weights"]
     assert {r.shard for r in out} <= set(range(8))
