@@ -230,7 +230,9 @@ def test_deep_segments_and_all_query_keys_are_tokens(spark, tail):
     assert (got[40].rule, got[40].verdict, got[41].verdict) == (None, "block", "allow")
 
 
-def test_mined_rules_against_brute_force(spark):
+@pytest.mark.parametrize("fp_items", [12, 0])
+def test_mined_rules_against_brute_force(spark, fp_items):
+    """By FP-growth and level by level."""
     rng = random.Random(8)
     sets = []
     for _ in range(300):
@@ -238,7 +240,7 @@ def test_mined_rules_against_brute_force(spark):
         bad = ("a" in t and "b" in t) or rng.random() < 0.1
         sets.append((t, "block" if bad else "allow"))
     df = spark.createDataFrame(sets, "tokens array<string>, label string")
-    rules = {(tuple(r.antecedent), r.verdict): r.confidence for r in url_filter.mine(df, 0.02, 0.8).collect()}
+    rules = {(tuple(r.antecedent), r.verdict): r.confidence for r in url_filter.mine(df, 0.02, 0.8, 4, fp_items).collect()}
     want = {}
     for n in range(1, 5):
         for c in itertools.combinations("abcdef", n):
@@ -253,7 +255,7 @@ def test_mined_rules_against_brute_force(spark):
     }
     assert rules.keys() == pruned.keys() and all(abs(rules[r] - pruned[r]) < 1e-9 for r in rules)
     asked = df.select("tokens").distinct()
-    best = {tuple(r.tokens): r.mined for r in url_filter.matched(asked, url_filter.mine(df, 0.02, 0.8)).collect()}
+    best = {tuple(r.tokens): r.mined for r in url_filter.matched(asked, url_filter.mine(df, 0.02, 0.8, 4, fp_items)).collect()}
     for t in {tuple(t) for t, _ in sets}:
         fit = [x for (c, v), x in pruned.items() if set(c) <= set(t)]
         assert (t in best) == bool(fit)
@@ -261,6 +263,23 @@ def test_mined_rules_against_brute_force(spark):
             assert max(pruned[c, v] for (c, v) in pruned if set(c) <= set(t) and v == best[t]) == max(fit)
 
 
+@pytest.mark.parametrize("n", [40, 4000])
+def test_urls_of_thirty_query_keys(spark, n):
+    """Every url has 30 keys, some each, some the same, some one more than the last; a pair of keys gives blocked ones away."""
+    rng = random.Random(n)
+    keys = [f"k{i}" for i in range(30)]
+    ask = lambda own: "&".join(f"{k}=1" for k in own)
+    urls = []
+    for i in range(n):
+        own = [keys, keys[: 1 + i % 30], rng.sample(keys, 15)][i % 3]
+        bad = "k0" in own and "k29" in own
+        urls.append(f"http://h{i}.com/{'de' if bad else 'fr'}/{i}?{ask(own)}")
+    urls += [f"http://a.net/?{ask(['k0', 'k29'])}", f"http://a.net/?{ask(['k0', 'k1', 'k2'])}", "http://a.net/?" + "&".join(f"z{i}=1" for i in range(3000))]
+    got = {r.page_id: r for r in url_filter.judge(url_pages(spark, urls)).collect()}
+    assert [got[n + i].verdict for i in range(3)] == ["block", "allow", "allow"] and got[n].rule is None
+    assert len(got[n].antecedent) <= url_filter.MAX_TOKENS and len(got) == len(urls)
+
+
 # -- pipeline ------------------------------------------------------------------------------
 
 
