@@ -9,16 +9,23 @@ one that isn't blank on until they have as many.  The anchors of a document
 are its runs, each with the number of its occurrence, and besides those that
 stand there once as such.  A document is paired with the first holders of all
 its anchors, however many texts hold them.  So a line held by n texts makes
-n - 1 pairs at most.  The pairs of a first holder are dealt to slices of about
+n - 1 pairs at most.  An alignment keeps an order, so a line may stay that a
+later holder has in the same order as the document: where an anchor stays that
+an earlier text holds, the document is also paired with that anchor's second
+holder and with the first holder of each two neighbouring lines around it.  The pairs of a first holder are dealt to slices of about
 ``RARE``, each with a copy of its hashes, so a popular line is not one task.
 Equal texts are one text: their later copies go whole, without an alignment.
 
+What only an alignment with some other holder would delete stays: pairing every
+two holders of a line would take the square of their number.  README has the
+recall against all pairs.
+
 Only line hashes move and are aligned (a match also needs the same length);
 texts with deletions are read again to cut them.
 
 Defined results: null and empty texts have no lines; lines are compared with
 white space at their ends removed; a block of fewer than ``MIN_CHARS``
-characters stays; a null doc_id is later than any other, and rows with null
+characters stays; very long texts are aligned whole; a null doc_id is later than any other, and rows with null
 ids or that share an id and text aren't later than each other; an empty table
 gives no rows; other columns are ignored.
 """
@@ -110,24 +117,37 @@ def _mixed(hashes: list[int]) -> int:
     return xxhash.xxh3_64_intdigest(np.array(hashes, np.int64).tobytes()) - (1 << 63)
 
 
-def anchors_of(hashes: list[int], chars: list[int], least: int = MIN_CHARS) -> list[int]:
-    """Any common block of ``least`` characters gives two texts an anchor in common."""
+def runs_of(hashes: list[int], chars: list[int], least: int = MIN_CHARS) -> list[tuple[int, int, list[int]]]:
+    """(first line, line after the last, anchors) of each run."""
     runs = []
     for i, c in enumerate(chars):
         n, j = c, i + 1
         while 0 < n < least and j < len(chars) and chars[j] < least:  # a line is passed from fewer than ``least`` starts
             n, j = n + chars[j], j + 1
         if n >= least:
-            runs.append(hashes[i] if j == i + 1 else _mixed(hashes[i:j]))
-    times, seen, out = Counter(runs), Counter(), []
-    for x in runs:
-        if times[x] == 1:
-            out.append(x)
-        out.append(_mixed([x, seen[x], -1]))  # also where another text repeats it
+            runs.append((i, j, hashes[i] if j == i + 1 else _mixed(hashes[i:j])))
+    times, seen, out = Counter(x for _, _, x in runs), Counter(), []
+    for i, j, x in runs:
+        out.append((i, j, [x] * (times[x] == 1) + [_mixed([x, seen[x], -1])]))  # the second also where another text repeats it
         seen[x] += 1
     return out
 
 
+def anchors_of(hashes: list[int], chars: list[int], least: int = MIN_CHARS) -> list[int]:
+    """Any common block of ``least`` characters gives two texts an anchor in common."""
+    return [a for _, _, own in runs_of(hashes, chars, least) for a in own]
+
+
+def left_over(hashes: list[int], chars: list[int], shared: set[int], gone: list[int], least: int = MIN_CHARS) -> tuple[list[int], list[tuple[int, int]]]:
+    """Anchors that an earlier text has and whose run no alignment has touched; neighbouring lines (their hashes) there."""
+    cut, anchors, starts = set(gone), set(), set()
+    for i, j, own in runs_of(hashes, chars, least):
+        if not cut.intersection(range(i, j)) and shared.intersection(own):
+            anchors.update(shared.intersection(own))
+            starts.update(range(max(i - 1, 0), min(j, len(hashes) - 1)))
+    return sorted(anchors), sorted({(hashes[k], hashes[k + 1]) for k in starts if chars[k] + chars[k + 1] >= least})
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """id, key (of the text), sha256 of the text, and of each line its hash and length, and the anchors."""
 
@@ -148,15 +168,46 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, key long, sha string, hashes array<long>, chars array<int>, anchors array<long>")
 
 
-def pairs(texts: DataFrame, rare: int = RARE) -> DataFrame:
-    """(id, key, id0, key0, slice): a text and the first holder of one of its anchors, to align it with.
-
-    A first holder has a slice for each ``rare`` texts that its anchors may pair it with."""
+def shared_anchors(texts: DataFrame) -> DataFrame:
+    """(id, key, h, id0, key0): an anchor of a text and the first text that holds it, an earlier one."""
     held = texts.select("id", "key", F.explode("anchors").alias("h"))
     holders = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key")).alias("first")).filter("n > 1")
-    slices = holders.groupBy("first").agg(F.ceil(F.sum(F.col("n") - 1) / rare).alias("slices"))  # at most the anchors of one text
-    near = held.join(holders.join(slices, "first"), "h").filter("id > first.id").select("id", "key", "first", "slices").distinct()
-    return near.select("id", "key", F.col("first.id").alias("id0"), F.col("first.key").alias("key0"), F.pmod(F.xxhash64("id", "key"), "slices").alias("slice"))
+    return held.join(holders, "h").filter("id > first.id").select("id", "key", "h", F.col("first.id").alias("id0"), F.col("first.key").alias("key0"))
+
+
+def dealt(pairs: DataFrame, rare: int = RARE) -> DataFrame:
+    """Pairs (id, key, id0, key0) and a slice: a first holder has one for each ``rare`` texts it is paired with."""
+    slices = pairs.groupBy("id0", "key0").agg(F.ceil(F.count(F.lit(1)) / rare).alias("slices"))
+    return pairs.join(slices, ["id0", "key0"]).select("id", "key", "id0", "key0", F.pmod(F.xxhash64("id", "key"), "slices").alias("slice"))
+
+
+def _left_over(least: int):
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("id", "key", "hashes", "chars", "shared", "gone")]
+            out = []
+            for doc, key, h, c, shared, gone in zip(*cols):
+                anchors, two = left_over(h, c, set(shared), gone or [], least)
+                out += [(doc, key, a, None) for a in anchors] + [(doc, key, a, b) for a, b in two]
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "key", "a", "b"])
+
+    return run
+
+
+def more_pairs(texts: DataFrame, shared: DataFrame, gone: DataFrame, least: int) -> DataFrame:
+    """(id, key, id0, key0): texts that keep a shared anchor, its second holders and the first holders of the lines around it."""
+    own = shared.groupBy("id", "key").agg(F.collect_set("h").alias("shared"))  # anchors of one text
+    kept = texts.select("id", "key", "hashes", "chars").join(own, ["id", "key"]).join(gone, ["id", "key"], "left")
+    asked = stored(kept.mapInArrow(_left_over(least), "id long, key long, a long, b long"), "line_left")
+    one, two = asked.filter("b is null").select("id", "key", F.col("a").alias("h")), asked.filter("b is not null")
+    least_of = F.min(F.struct("id", "key")).alias("first")
+    second = shared.join(one.select("h").distinct(), "h", "left_semi").groupBy("h").agg(least_of)  # these rows aren't the first holders
+    lines = texts.select("id", "key", F.explode(F.arrays_zip(F.col("hashes").alias("a"), F.slice("hashes", F.lit(2), F.size("hashes")).alias("b"))).alias("x"))
+    lines = lines.select("id", "key", "x.a", "x.b").join(two.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    found = one.join(second, "h").drop("h").unionByName(two.join(lines.groupBy("a", "b").agg(least_of), ["a", "b"]).drop("a", "b"))
+    near = found.filter("id > first.id").select("id", "key", F.col("first.id").alias("id0"), F.col("first.key").alias("key0")).distinct()
+    return near.join(shared.select("id", "key", "id0", "key0").distinct(), ["id", "key", "id0", "key0"], "left_anti")
 
 
 def _align(least: int):
@@ -203,11 +254,18 @@ def alignments(docs: DataFrame, rare: int = RARE, least: int = MIN_CHARS) -> tup
     rows = rows.withColumn("copy", F.col("enough") & F.coalesce("copy", F.lit(True)))
     texts = base.join(firsts, ["sha", "id"]).select("id", "key", "hashes", "chars", "anchors").dropDuplicates(["id", "key"])
     earlier = texts.select(F.col("id").alias("id0"), F.col("key").alias("key0"), F.col("hashes").alias("hashes0"), F.col("chars").alias("chars0"))
-    near = stored(pairs(texts, rare), "line_pairs")
-    earlier = near.select("id0", "key0", "slice").distinct().join(earlier, ["id0", "key0"])  # once a slice: a hot first holder is dealt out
-    both = near.join(earlier, ["id0", "key0", "slice"]).join(texts.drop("anchors"), ["id", "key"])
-    gone = both.select("id", "key", "hashes0", "chars0", "hashes", "chars").mapInArrow(_align(least), "id long, key long, gone array<int>")
-    gone = gone.select("id", "key", F.explode("gone").alias("j")).groupBy("id", "key").agg(F.array_sort(F.collect_set("j")).alias("gone"))  # lines of one text
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        near = stored(dealt(pairs, rare), "line_pairs")
+        of = near.select("id0", "key0", "slice").distinct().join(earlier, ["id0", "key0"])  # once a slice: a hot first holder is dealt out
+        both = near.join(of, ["id0", "key0", "slice"]).join(texts.drop("anchors"), ["id", "key"])
+        gone = both.select("id", "key", "hashes0", "chars0", "hashes", "chars").mapInArrow(_align(least), "id long, key long, gone array<int>")
+        return stored(gone.select("id", "key", F.explode("gone").alias("j")).distinct(), "line_gone")
+
+    listed = lambda gone: gone.groupBy("id", "key").agg(F.array_sort(F.collect_set("j")).alias("gone"))  # noqa: E731  lines of one text
+    shared = stored(shared_anchors(texts), "line_shared")
+    gone = aligned(shared.select("id", "key", "id0", "key0").distinct())
+    gone = listed(gone.unionByName(aligned(more_pairs(texts, shared, listed(gone), least))))
     lost = to_cut(docs, gone).mapInArrow(_cut, "id long, key long, n_removed long, kept_sha256 string, kept string")
     return rows.select("id", "key", "sha", "n_lines", "copy"), lost.dropDuplicates(["id", "key"])
 
