@@ -7,7 +7,7 @@ shelf, and existence tests are semi joins against distinct keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewise.functions.category import category_label
@@ -17,6 +17,7 @@ from pagewise.operators import scan
 from pagewise.operators.progress import with_pages_read
 from pagewise.schema import PAGE_SIZE, SHELF_KEY
 from pagewise.sources.binding import ReadingLog
+from pagewise.sources.bucketed import BucketedLog
 
 # Identical rows of a tie group that one input row is expanded into (see running_pages).
 EXPAND_CHUNK = 1 << 20
@@ -150,10 +151,26 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
     return rows.withColumn("sum_page", sum_page).drop("_n", "_upto", "_k", "_chunk")
 
 
+def bounded_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
+    """``running_pages`` of records of which a book has a bounded number: one window per book, no exchange in buckets."""
+    g = record.groupBy(*SHELF_KEY, "r_date", "r_page").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*SHELF_KEY).orderBy(F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last())
+    g = g.withColumn("_upto", F.sum(F.col("r_page") * F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = g.join(shelf.select(*SHELF_KEY, "b_title", "b_author", "b_page", "b_update_dt"), SHELF_KEY, "inner")
+    rows = g.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    before = F.coalesce((F.col("_n") - F.col("_k")) * F.col("r_page"), F.lit(0))
+    return rows.withColumn("sum_page", F.col("_upto") - before).drop("_n", "_upto", "_k")
+
+
 def record_log(log: ReadingLog, user=None) -> DataFrame:
     """Every record with its book and the running pages total of that book."""
-    log = log.for_user(user)
-    r = running_pages(log.record, log.shelf)
+    if isinstance(log, BucketedLog) and user is None:
+        r = bounded_pages(log.bounded, log.shelf)
+        if log.hot is not None:  # a book's records are all here or all there
+            r = r.unionByName(running_pages(log.hot, log.shelf))
+    else:
+        log = log.for_user(user)
+        r = running_pages(log.record, log.shelf)
     if user is not None:
         r = r.orderBy(*log_order())
     return r.select(

@@ -22,7 +22,9 @@ from pagewise.operators import ml
 from pagewise.operators import progress as prog
 from pagewise.operators import replay as rp
 from pagewise.operators import scan
+from pagewise.operators.tiles import TileState
 from pagewise.session import state_root
+from pagewise.sources import bucketed, sql_functions
 from pagewise.sources import catalog as catsrc
 from pagewise.sources.binding import (
     change_log_from_lines,
@@ -318,6 +320,9 @@ def q_replay_duplicates(spark, sf_dir):
 # -- streaming form of the replay ----------------------------------------------
 
 
+STREAM_FILES, STREAM_ROWS = 3, 1 << 23  # files at least; entries of a file
+
+
 @register("stream_progress")
 def q_stream_progress(spark, sf_dir):
     """Land the change log as files (each reader's entries in one file, so the
@@ -325,12 +330,74 @@ def q_stream_progress(spark, sf_dir):
     shelf, stored, log = _replay_inputs(spark, sf_dir)
     run = uuid.uuid4().hex
     src = f"{state_root(spark)}/landing/changes-{run}"
-    log.repartition("user_id").sortWithinPartitions("user_id", "seq").write.parquet(src)
+    files = max(STREAM_FILES, log.count() // STREAM_ROWS)  # a batch is a file: bounded, and several of them at every size
+    log.repartition(files, "user_id").sortWithinPartitions("user_id", "seq").write.parquet(src)
     ps = ProgressStream(spark, f"progress-{run}", shelf, stored)
-    ps.run_available(src)
+    ps.run_available(src, max_files_per_trigger=1)
     return ps.current()[0]
 
 
+# -- bucketed tables, tiles by batches, SQL functions -------------------------------
+
+
+_BUCKETED: dict[tuple[str, str], str] = {}
+
+
+def _bucketed(spark, sf_dir):
+    """The reading log in buckets, written once per application and data set."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUCKETED:
+        name = f"log_{uuid.uuid4().hex[:12]}"
+        bucketed.write(spark, driver_log(spark, sf_dir), name)
+        _BUCKETED[key] = name
+    return bucketed.read(spark, _BUCKETED[key])
+
+
+@register("progress_bucketed")
+def q_progress_bucketed(spark, sf_dir):
+    return prog.reading_progress(_bucketed(spark, sf_dir))
+
+
+@register("record_log_bucketed")
+def q_record_log_bucketed(spark, sf_dir):
+    return lst.record_log(_bucketed(spark, sf_dir))
+
+
+@register("book_detail_bucketed")
+def q_book_detail_bucketed(spark, sf_dir):
+    return lst.book_detail(_bucketed(spark, sf_dir))
+
+
+@register("tiles_by_batches")
+def q_tiles_by_batches(spark, sf_dir):
+    """The records arrive in four batches; the state is compacted half way, and one batch comes twice."""
+    log = driver_log(spark, sf_dir)
+    state = TileState(spark, f"tiles-{uuid.uuid4().hex}")
+    batch = F.pmod(F.xxhash64("user_id", "b_isbn", "r_date"), F.lit(4))
+    for i in range(4):
+        state.append(i, log.record.filter(batch == i), log.shelf)
+        if i == 1:
+            state.compact()
+    state.append(3, log.record.filter(batch == 3), log.shelf)
+    return state.tiles(log.reader, log.shelf)
+
+
+@register("sql_shelf_listing")
+def q_sql_shelf_listing(spark, sf_dir):
+    """Every reader's shelf through the table function."""
+    prefix = f"f{uuid.uuid4().hex[:8]}"
+    sql_functions.register(spark, driver_log(spark, sf_dir), prefix)
+    return spark.sql(f"SELECT r.user_id, s.* FROM {prefix}_t_reader r, LATERAL {prefix}_shelf(r.user_id, 'alt') s")
+
+
+@register("sql_progress")
+def q_sql_progress(spark, sf_dir):
+    """Every reader's unfinished books through the table function, columns as in ``reading_progress``."""
+    prefix = f"f{uuid.uuid4().hex[:8]}"
+    sql_functions.register(spark, driver_log(spark, sf_dir), prefix)
+    return spark.sql(f"SELECT r.user_id, p.* FROM {prefix}_t_reader r, LATERAL {prefix}_progress(r.user_id) p")
+
+
 # -- catalog ---------------------------------------------------------------------
 
 SEARCH_TERM = "the"
@@ -345,6 +412,26 @@ def q_catalog_flatten(spark, sf_dir):
     return catsrc.flatten_items(catsrc.read_payloads(spark, path))
 
 
+def _broken_payloads(spark, sf_dir):
+    """Search payloads of which every fifth is cut off, every seventh has no array, and in every third one item has no isbn."""
+    payloads = catsrc.pack_payloads(catsrc.part_items(table(spark, sf_dir, "part")))
+    cut = F.expr("substring(payload, 1, length(payload) - 1)")
+    text = F.when(F.col("page_id") % 5 == 0, cut).when(F.col("page_id") % 7 == 0, F.lit('{"items": "none"}'))
+    text = text.when(F.col("page_id") % 3 == 0, F.regexp_replace("payload", '"isbn":"([0-9]*)3"', '"code":$1'))
+    return payloads.select(F.coalesce(text, "payload").alias("payload"))
+
+
+@register("catalog_variant")
+def q_catalog_variant(spark, sf_dir):
+    return catsrc.variant_items(spark, _broken_payloads(spark, sf_dir))[0]
+
+
+@register("catalog_rejects")
+def q_catalog_rejects(spark, sf_dir):
+    """How many payloads and items were rejected, by reason and place."""
+    return catsrc.variant_items(spark, _broken_payloads(spark, sf_dir))[1].groupBy("reason", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("catalog_search")
 def q_catalog_search(spark, sf_dir):
     return cat.search(table(spark, sf_dir, "documents"), SEARCH_TERM, k=10)

@@ -26,6 +26,28 @@ def flatten_items(payloads: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
+#: Why a payload or an item is rejected.
+NOT_JSON, NO_ITEMS, NO_ITEM = "not json", "no items", "no item"
+
+
+def variant_items(spark: SparkSession, payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """Items of payloads of unknown or broken shape, and a table of what is rejected: (payload, place, reason).
+
+    The text is parsed once to a VARIANT.  Text that is no JSON, and a document without an array of items, are
+    rejected whole (place NULL); an item that is no object or has no isbn is rejected by its place in the array.
+    Fields of another type than text are read as text, and those an item lacks are NULL."""
+    # the shape is asked of the JSON path, so a scalar or an object in place of the array is no error
+    parsed = payloads.select(F.col(column).alias("payload"), F.try_parse_json(column).alias("v"))
+    parsed = parsed.withColumn("items", F.expr("try_variant_get(v, '$.items', 'array<variant>')"))
+    whole = F.when(F.col("v").isNull(), NOT_JSON).when(F.col("items").isNull(), NO_ITEMS)
+    found = spark.sql("SELECT p.payload, t.pos AS place, t.col AS item FROM {p} p, LATERAL posexplode(p.items) AS t", p=parsed)
+    fields = [f.name for f in CATALOG_ITEM.fields]
+    found = found.select("payload", "place", *[F.expr(f"try_variant_get(item, '$.{c}', 'string')").alias(c) for c in fields])
+    lost = parsed.select("payload", F.lit(None).cast("int").alias("place"), whole.alias("reason")).filter("reason is not null")
+    bad = found.filter("isbn is null").select("payload", "place", F.lit(NO_ITEM).alias("reason"))
+    return found.filter("isbn is not null").select(*fields), lost.unionByName(bad)
+
+
 def part_items(part: DataFrame) -> DataFrame:
     """Catalog items built from the ``part`` table (all fields as text)."""
     return part.select(
