@@ -7,14 +7,17 @@ rows (a text with very many copies) is subdivided by splitters sampled inside
 it.  Running sums inside each range, and the totals of the ranges before it,
 give every record its exact place in the order of all bytes; shard s takes the
 records whose middle byte lies in the s-th part.  Equal texts are neighbours
-and placed as one, by the middle of their group, unless the group is larger
-than a ``WHOLE_GROUP``-th of a shard: such a group may be divided.
+and placed as one, by the middle of their group, where that is no larger than
+the largest record: so shards are as even as single records allow.  A larger
+group is divided where a shard ends.
 
 Only (id, size, checksum, key) move; texts are read once, where they lie.
 
 Defined results: a null text has size 1, checksum 0 and sorts like the empty
 text; rows with a null id, and rows that repeat, are records like any other
-(rows that agree in id and text stand next to each other in any order); an empty
+(rows that agree in id and text stand next to each other in any order, and are
+dealt out like others, however many); very long texts are records of their
+size, and larger than a shard they make it uneven; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -29,7 +32,7 @@ from pagewise.llm.common import stored
 
 SAMPLES_PER_RANGE = 32
 OVERFULL = 2.0  # times the mean
-WHOLE_GROUP = 40  # equal texts of up to one fortieth of a shard stay together
+ALIKE = (1 << 24) - 1  # bits of the second sort key in which rows of one text and id differ
 FIRST = -(1 << 63)  # the least value of the second sort key
 SEED = 11
 
@@ -39,6 +42,12 @@ def _fraction(*cols) -> F.Column:
     return (F.pmod(F.xxhash64(*cols, F.lit(SEED)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
 
 
+def _second_key(doc_id: str) -> F.Column:
+    """A hash of the id, whose last bits depend on the row's place only: so many rows of one id and text have many keys."""
+    ids, rows = F.xxhash64(F.col(doc_id), F.lit(SEED)), F.xxhash64(F.monotonically_increasing_id())
+    return ids.bitwiseAND(F.lit(~ALIKE)).bitwiseOR(rows.bitwiseAND(F.lit(ALIKE)))
+
+
 def records(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, and the sort key (k, t)."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -47,7 +56,7 @@ def records(docs: DataFrame) -> DataFrame:
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(raw).alias("k"),
-        F.xxhash64(F.col("doc_id"), F.lit(SEED)).alias("t"),
+        _second_key("doc_id").alias("t"),
     )
 
 
@@ -134,7 +143,7 @@ def shard(docs: DataFrame, n_shards: int = 8, n_ranges: int | None = None) -> Da
     middle = 2 * (F.col("b0") + F.col("b1")) - F.col("size")
     group = Window.partitionBy("r", "k")  # sorted so already
     run = run.withColumn("whole", F.sum("size").over(group)).withColumn("ahead", F.min(F.col("b1") - F.col("size")).over(group))
-    together = F.col("whole") * (WHOLE_GROUP * n_shards) <= sum_b
+    together = F.col("whole") <= F.lit(rec.agg(F.max("size")).first()[0] or 0)
     run = run.join(offsets, "r").select(
         "doc_id",
         "size",
@@ -160,6 +169,6 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
         shard_of += [r, min(n_shards - 1, (before + b // 2) * n_shards // total)]
         before += b
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    full = ranged(docs.withColumn("_k", F.xxhash64(raw)).withColumn("_t", F.xxhash64(F.col("doc_id"), F.lit(SEED))), bounds, "_k", "_t", "_r")
+    full = ranged(docs.withColumn("_k", F.xxhash64(raw)).withColumn("_t", _second_key("doc_id")), bounds, "_k", "_t", "_r")
     full = full.withColumn("_shard", F.element_at(F.create_map(*map(F.lit, shard_of)), F.col("_r")) if shard_of else F.lit(0))
     full.repartition(n_ranges, "_r").sortWithinPartitions("_shard", "_r", "_k", "_t").drop("_r", "_k", "_t").write.partitionBy("_shard").parquet(path)

@@ -102,40 +102,41 @@ def _rows(batch, *more):
 
 
 def measured(docs: DataFrame, window: int) -> DataFrame:
-    """id, n_words, sha, key, anchors (distinct hashes) of each row."""
+    """id, raw (hash of the text as it is), n_words, sha, key, anchors (distinct hashes) of each row."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for doc, text in ((d, t) for d, t in _rows(batch)):
+            for doc, text, raw in _rows(batch, "raw"):
                 words = (text or b"").split()
                 sha = hashlib.sha256(b" ".join(words)).digest()
                 a = np.unique(anchors(hashes(words), window)[0]).view(np.int64) if len(words) >= window else []
-                out.append((doc, len(words), sha.hex(), _key(sha), a))
-            cols = list(zip(*out)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "n_words", "sha", "key", "anchors"])
+                out.append((doc, raw, len(words), sha.hex(), _key(sha), a))
+            cols = list(zip(*out)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "raw", "n_words", "sha", "key", "anchors"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n_words long, sha string, key long, anchors array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("raw")).mapInArrow(run, "id long, raw long, n_words long, sha string, key long, anchors array<long>")
 
 
 def _hashed_windows(near: DataFrame, window: int) -> DataFrame:
-    """(h, id): hashes of the windows around shared anchors, once for each text."""
+    """(h, id, raw): hashes of the windows around shared anchors, once for each text."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            hs, ids = [], []
-            for doc, text, shared in _rows(batch, "shared"):
+            hs, ids, raws = [], [], []
+            for doc, text, shared, raw in _rows(batch, "shared", "raw"):
                 h = hashes(text.split())
                 found = np.unique(grams(h, window)[_near_anchors(h, shared, window)])
                 hs.append(found.view(np.int64))
                 ids.append(np.full(len(found), doc, np.int64))
+                raws.append(np.full(len(found), raw, np.int64))
             for i in range(0, len(hs), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs[i : i + 256])), pa.array(np.concatenate(ids[i : i + 256]))], names=["h", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[i : i + 256])) for x in (hs, ids, raws)], names=["h", "id", "raw"])
 
-    return near.mapInArrow(run, "h long, id long")
+    return near.mapInArrow(run, "h long, id long, raw long")
 
 
 def _near_anchors(h: np.ndarray, shared: list[int], window: int) -> np.ndarray:
@@ -302,16 +303,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORD
     marked = base.select("id", "n_words", "sha", "key").join(firsts, ["sha", "id"], "left")  # both keys: copies of one text are dealt out
     marked = marked.withColumn("copy", (F.col("n_words") >= window) & F.coalesce("copy", F.lit(True)))
 
-    own = base.filter(F.size("anchors") > 0).join(firsts, ["sha", "id"]).select("id", F.explode("anchors").alias("a"))
+    # rows meet their text by id and hash: texts of one id, or of all null ids, are told apart
+    own = base.filter(F.size("anchors") > 0).join(firsts, ["sha", "id"]).select("id", "raw", "key", F.explode("anchors").alias("a"))
     shared = own.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("a")
-    near = own.join(shared, "a").groupBy("id").agg(F.collect_set("a").alias("shared"))  # at most the anchors of the texts of one id
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text").filter("text is not null")
-    near = stored(texts.join(near, "id").select(F.col("id").alias("doc_id"), "text", "shared"), "near")
+    near = own.join(shared, "a").groupBy("id", "raw", "key").agg(F.collect_set("a").alias("shared"))  # the anchors of one text
+    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("raw"), "text").filter("text is not null")
+    near = stored(texts.join(near, ["id", "raw"]).select(F.col("id").alias("doc_id"), "raw", "key", "text", "shared"), "near")
 
     windows = _hashed_windows(near, window)
     holders = windows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("hi")).filter("first < hi").select("h", "first")
-    held = windows.join(holders, "h").groupBy("id").agg(F.collect_list(F.struct("h", "first")).alias("x"))  # the windows of one id
-    known = near.select("doc_id", "text").join(held, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("x.h").alias("repeated"), F.col("x.first").alias("holders"))
+    held = windows.join(holders, "h").groupBy(F.col("id").alias("doc_id"), "raw").agg(F.collect_list(F.struct("h", "first")).alias("x"))  # the windows of one text
+    known = near.select("doc_id", "raw", "text").join(held, ["doc_id", "raw"]).select("doc_id", "text", F.col("x.h").alias("repeated"), F.col("x.first").alias("holders"))
     passages = stored(_passages(known, window), "passages")
 
     queries = passages.filter("id > first")
@@ -320,7 +322,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORD
     at = F.filter(F.arrays_zip("starts", "owners"), lambda x: x["owners"] < F.col("id"))
     hits = hits.select("id", "key", F.explode(F.transform(at, lambda x: x["starts"] + F.col("start"))).alias("s"))
     gone = hits.groupBy("id", "key").agg(F.collect_set("s").alias("gone"))  # the windows of one text
-    lost = _kept(near.select("doc_id", "text").join(gone, F.col("doc_id") == F.col("id")).select("doc_id", "text", "gone", "key"), window)
+    lost = _kept(near.select("doc_id", "key", "text").join(gone.withColumnRenamed("id", "doc_id"), ["doc_id", "key"]).select("doc_id", "text", "gone", "key"), window)
     return marked, lost.dropDuplicates(["id", "key"])
 
 

@@ -328,6 +328,16 @@ def test_substring_dedup(spark, window):
     assert substring_dedup.removed(frame(spark, []), window).count() == 0
 
 
+def test_substring_dedup_of_many_null_ids(spark):
+    """Texts without an id meet their own windows only: joined rows grow with them, not with their square."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, "en", "a")] + [(None, f"{i} " + passage + f" {rng.random()}", "en", "a") for i in range(400)] + [(None, "same " + passage, "en", "a")] * 200
+    docs = frame(spark, rows)
+    got = substring_dedup.removed(docs, 50).collect()
+    assert Counter(tuple(r) for r in got) == brute_removed(rows, 50)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=12), max_size=4), st.lists(st.integers(0, 2), max_size=12), st.integers(1, 4))
 def test_automaton(refs, asked, window):
