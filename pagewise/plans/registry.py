@@ -18,7 +18,7 @@ from pagewise.operators import catalog as cat
 from pagewise.operators import changes as chg
 from pagewise.operators import dashboard as dash
 from pagewise.operators import lists as lst
-from pagewise.operators import ml
+from pagewise.operators import ml, pages, relevance
 from pagewise.operators import progress as prog
 from pagewise.operators import replay as rp
 from pagewise.operators import scan
@@ -444,6 +444,36 @@ def q_catalog_lookup(spark, sf_dir):
     return cat.lookup(items, keys)
 
 
+RANKED_QUERY = "the of that nation license"
+_INDEXED: dict[tuple[str, str], str] = {}
+
+
+@register("ranked_search")
+def q_ranked_search(spark, sf_dir):
+    """The ten best documents by BM25, from an index built once per application and data set."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        name = f"documents-{uuid.uuid4().hex}"
+        relevance.build(spark, table(spark, sf_dir, "documents"), name)
+        _INDEXED[key] = name
+    found = relevance.search(relevance.read(spark, _INDEXED[key]), RANKED_QUERY)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+_PAGED: dict[tuple[str, str], str] = {}
+
+
+@register("page_of_reader")
+def q_page_of_reader(spark, sf_dir):
+    """The second page of the reader that the single-reader queries ask for, from stored pages."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PAGED:
+        name = f"pages-{uuid.uuid4().hex}"
+        pages.store(spark, driver_log(spark, sf_dir), name)
+        _PAGED[key] = name
+    return pages.page(spark, _PAGED[key], USER, 2)
+
+
 # -- reading-time model ------------------------------------------------------------
 
 
