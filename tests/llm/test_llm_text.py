@@ -236,3 +236,73 @@ def test_long_text_in_parts_scores_alike():
     net, tokens = toxicity.Net(), toxicity.Tokens()
     t, _ = tokens((" ".join(f"w{i}" for i in range(500)) + " scum").encode())
     assert abs(net.logit(t) - net.logit(t, block=64)) < 1e-5
+
+
+def test_gradients_against_finite_differences(monkeypatch):
+    """Every kind of parameter, in double precision, on texts with repeated words, one word and none."""
+    net, tokens = toxicity.Net(), toxicity.Tokens()
+    net.table = net.table.astype(np.float64)
+    net.filters, net.bias, net.out = [f.astype(np.float64) for f in net.filters], [b.astype(np.float64) + 0.05 for b in net.bias], net.out.astype(np.float64)
+    net.rest = np.float64(net.rest)
+
+    def loss(t, y, w):
+        z = net.logit(t)
+        return w * (np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z)))
+
+    rng = np.random.default_rng(0)
+    for text, y in [("one two one three two two four", 1), ("five six seven eight nine ten", 0), ("word", 1), ("", 0)]:
+        t, _ = tokens(text.encode())
+        dense, free, (rows, steps) = net.gradient(t, y, 1.7)
+        params = [*net.filters, *net.bias, net.out]
+        table = np.zeros_like(net.table)
+        np.add.at(table, rows, steps)
+        table[-1] = 0  # padding stays zero
+        for p, g in [*zip(params, dense), (net.table, table)]:
+            where = [np.unravel_index(i, p.shape) for i in rng.integers(0, p.size, 8)]
+            if p is net.table:
+                where = [(int(r), int(rng.integers(0, toxicity.DIM))) for r in np.unique(rows) if r != 2 * toxicity.BUCKETS]
+            for at in where:
+                old, h = p[at], 1e-6
+                p[at] = old + h
+                up = loss(t, y, 1.7)
+                p[at] = old - h
+                down = loss(t, y, 1.7)
+                p[at] = old
+                assert abs((up - down) / (2 * h) - g[at]) < 1e-5, (text, at)
+        net.rest += 1e-6
+        up = loss(t, y, 1.7)
+        net.rest -= 2e-6
+        assert abs((up - loss(t, y, 1.7)) / 2e-6 - free) < 1e-5
+        net.rest += 1e-6
+
+
+def test_pooling_against_plain_loops():
+    net, tokens = toxicity.Net(), toxicity.Tokens()
+    t, _ = tokens(b"a bb ccc a dddd bb eeeee")
+    vectors = [net.table[int(x) >> 32] + net.table[int(x) & 0xFFFFFFFF] for x in t] + [np.zeros(toxicity.DIM)] * (toxicity.PAD + 1)
+    want = []
+    for width, f, b in zip(toxicity.WIDTHS, net.filters, net.bias):
+        for k in range(toxicity.FILTERS):
+            want.append(max(sum(float(vectors[i + j] @ f[j][:, k]) for j in range(width)) + b[k] for i in range(len(vectors) - toxicity.PAD)))
+    assert np.allclose(net.pooled(t)[3], want, atol=1e-5)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows, labels = planted(300)
+    rows += [(5000 + i, "long " * 40_000, "en", "a") for i in range(3)]
+    lab = spark.createDataFrame(labels + [(5000 + i, 0, 1) for i in range(3)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    seen = []
+    fitted = toxicity.Net.fit
+
+    def fit(self, texts, *more):
+        seen.append(sum(map(len, texts)))
+        return fitted(self, texts, *more, visits=100)
+
+    toxicity.Net.fit = fit
+    try:
+        toxicity.fit(docs, lab, fit_bytes=60_000)
+        assert toxicity.fit(docs, lab, fit_bytes=0) is None
+    finally:
+        toxicity.Net.fit = fitted
+    assert seen and seen[0] < 60_000 / 2
