@@ -300,7 +300,7 @@ def _replay_inputs(spark, sf_dir):
 @register("replay_changes")
 def q_replay_changes(spark, sf_dir):
     shelf, stored, log = _replay_inputs(spark, sf_dir)
-    return rp.replay_shelf(shelf, stored, log)
+    return rp.replay_shelf(shelf, stored, log, keep=rp.kept)
 
 
 @register("replay_records")
@@ -314,7 +314,7 @@ def q_replay_duplicates(spark, sf_dir):
     """The replay over a shelf that holds every tenth book twice, with other numbers of pages."""
     shelf, stored, log = _replay_inputs(spark, sf_dir)
     second = shelf.filter("b_isbn % 10 = 0").withColumn("b_page", (F.col("b_page") + 25).cast("int"))
-    return rp.replay_shelf(shelf.unionByName(second), stored, log)
+    return rp.replay_shelf(shelf.unionByName(second), stored, log, keep=rp.kept)
 
 
 # -- streaming form of the replay ----------------------------------------------
