@@ -202,7 +202,7 @@ def more_pairs(texts: DataFrame, shared: DataFrame, gone: DataFrame, least: int)
     asked = stored(kept.mapInArrow(_left_over(least), "id long, key long, a long, b long"), "line_left")
     one, two = asked.filter("b is null").select("id", "key", F.col("a").alias("h")), asked.filter("b is not null")
     least_of = F.min(F.struct("id", "key")).alias("first")
-    second = shared.join(one.select("h").distinct(), "h", "left_semi").groupBy("h").agg(least_of)  # these rows aren't the first holders
+    second = shared.groupBy("h").agg(least_of)  # these rows aren't the first holders; one row for each anchor before it is joined
     lines = texts.select("id", "key", F.explode(F.arrays_zip(F.col("hashes").alias("a"), F.slice("hashes", F.lit(2), F.size("hashes")).alias("b"))).alias("x"))
     lines = lines.select("id", "key", "x.a", "x.b").join(two.select("a", "b").distinct(), ["a", "b"], "left_semi")
     found = one.join(second, "h").drop("h").unionByName(two.join(lines.groupBy("a", "b").agg(least_of), ["a", "b"]).drop("a", "b"))
