@@ -118,7 +118,8 @@ def _best(key: tuple, part: pa.Table) -> pa.Table:
     """Of each word of a slice: how many words are near, and the most frequent of them."""
     m, side, _, i, j = (x.as_py() for x in key)
     words, n, block = part["word"].to_pylist(), part["n"].to_numpy(), part["block"].to_numpy()
-    q, w = Slice(words, m).near()
+    one_block = i != j and (block == block[0]).all()
+    q, w = Slice(words, m).near() if len(words) > 1 and not one_block else (np.zeros(0, int), np.zeros(0, int))
     half: dict[str, int] = {}
     first = np.array([half.setdefault(x[: m // 2], len(half)) for x in words])
     ok = (first[q] == first[w]) == (side == 0)
@@ -143,8 +144,8 @@ def near_words(words: DataFrame, slice_chars: int = SLICE_CHARS) -> DataFrame:
     rows = rows.select("word", "n", "m", "side", F.xxhash64(half).alias("half"))  # halves that meet by chance only share a slice
     chars = (F.count(F.lit(1)) * (F.col("m") + 1)).cast("long")
     # a half with more than a slice is dealt to blocks; of both tables only what is large is shuffled
-    hot = rows.groupBy("m", "side", "half").agg(chars.alias("chars")).filter(F.col("chars") > slice_chars)
-    hot = hot.select("m", "side", "half", F.ceil(F.col("chars") / slice_chars).cast("int").alias("blocks"))
+    hot = rows.groupBy("m", "side", "half").agg(chars.alias("chars"), F.count(F.lit(1)).alias("k")).filter(F.col("chars") > slice_chars)
+    hot = hot.select("m", "side", "half", F.least(F.ceil(F.col("chars") / slice_chars), F.col("k")).cast("int").alias("blocks"))  # of a word at least
     lengths = words.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("k"))
     lengths = lengths.select(F.explode(F.array("size", F.col("size") - 1)).alias("m"), "k").groupBy("m").agg(F.sum("k").alias("k"))
     lengths = lengths.select("m", F.ceil(F.col("k") * (F.col("m") + 1) / slice_chars).cast("long").alias("slices"))  # a row for each length
