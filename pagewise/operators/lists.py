@@ -138,6 +138,11 @@ def running_pages(record: DataFrame, shelf: DataFrame) -> DataFrame:
         [("_upto", "sum", F.col("r_page") * F.col("_n"), True)],
         [(F.trunc("r_date", "month"), "asc_nulls_last")],
     )
+    return expanded(g, shelf)
+
+
+def expanded(g: DataFrame, shelf: DataFrame) -> DataFrame:
+    """The rows of tie groups (``_n`` rows, of which the last one's total is ``_upto``) with their books."""
     books = shelf.select(*SHELF_KEY, "b_title", "b_author", "b_page", "b_update_dt")
     g = g.join(books, SHELF_KEY, "inner")
     last_chunk = F.expr(f"(_n - 1) div {EXPAND_CHUNK}")

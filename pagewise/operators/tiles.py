@@ -5,12 +5,7 @@ days stand as exact bitmaps, which are joined by OR.  A batch of appended
 records is reduced to a part: per (reader, book) the pages and records, and
 per reader the bitmap of the days with a record of a book on the shelf.  Tiles
 merge the parts, whose rows grow with books and readers and not with the
-records; ``compact`` writes the merged parts as one.
-
-Parts are numbered by the caller's batch.  A part counts once its marker is
-written, after its tables; writing a batch again replaces it, so a batch that
-was lost half way, or comes twice, changes nothing.  A compacted part names
-the last batch it holds; later parts come on top.
+records; ``compact`` writes the merged parts as one (``parts``).
 
 The state takes appends, as the original's tiles do between deletes; after a
 delete, a new one is begun.  Unknown readers and books are values of their own
@@ -19,13 +14,11 @@ and stand on no shelf; a record without a date counts, but has no day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewise.operators.parts import Parts
 from pagewise.schema import SHELF_KEY
-from pagewise.session import state_root
-
-TABLES = ("books", "days")
 
 
 def reduced(records: DataFrame, shelf: DataFrame) -> dict[str, DataFrame]:
@@ -43,56 +36,21 @@ def merged(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {"books": books, "days": parts["days"].groupBy("user_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))}
 
 
-class TileState:
+class TileState(Parts):
     """The parts of one name under the shared state root."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{state_root(spark)}/tiles/{name}"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._path = lambda *x: path("/".join([self.root, *x]))
-
-    def _marked(self, kind: str) -> list[int]:
-        if not self._fs.exists(self._path("done")):
-            return []
-        names = [st.getPath().getName().split("=") for st in self._fs.listStatus(self._path("done"))]
-        return sorted(int(x[1]) for x in names if x[0] == kind)
+    kind, tables = "tiles", ("books", "days")
 
-    def parts(self) -> list[str]:
-        """Folders that make up the state: the last compacted one and the batches after it."""
-        base = self._marked("base")[-1:]
-        return [f"base={b}" for b in base] + [f"part={b}" for b in self._marked("part") if not base or b > base[0]]
-
-    def _write(self, folder: str, tables: dict[str, DataFrame]) -> None:
-        for t in TABLES:
-            tables[t].write.mode("overwrite").parquet(f"{self.root}/{t}/{folder}")
-        self._fs.create(self._path("done", folder), True).close()
+    def merged(self, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return merged(parts)
 
     def append(self, batch: int, records: DataFrame, shelf: DataFrame) -> None:
         """Add the records of batch number ``batch``."""
-        if (base := self._marked("base")) and batch <= base[-1]:
-            return  # it was compacted: it comes again
-        self._write(f"part={batch}", reduced(records, shelf))
-
-    def _read(self) -> dict[str, DataFrame]:
-        folders = self.parts()
-        if not folders:
-            raise FileNotFoundError(f"{self.root} has no part")
-        return {t: self.spark.read.parquet(*[f"{self.root}/{t}/{x}" for x in folders]) for t in TABLES}
-
-    def compact(self) -> None:
-        """Write the merged parts as one and delete what it holds."""
-        old, last = self.parts(), max(self._marked("part"))
-        self._write(f"base={last}", merged(self._read()))
-        for folder in old:
-            if folder != f"base={last}":
-                self._fs.delete(self._path("done", folder), True)
-                for t in TABLES:
-                    self._fs.delete(self._path(t, folder), True)
+        self.put(batch, reduced(records, shelf))
 
     def tiles(self, reader: DataFrame, shelf: DataFrame) -> DataFrame:
         """user_id, yrpage, yrbook, yrdt, totalrow: as ``reading_totals`` and ``record_count`` have them."""
-        state = merged(self._read())
+        state = self.read()
         n = state["books"].groupBy("user_id").agg(F.sum("n").alias("totalrow"))
         own = state["books"].join(shelf.select(*SHELF_KEY), SHELF_KEY, "left_semi")
         own = own.groupBy("user_id").agg(F.sum("pages").alias("yrpage"), F.count("b_isbn").alias("yrbook"))

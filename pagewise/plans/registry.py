@@ -22,11 +22,13 @@ from pagewise.operators import ml, pages, relevance
 from pagewise.operators import progress as prog
 from pagewise.operators import replay as rp
 from pagewise.operators import scan
+from pagewise.operators.prefix import PageTree, removed
 from pagewise.operators.tiles import TileState
 from pagewise.session import state_root
 from pagewise.sources import bucketed, sql_functions
 from pagewise.sources import catalog as catsrc
 from pagewise.sources.binding import (
+    ReadingLog,
     change_log_from_lines,
     driver_log,
     line_base,
@@ -268,10 +270,9 @@ def q_remove_books_records(spark, sf_dir):
     return chg.remove_books(log.shelf, _wish_keys(log), log.record, cascade=True)[1]
 
 
-@register("remove_records")
-def q_remove_records(spark, sf_dir):
-    log = driver_log(spark, sf_dir)
-    keys = (
+def _returned_days(spark, sf_dir):
+    """The days of returned lines, as the keys of a delete (the day as text)."""
+    return (
         line_base(spark, sf_dir)
         .filter(F.col("l_returnflag") == "R")
         .select(
@@ -280,7 +281,11 @@ def q_remove_records(spark, sf_dir):
             F.date_format("l_shipdate", "yyyy-MM-dd").alias("rday"),
         )
     )
-    return chg.remove_records(log.record, keys)
+
+
+@register("remove_records")
+def q_remove_records(spark, sf_dir):
+    return chg.remove_records(driver_log(spark, sf_dir).record, _returned_days(spark, sf_dir))
 
 
 # -- replay of a change log ----------------------------------------------------
@@ -382,6 +387,39 @@ def q_tiles_by_batches(spark, sf_dir):
     return state.tiles(log.reader, log.shelf)
 
 
+def _tree_after_changes(spark, sf_dir, keys):
+    """The records arrive in three batches, the first two are compacted; a fourth deletes the days of returned lines."""
+    log, days = driver_log(spark, sf_dir), _returned_days(spark, sf_dir)
+    tree = PageTree(spark, f"tree-{uuid.uuid4().hex}", keys)
+    batch = F.pmod(F.xxhash64("user_id", "b_isbn", "r_date"), F.lit(3))
+    for i in range(3):
+        tree.apply(i, log.record.filter(batch == i))
+        if i == 1:
+            tree.compact()
+    tree.apply(3, gone=removed(log.record, days.withColumn("r_date", F.to_date("rday"))))
+    return tree, ReadingLog(log.reader, log.shelf, chg.remove_records(log.record, days))
+
+
+@register("record_log_tree")
+def q_record_log_tree(spark, sf_dir):
+    """The log after adds and deletes, its totals from the stored tree."""
+    tree, now = _tree_after_changes(spark, sf_dir, ["user_id", "b_isbn"])
+    return tree.record_log(now)
+
+
+@register("record_log_since")
+def q_record_log_since(spark, sf_dir):
+    """The log from a month on: earlier records are not read."""
+    tree, now = _tree_after_changes(spark, sf_dir, ["user_id", "b_isbn"])
+    return tree.record_log(now, since=f"{YEAR}-01-01")
+
+
+@register("monthly_tree")
+def q_monthly_tree(spark, sf_dir):
+    """Cumulative pages by month after adds and deletes, from the tree alone."""
+    return _tree_after_changes(spark, sf_dir, ["user_id"])[0].monthly_cumulative()
+
+
 @register("sql_shelf_listing")
 def q_sql_shelf_listing(spark, sf_dir):
     """Every reader's shelf through the table function."""

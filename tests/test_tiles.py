@@ -42,6 +42,8 @@ def test_tiles_equal_the_full_recompute_after_every_batch(spark):
         if i == 2:
             state.compact()
             assert state.parts() == ["base=2"]
+            state.compact()  # nothing came since
+            assert state.parts() == ["base=2"]
             state.append(1, batch, log.shelf)  # a batch that the compacted part holds comes again
         assert rows(state.tiles(log.reader, log.shelf)) == rows(full(ReadingLog(log.reader, log.shelf, seen)))
     state.append(4, batch, log.shelf)  # the last batch comes again
