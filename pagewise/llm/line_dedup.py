@@ -13,7 +13,8 @@ n - 1 pairs at most.  An alignment keeps an order, so a line may stay that a
 later holder has in the same order as the document: where an anchor stays that
 an earlier text holds, the document is also paired with that anchor's second
 holder and with the first holder of each two neighbouring lines around it.  The pairs of a first holder are dealt to slices of about
-``RARE``, each with a copy of its hashes, so a popular line is not one task.
+``RARE``, each with a copy of its hashes, and the holders of every line to
+``SLICES``, so a popular line is not one task.
 Equal texts are one text: their later copies go whole, without an alignment.
 
 What only an alignment with some other holder would delete stays: pairing every
@@ -39,13 +40,14 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewise.llm.common import buffers, stored
 
 MIN_CHARS = 20
 RARE = 64
+SLICES = 256
 LAST = (1 << 63) - 1  # stands for a null id
 
 
@@ -168,11 +170,15 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, key long, sha string, hashes array<long>, chars array<int>, anchors array<long>")
 
 
-def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(id, key, h, id0, key0): an anchor of a text and the first text that holds it, an earlier one."""
-    held = texts.select("id", "key", F.explode("anchors").alias("h"))
-    holders = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key")).alias("first")).filter("n > 1")
-    return held.join(holders, "h").filter("id > first.id").select("id", "key", "h", F.col("first.id").alias("id0"), F.col("first.key").alias("key0"))
+def shared_anchors(texts: DataFrame, slices: int = SLICES) -> DataFrame:
+    """(id, key, h, id0, key0): an anchor of a text and the first text that holds it, an earlier one.
+
+    The holders of an anchor are dealt to ``slices``; what its slices know, a row each, is put together and goes back to them."""
+    held = texts.select("id", "key", F.explode("anchors").alias("h"), F.pmod(F.xxhash64("id", "key"), F.lit(slices)).cast("int").alias("slice"))
+    own = held.groupBy("h", "slice").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "key")).alias("first"))
+    of_anchor = Window.partitionBy("h")  # a row for each slice
+    holders = own.select("h", "slice", F.sum("n").over(of_anchor).alias("n"), F.min("first").over(of_anchor).alias("first")).filter("n > 1")
+    return held.join(holders, ["h", "slice"]).filter("id > first.id").select("id", "key", "h", F.col("first.id").alias("id0"), F.col("first.key").alias("key0"))
 
 
 def dealt(pairs: DataFrame, rare: int = RARE) -> DataFrame:

@@ -233,6 +233,21 @@ def all_pairs(rows):
     return out
 
 
+@pytest.mark.parametrize("slices", [1, 7, 256])
+def test_first_holders_whatever_the_slices(spark, slices):
+    rng = random.Random(4)
+    texts = {(i, rng.randrange(3)): {0} | set(rng.sample(range(1, 60), rng.randrange(5))) for i in range(120)}  # all hold line 0
+    texts |= {(120, 0): {99}, (121, 0): set(), (line_dedup.LAST, 1): {0, 5}, (line_dedup.LAST, 2): {0, 98}, (line_dedup.LAST, 3): {98}}
+    first = {}
+    for t, anchors in sorted(texts.items()):
+        for a in anchors:
+            first.setdefault(a, t)
+    want = {(*t, a, *first[a]) for t, anchors in texts.items() for a in anchors if t[0] > first[a][0]}
+    frame_ = spark.createDataFrame([(*t, sorted(a)) for t, a in texts.items()], "id long, key long, anchors array<long>")
+    got = [tuple(r) for r in line_dedup.shared_anchors(frame_, slices).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_line_dedup_of_crossing_holders(spark):
     """What the first holder has in another order goes with a later holder that has it in this one."""
     a, b, c, d = (f"line {x} is a line that is long enough" for x in "abcd")
