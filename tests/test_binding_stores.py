@@ -1,0 +1,34 @@
+"""What the bindings store: only the tables that a query asks for."""
+
+import os
+import uuid
+
+from pagewise.plans.registry import QUERIES
+from pagewise.session import state_root
+from pagewise.sources.binding import driver_log
+from tests.conftest import SF001
+
+
+def stored(spark, made):
+    root = f"{state_root(spark)}/native".removeprefix("file:")
+    return {x for x in os.listdir(root) if x.endswith(made)} if os.path.isdir(root) else set()
+
+
+def copy_of(tmp_path):
+    """The tables at a path that no other test has bound."""
+    path = f"{tmp_path}/{uuid.uuid4().hex}"
+    os.symlink(SF001, path)
+    return path
+
+
+def test_a_profile_stores_no_table(spark, tmp_path):
+    before = stored(spark, "")
+    assert QUERIES["profile_bound"](spark, copy_of(tmp_path)).count() == 1
+    assert stored(spark, "") == before
+
+
+def test_records_are_columns_of_the_stored_lines(spark, tmp_path):
+    log = driver_log(spark, copy_of(tmp_path))
+    before = stored(spark, "")
+    assert log.record.columns == ["user_id", "b_isbn", "r_date", "r_page"]
+    assert {x.split("-")[0] for x in stored(spark, "") - before} == {"lines"}
