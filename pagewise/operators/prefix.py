@@ -15,6 +15,15 @@ added up when they are read; ``compact`` leaves one row per node and drops
 those without records.  A batch of a hot key is reduced to one row per month
 before it goes up the tree.
 
+A key of few records would have more nodes than records.  What a batch has of
+such a key (``FEW`` records at most) stays one row per
+month at level ``LOOSE``, beside the tree; ``compact`` adds up the loose months
+and takes those of a key with more than ``FEW`` of them up the tree.
+
+Totals of many months come from a cover of all months by disjoint nodes: the
+left sisters on the way to the first one asked for, and every month after it.
+A key's months are bounded, so one pass over them in order adds them up.
+
 Deletes are given as the rows that go (``removed``), since a sum can only lose
 what it held.  Records without a date stand in the last month, after all
 others; NULL readers and books are values of their own; a total is NULL until
@@ -23,7 +32,10 @@ the first record with pages, as SUM has it.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +48,8 @@ from pagewise.sources.binding import ReadingLog
 
 LEVELS = 17  # months of the years up to 9999, and one for records without a date
 UNDATED = (1 << LEVELS) - 1
+LOOSE = -1  # level of months that aren't in the tree
+FEW = 32
 SUMS = ("pages", "n_pages", "n")  # pages, records with pages, records
 
 
@@ -65,8 +79,22 @@ class PageTree(Parts):
         self.keys = list(keys)
 
     def merged(self, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        nodes = parts["nodes"].groupBy(*self.keys, "level", "node").agg(*[F.sum(c).alias(c) for c in SUMS])
-        return {"nodes": nodes.filter("n <> 0")}
+        dealt = parts["nodes"].repartition(*self.keys)  # a key's nodes are bounded, and all that follows works by key
+        return {"nodes": self._summed(dealt).filter("n <> 0")}
+
+    def packed(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        w, loose = Window.partitionBy(*self.keys), F.col("level") == LOOSE
+        many = (F.count(F.when(loose, 1)).over(w) > FEW) | (F.max("level").over(w) > LOOSE)
+        return {"nodes": self._summed(self._up(tables["nodes"].withColumn("_up", many & loose))).filter("n <> 0")}
+
+    def _summed(self, nodes: DataFrame) -> DataFrame:
+        return nodes.groupBy(*self.keys, "level", "node").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+    def _up(self, nodes: DataFrame) -> DataFrame:
+        """Months (rows with ``_up``) become the nodes of all levels that hold them; the other rows stay."""
+        path = F.when(F.col("_up"), F.sequence(F.lit(0), F.lit(LEVELS - 1))).otherwise(F.array("level"))
+        up = nodes.withColumn("level", F.explode(path))
+        return up.withColumn("node", F.when(F.col("_up"), F.expr("shiftright(node, level)")).otherwise(F.col("node"))).drop("_up")
 
     def apply(self, batch: int, added: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """Batch number ``batch``: records that came and records that went."""
@@ -74,17 +102,18 @@ class PageTree(Parts):
         if not signed:
             raise ValueError("a batch has records that came or records that went")
         rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
-        months = rows.groupBy(*self.keys, month_number("r_date").alias("_m")).agg(
+        months = rows.groupBy(*self.keys, month_number("r_date").alias("node")).agg(
             F.coalesce(F.sum(F.col("_s") * F.col("r_page")), F.lit(0)).cast("long").alias("pages"),
             F.coalesce(F.sum(F.when(F.col("r_page").isNotNull(), F.col("_s"))), F.lit(0)).alias("n_pages"),
             F.sum("_s").alias("n"),
+            F.count(F.lit(1)).alias("_rows"),
         )
-        up = months.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-        up = up.groupBy(*self.keys, "level", F.expr("shiftright(_m, level)").alias("node")).agg(*[F.sum(c).alias(c) for c in SUMS])
-        self.put(batch, {"nodes": up.sortWithinPartitions(*self.keys, "level", "node")})
+        many = F.sum("_rows").over(Window.partitionBy(*self.keys)) > FEW
+        months = months.withColumn("level", F.lit(LOOSE)).withColumn("_up", many).drop("_rows")
+        self.put(batch, {"nodes": self._summed(self._up(months)).sortWithinPartitions(*self.keys, "level", "node")})
 
     def nodes(self, only: dict | None = None) -> DataFrame:
-        """Nodes with records; ``only``: values of key columns, pushed into the scan."""
+        """Nodes with records, and loose months; ``only``: values of key columns, pushed into the scan."""
         nodes = self.read()["nodes"]
         for c, value in (only or {}).items():
             nodes = nodes.filter(F.col(c) == F.lit(value))
@@ -92,32 +121,49 @@ class PageTree(Parts):
 
     def before(self, asked: DataFrame, only: dict | None = None) -> DataFrame:
         """``asked`` (the keys and a month number _m, each once) and the sums of all earlier months, as _pages, _n_pages, _n."""
+        nodes = self.nodes(only)
         bits = asked.withColumn("level", F.explode(F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda b: F.getbit("_m", b) == 1)))
         parts = bits.withColumn("node", F.expr("shiftright(_m, level) - 1"))  # the left one of two sisters
-        found = _same(parts, self.nodes(only), [*self.keys, "level", "node"], "inner")
+        found = _same(parts, nodes, [*self.keys, "level", "node"], "inner").select(*self.keys, "_m", *SUMS)
+        loose = nodes.filter(F.col("level") == LOOSE).drop("level")
+        found = found.unionByName(_same(asked, loose, self.keys, "inner").filter("node < _m").select(*self.keys, "_m", *SUMS))
         return found.groupBy(*self.keys, "_m").agg(*[F.sum(c).alias(f"_{c}") for c in SUMS])
 
+    def totals(self, start: int = 0, only: dict | None = None) -> DataFrame:
+        """Every month with records from ``start`` on: the keys, _m, its own sums, and those of all earlier months as
+        _pages, _n_pages, _n (NULL if there are none)."""
+        level, node = F.col("level"), F.col("node")
+        sisters = [(level == i) & (node == (start >> i) - 1) for i in range(LEVELS) if start >> i & 1]
+        cover = reduce(or_, sisters, (level == LOOSE) | ((level == 0) & (node >= start)))
+        first = F.when(level == LOOSE, node).otherwise(F.expr("shiftleft(node, level)"))
+        held = self.nodes(only).filter(cover).groupBy(*self.keys, first.alias("_m")).agg(*[F.sum(c).alias(c) for c in SUMS])
+        w = Window.partitionBy(*self.keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+        return held.withColumns({f"_{c}": F.sum(c).over(w) for c in SUMS}).filter((F.col("_m") >= start) & (F.col("n") != 0))
+
     def record_log(self, log: ReadingLog, user=None, since=None) -> DataFrame:
         """``lists.record_log``; ``since``: from the month of this date on, without a look at earlier records."""
         log = log.for_user(user)
         record = log.record
+        start = 0
         if since is not None:
-            start = F.trunc(F.lit(since).cast("date"), "month")
-            record = record.filter((F.col("r_date") >= start) | F.col("r_date").isNull())
-        g = record.groupBy(*SHELF_KEY, "r_date", "r_page").agg(F.count(F.lit(1)).alias("_n")).withColumn("_m", month_number("r_date"))
-        w = Window.partitionBy(*SHELF_KEY, "_m").orderBy(F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last())
+            since = dt.date.fromisoformat(str(since)[:10])
+            start = since.year * 12 + since.month - 1
+            record = record.filter((F.col("r_date") >= F.lit(since.replace(day=1))) | F.col("r_date").isNull())
+        g = record.groupBy(*SHELF_KEY, "r_date", "r_page").agg(F.count(F.lit(1)).alias("_n"))
+        place = F.struct(*SHELF_KEY, month_number("r_date").alias("_m"))  # NULLs in it equal each other
+        g = g.withColumn("_place", place)
+        w = Window.partitionBy("_place").orderBy(F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last())
         g = g.withColumn("_own", F.sum(F.col("r_page") * F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        earlier = self.before(g.select(*SHELF_KEY, "_m").distinct(), None if user is None else {"user_id": user})
-        earlier = earlier.select(*SHELF_KEY, "_m", F.when(F.col("_n_pages") > 0, F.col("_pages")).alias("_off"))
-        g = _same(g, earlier, [*SHELF_KEY, "_m"], "left")
-        g = g.withColumn("_upto", F.coalesce(F.col("_off") + F.col("_own"), "_off", "_own")).drop("_m", "_off", "_own")
+        earlier = self.totals(start, None if user is None else {"user_id": user})
+        earlier = earlier.select(F.struct(*SHELF_KEY, "_m").alias("_at"), F.when(F.col("_n_pages") > 0, F.col("_pages")).alias("_off"))
+        g = g.join(earlier, g["_place"] == earlier["_at"], "left")
+        g = g.withColumn("_upto", F.coalesce(F.col("_off") + F.col("_own"), "_off", "_own")).drop("_place", "_at", "_off", "_own")
         rows = expanded(g, log.shelf)
         return rows.select("user_id", "b_title", "b_author", date_text("r_date").alias("r_date"), "r_page", "sum_page", "b_page", "b_isbn")
 
     def monthly_cumulative(self) -> DataFrame:
         """``dashboard.monthly_cumulative`` of a tree keyed by reader: its leaves and what comes before them; no record is read."""
-        leaves = self.nodes().filter("level = 0").withColumnRenamed("node", "_m").select(*self.keys, "_m", *SUMS)
-        out = _same(leaves, self.before(leaves.select(*self.keys, "_m")), [*self.keys, "_m"], "left")
+        out = self.totals()
         pages = F.col("pages") + F.coalesce("_pages", F.lit(0))
         some = F.col("n_pages") + F.coalesce("_n_pages", F.lit(0)) > 0
         day = F.when(F.col("_m") != UNDATED, F.make_date(F.expr("_m div 12").cast("int"), F.expr("_m % 12 + 1"), F.lit(1)))

@@ -99,3 +99,21 @@ def test_month_numbers(spark):
     days = [None, dt.date(1, 1, 1), dt.date(9999, 12, 31)]
     got = spark.createDataFrame([(d,) for d in days], "d date").select(month_number("d").alias("m")).collect()
     assert Counter(r.m for r in got) == Counter([UNDATED, 12, 9999 * 12 + 11]) and 9999 * 12 + 11 < UNDATED < 1 << LEVELS
+
+
+def test_keys_of_few_records_have_no_more_nodes_than_records(spark):
+    """A path of LEVELS nodes for each month of a book with few records filled the disk."""
+    book, _ = both(spark)
+    few = [(u, u, dt.date(2020 + u % 3, m, 1), 3) for u in range(20) for m in (1, 4, 7, 10)]
+    book.apply(0, spark.createDataFrame(few, COLUMNS))
+    assert spark.read.parquet(f"{book.root}/nodes/part=0").count() == len(few)
+    for batch in (1, 2, 3):  # a key whose loose months grow many goes up the tree when they are compacted
+        more = [(1, 1, dt.date(1990 + batch, m, 1), 1) for m in range(1, 13)]
+        book.apply(batch, spark.createDataFrame(more, COLUMNS))
+    book.compact()
+    assert {r.level for r in book.nodes({"user_id": 1}).collect()} == set(range(LEVELS))
+    assert {r.level for r in book.nodes({"user_id": 2}).collect()} == {-1}
+    asked = spark.createDataFrame([(1, 1, 2021 * 12 + 1), (2, 2, 2022 * 12 + 5)], "user_id long, b_isbn long, _m int")
+    assert sorted((r.user_id, r._pages, r._n) for r in book.before(asked).collect()) == [(1, 36 + 3, 37), (2, 6, 2)]
+    late = {(r.user_id, r._m): (r._pages, r._n) for r in book.totals(2021 * 12 + 1).collect()}
+    assert late[(1, 2021 * 12 + 3)] == (39, 37) and late[(2, 2022 * 12 + 6)] == (6, 2)
