@@ -80,7 +80,8 @@ class PageTree(Parts):
 
     def merged(self, parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
         dealt = parts["nodes"].repartition(*self.keys)  # a key's nodes are bounded, and all that follows works by key
-        return {"nodes": self._summed(dealt).filter("n <> 0")}
+        # what a month has in the tree and beside it add up: records may cancel out in one of the two, and their pages not
+        return {"nodes": self._summed(dealt).filter("n <> 0 or pages <> 0 or n_pages <> 0")}
 
     def packed(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         w, loose = Window.partitionBy(*self.keys), F.col("level") == LOOSE

@@ -117,3 +117,17 @@ def test_keys_of_few_records_have_no_more_nodes_than_records(spark):
     assert sorted((r.user_id, r._pages, r._n) for r in book.before(asked).collect()) == [(1, 36 + 3, 37), (2, 6, 2)]
     late = {(r.user_id, r._m): (r._pages, r._n) for r in book.totals(2021 * 12 + 1).collect()}
     assert late[(1, 2021 * 12 + 3)] == (39, 37) and late[(2, 2022 * 12 + 6)] == (6, 2)
+
+
+def test_a_delete_beside_the_tree_of_a_record_inside_it(spark):
+    _, reader = both(spark)
+    held = [(1, 1, dt.date(2020, m, d), 30) for m in range(1, 13) for d in (1, 2, 3)]
+    reader.apply(0, spark.createDataFrame(held, COLUMNS))  # many: up the tree
+    reader.apply(1, spark.createDataFrame([(1, 1, dt.date(2020, 5, 9), 10)], COLUMNS))
+    reader.apply(2, gone=spark.createDataFrame([(1, 1, dt.date(2020, 5, 1), 30)], COLUMNS))
+    want = {m: 90 * m - (20 if m >= 5 else 0) for m in range(1, 13)}
+    assert {int(r.dt[4:]): r.page for r in reader.monthly_cumulative().collect()} == want
+    reader.compact()
+    assert {int(r.dt[4:]): r.page for r in reader.monthly_cumulative().collect()} == want
+    asked = spark.createDataFrame([(1, 2020 * 12 + 6)], "user_id long, _m int")
+    assert [(r._pages, r._n) for r in reader.before(asked).collect()] == [(6 * 90 - 20, 18)]
