@@ -25,8 +25,12 @@ def _root(spark: SparkSession, name: str) -> str:
 
 
 def _write(pages: DataFrame, users: DataFrame, root: str, part: int) -> None:
-    out = pages.repartitionByRange("user_id", "rn").sortWithinPartitions("user_id", "rn")
+    spark, work = pages.sparkSession, f"{root}/work/part={part}"
+    pages.write.mode("overwrite").parquet(work)  # the ranges are sampled first: the pages would be made twice
+    out = spark.read.schema(pages.schema).parquet(work).repartitionByRange("user_id", "rn").sortWithinPartitions("user_id", "rn")
     out.write.option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(f"{root}/pages/part={part}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     users.select("user_id").distinct().sort("user_id").write.mode("overwrite").parquet(f"{root}/readers/part={part}")
 
 
