@@ -65,3 +65,16 @@ def test_building_a_frame_runs_no_job(spark):
     lists.record_log(log)
     changes.refresh_dates(log.shelf, log.record, log.reader.select("user_id"))
     assert not tracker.getJobIdsForGroup(group)
+
+
+def test_running_rows_are_exchanged_once(spark):
+    """The rows stand by key and bucket for the window; the join of the totals must not deal them again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+        out = scan.running(df, ["k"], [F.col("id").asc()], [("s", "sum", F.col("id"), True)], [(F.expr("id div 10"), "asc")])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 4  # the rows; the totals by place, by key, and for the join
