@@ -306,3 +306,36 @@ def test_sample_is_bounded_by_bytes(spark):
     finally:
         toxicity.Net.fit = fitted
     assert seen and seen[0] < 60_000 / 2
+
+
+def test_learns_from_rows_beyond_the_start(spark):
+    """Label 1 stands only on rows that the start doesn't hold; the net knows it all the same, and reruns agree."""
+    rows, labels = planted(900)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    all_rows = toxicity.labelled(frame(spark, rows), lab)
+    first = set(toxicity.start(all_rows, all_rows.count(), 60, 1 << 20)[0].column("doc_id").to_pylist())
+    keep = [x for x in labels if x[2] == 0 or x[0] not in first]
+    lab = spark.createDataFrame(keep, "doc_id long, quality int, toxic int")
+    docs = frame(spark, [r for r in rows if r[0] in {x[0] for x in keep}])
+    got = toxicity.toxicity(docs, lab, fit_rows=60).toPandas().merge(pd.DataFrame(keep, columns=["doc_id", "q", "toxic"]), on="doc_id")
+    assert got[got.toxic == 1].score.mean() > got[got.toxic == 0].score.mean()
+    again = toxicity.toxicity(docs, lab, fit_rows=60).toPandas()
+    assert got.sort_values("doc_id").score.tolist() == again.sort_values("doc_id").score.tolist()
+
+
+def test_every_labelled_row_is_learnt_and_counted(spark):
+    rows, labels = planted(300)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    all_rows = toxicity.labelled(frame(spark, rows), lab)
+    assert sorted(r.doc_id for r in all_rows.collect()) == known
+    net = toxicity.Net()
+    counted = toxicity.logits(all_rows, net).to_pandas()
+    assert counted.n.sum() == len(known) and counted.y.sum() == sum(t for i, _, t in labels if i in set(known))
+    before = net.numbers()
+    shards = toxicity.averaged(all_rows, net, 4, 0.3)
+    words = {int(w) >> 32 for r in all_rows.collect() for w in toxicity.unpacked(r.tokens)}
+    moved = (shards[2 : 2 + net.table.size] != before[2 : 2 + net.table.size]).reshape(net.table.shape).any(axis=1)
+    assert moved[sorted(words)].mean() > 0.9 and not moved[-1]
+    text, _ = toxicity.Tokens()("the Word word, été".encode())
+    assert toxicity.unpacked(toxicity.packed(text)).tolist() == text.tolist()
