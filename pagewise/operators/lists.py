@@ -208,8 +208,8 @@ def paged_log(log: ReadingLog, user=None, page_size: int = PAGE_SIZE) -> DataFra
     r = running_pages(log.record, log.shelf)
     # A reader's whole log is one ordering; its buckets are the books last read
     # on one day and, inside, the days.
-    days = [(F.col("b_update_dt"), "desc_nulls_first"), (F.col("r_date"), "desc_nulls_first")]
-    r = scan.row_number(r, ["user_id"], log_order(), days)
+    days = [("b_update_dt", "desc_nulls_first"), ("r_date", "desc_nulls_first")]
+    r = scan.row_number(r, ["user_id"], log_order()[len(days) :], days)
     return r.select(
         "user_id",
         F.col("rn").cast("long").alias("rn"),

@@ -35,17 +35,19 @@ def running(
     keys: Sequence[str],
     order: Sequence[Column],
     aggs: Sequence[tuple[str, str, Column, bool]],
-    buckets: Sequence[tuple[Column, str]],
+    buckets: Sequence[tuple[Column | str, str]],
     after: Sequence[tuple[str, str, Column, bool]] = (),
 ) -> DataFrame:
     """Add running aggregates: each spec is (name, kind, value, include_current).
 
     ``buckets``: (value, direction) pairs that come before ``order`` in the
-    wanted order; direction is a Column method such as ``asc_nulls_last``.
+    wanted order; direction is a Column method such as ``asc_nulls_last``.  A
+    value given by its name is a column that ``order`` needn't name again.
     ``after``: specs whose frame is all rows that follow.
 
     The key and its buckets are one struct, whose NULL fields equal each
-    other: the windows and the join of the totals share one exchange."""
+    other: the windows and the join of the totals share one exchange.  Keys and
+    named buckets are carried in it once, and not beside it as columns too."""
     keys, names = list(keys), [f"_b{i}" for i in range(len(buckets))]
     both = [(spec, False) for spec in aggs] + [(spec, True) for spec in after]
 
@@ -54,8 +56,9 @@ def running(
             return w.rowsBetween(Window.currentRow if inclusive else 1, Window.unboundedFollowing)
         return w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
 
-    place = F.struct(*keys, *[c.alias(n) for n, (c, _) in zip(names, buckets)]).alias("_place")
-    local = df.select("*", place, *[v.alias(f"_v_{n}") for (n, _, v, _), _ in both])
+    place = F.struct(*keys, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, (c, _) in zip(names, buckets)]).alias("_place")
+    inside = {k: f"_place.{k}" for k in keys} | {c: f"_place.{n}" for n, (c, _) in zip(names, buckets) if isinstance(c, str)}
+    local = df.select(*[c for c in df.columns if c not in inside], place, *[v.alias(f"_v_{n}") for (n, _, v, _), _ in both])
     w = Window.partitionBy("_place").orderBy(*order)
     totals = local.groupBy("_place").agg(*[_AGG[kind](f"_v_{n}").alias(f"_t_{n}") for (n, kind, _, _), _ in both])
     line = Window.partitionBy(*[f"_place.{c}" for c in keys]).orderBy(*[getattr(F.col(f"_place.{n}"), how)() for n, (_, how) in zip(names, buckets)])
@@ -67,10 +70,10 @@ def running(
     out = local.withColumns({n: _AGG[kind](f"_v_{n}").over(frame(w, inclusive, follows)) for (n, kind, _, inclusive), follows in both})
     out = out.join(offsets, F.col("_place") == F.col("_at"), "left")
     out = out.withColumns({n: _combine(kind, F.col(f"_o_{n}"), F.col(n)) for (n, kind, _, _), _ in both})
-    return out.select(*df.columns, *[n for (n, *_), _ in both if n not in df.columns])
+    return out.select(*[F.col(inside.get(c, c)).alias(c) for c in df.columns], *[n for (n, *_), _ in both if n not in df.columns])
 
 
-def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[tuple[Column, str]], name: str = "rn") -> DataFrame:
+def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: Sequence[tuple[Column | str, str]], name: str = "rn") -> DataFrame:
     """1-based position of each row inside its key group, by buckets and then ``order``.
 
     Ties in ``order`` are numbered in an arbitrary order, as row_number does."""

@@ -78,3 +78,16 @@ def test_running_rows_are_exchanged_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 4  # the rows; the totals by place, by key, and for the join
+
+
+def test_keys_and_named_buckets_are_carried_once(spark):
+    """The exchanged rows have the key and its bucket in the place, not as columns beside it; NULLs are values."""
+    rows = [(k, b, i) for i, (k, b) in enumerate([(1, 1), (1, None), (None, 2), (None, None), (1, 1), (2, 2), (None, 2)])]
+    df = spark.createDataFrame(rows, "k long, b long, id long")
+    out = scan.row_number(df, ["k"], [F.col("id").asc()], [("b", "asc_nulls_last")])
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.col("b").asc_nulls_last(), "id")).cast("long"))
+    assert out.columns == want.columns and _rows(out, want.columns) == _rows(want, want.columns)
+    plan = out._jdf.queryExecution().executedPlan()
+    window = plan.toString().split("Window [count(1)")[1]
+    rows_of = window.split("Project [")[1].split("\n")[0]  # what is exchanged below the window of the rows
+    assert " AS _place" in rows_of and rows_of.split("struct(")[0].count("#") == 1  # id alone
