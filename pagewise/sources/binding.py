@@ -59,8 +59,10 @@ def reader_from(customer: DataFrame) -> DataFrame:
 
 
 def lines_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """Line items with their order's customer: the one join every binding needs."""
-    o = orders.select("o_orderkey", "o_custkey")
+    """Line items with their order's customer: the one join every binding needs.
+
+    Merged at every size, so an order's lines come out of one partition, and are stored as they come."""
+    o = orders.select("o_orderkey", "o_custkey").hint("merge")
     return lineitem.join(o, lineitem["l_orderkey"] == o["o_orderkey"], "inner").select(
         F.col("o_custkey").alias("user_id"),
         "l_orderkey",
@@ -141,6 +143,11 @@ class StoredLog(ReadingLog):
     record = property(lambda self: self._tables["record"]())
 
 
+def laid_out(df: DataFrame, cluster: tuple[str, ...]) -> DataFrame:
+    """Rows as they are stored: in the partitions they come in, sorted by the clustering key."""
+    return df.sortWithinPartitions(*[c for c in cluster if c in df.columns])
+
+
 _STORED: dict[tuple[str, str, str], dict[str, DataFrame]] = {}
 
 
@@ -149,11 +156,10 @@ def store_once(spark: SparkSession, sf_dir: str, kind: str, build, cluster=("use
     once per application as parquet under the shared state root, and serve
     the stored copies afterwards.
 
-    ``REBALANCE`` by the first column of the clustering key lets Spark size the
-    files by their bytes (and split large ones) instead of a fixed count; each
-    is sorted by that key, so file and row-group min/max statistics prune
-    single-reader filters.  Dealt round-robin, the rows would be sorted once
-    more before the exchange, a whole join partition at a time.
+    The files are the partitions of the join or aggregate that makes the rows,
+    which Spark sizes by their bytes (and splits, where a join is skewed): no
+    row is exchanged once more to be written.  Each is sorted by the clustering
+    key, so the min/max statistics of its pages prune single-reader filters.
     """
     import hashlib
 
@@ -165,8 +171,7 @@ def store_once(spark: SparkSession, sf_dir: str, kind: str, build, cluster=("use
         root = f"{state_root(spark)}/native/{kind}-{tag}"
         out = {}
         for name, df in build(spark, sf_dir).items():
-            order = [c for c in cluster if c in df.columns]
-            df.hint("rebalance", order[0]).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{root}/{name}")
+            laid_out(df, cluster).write.mode("overwrite").parquet(f"{root}/{name}")
             out[name] = spark.read.schema(df.schema).parquet(f"{root}/{name}")
         _STORED[key] = out
     return _STORED[key]

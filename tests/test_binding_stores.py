@@ -5,7 +5,7 @@ import uuid
 
 from pagewise.plans.registry import QUERIES
 from pagewise.session import state_root
-from pagewise.sources.binding import driver_log
+from pagewise.sources.binding import driver_log, laid_out, lines_from, table
 from tests.conftest import SF001
 
 
@@ -32,3 +32,18 @@ def test_records_are_columns_of_the_stored_lines(spark, tmp_path):
     before = stored(spark, "")
     assert log.record.columns == ["user_id", "b_isbn", "r_date", "r_page"]
     assert {x.split("-")[0] for x in stored(spark, "") - before} == {"lines"}
+
+
+def test_lines_are_exchanged_once_at_every_size(spark):
+    def plan():
+        lines = lines_from(table(spark, SF001, "lineitem"), table(spark, SF001, "orders"))
+        return laid_out(lines, ("user_id", "l_orderkey", "l_shipdate"))._jdf.queryExecution().executedPlan().toString()
+
+    small = plan()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if both sides were large
+    try:
+        large = plan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for p in (small, large):  # one exchange of the lines, one of the orders
+        assert "SortMergeJoin" in p and p.count("Exchange") == p.count("Exchange hashpartitioning") == 2
