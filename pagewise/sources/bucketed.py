@@ -29,6 +29,7 @@ from pagewise.session import state_root
 from pagewise.sources.binding import ReadingLog
 
 HOT_ROWS = 1 << 20
+COUNTED = 1 << 16  # hashes of a key under which records are counted first
 
 
 @dataclass(frozen=True)
@@ -48,16 +49,30 @@ def _write(df: DataFrame, path: str, table: str, buckets: int, order: list[str])
     one.write.bucketBy(buckets, *SHELF_KEY).sortBy(*order).mode("overwrite").option("path", path).saveAsTable(table)
 
 
+def _hot_keys(record: DataFrame, hot_rows: int) -> DataFrame | None:
+    """Books with more than ``hot_rows`` records; None if there are none.  Only books whose hash has as many are counted
+    one by one, so the first count exchanges a row per hash."""
+    record = record.filter(F.col("user_id").isNotNull() & F.col("b_isbn").isNotNull()).select(*SHELF_KEY, F.pmod(F.xxhash64(*SHELF_KEY), F.lit(COUNTED)).alias("_h"))
+    many = [r[0] for r in record.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select("_h").collect()]  # at most COUNTED
+    if not many:
+        return None
+    hashes = record.sparkSession.createDataFrame([(h,) for h in many], "_h long")
+    books = record.join(F.broadcast(hashes), "_h", "left_semi").groupBy(*SHELF_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    return books.filter(F.col("_n") > hot_rows).select(*SHELF_KEY)
+
+
 def write(spark: SparkSession, log: ReadingLog, name: str, buckets: int | None = None, hot_rows: int = HOT_ROWS) -> BucketedLog:
     """Store ``log`` under ``name`` and read it back.  ``buckets``: as many as shuffle partitions if not given."""
     root, buckets = _root(spark, name), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     log.reader.write.mode("overwrite").parquet(f"{root}/reader")
     _write(log.shelf, f"{root}/shelf", f"{name}_shelf", buckets, SHELF_KEY)
-    per_book = log.record.groupBy(*SHELF_KEY).agg(F.count(F.lit(1)).alias("_n"))
     unknown = F.col("user_id").isNull() | F.col("b_isbn").isNull()
-    hot_keys = per_book.filter((F.col("_n") > hot_rows) & ~unknown).select(*SHELF_KEY)
-    _write(log.record.filter(~unknown).join(hot_keys, SHELF_KEY, "left_anti"), f"{root}/record", f"{name}_record", buckets, [*SHELF_KEY, "r_date", "r_page"])
-    hot = log.record.filter(unknown).unionByName(log.record.join(hot_keys, SHELF_KEY, "left_semi"))
+    bounded, hot = log.record.filter(~unknown), log.record.filter(unknown)
+    if (hot_keys := _hot_keys(log.record, hot_rows)) is not None:
+        hot_keys.write.mode("overwrite").parquet(f"{root}/hot_keys")
+        hot_keys = spark.read.schema(hot_keys.schema).parquet(f"{root}/hot_keys")
+        bounded, hot = bounded.join(hot_keys, SHELF_KEY, "left_anti"), hot.unionByName(log.record.join(hot_keys, SHELF_KEY, "left_semi"))
+    _write(bounded, f"{root}/record", f"{name}_record", buckets, [*SHELF_KEY, "r_date", "r_page"])
     hot.write.mode("overwrite").parquet(f"{root}/hot")
     about = {"buckets": buckets, "shelf": log.shelf.schema.json(), "record": log.record.schema.json(), "reader": log.reader.schema.json()}
     about["hot"] = bool(spark.read.schema(log.record.schema).parquet(f"{root}/hot").take(1))

@@ -88,3 +88,12 @@ def test_empty_tables(spark):
     none = ReadingLog(log.reader.limit(0), log.shelf.limit(0), log.record.limit(0))
     stored = bucketed.write(spark, none, name(), 2)
     assert all(query(stored).count() == 0 for query in QUERIES)
+
+
+def test_hot_books_are_those_counted_one_by_one(spark, monkeypatch):
+    record = made(spark).record
+    assert bucketed._hot_keys(record, 1000) is None
+    for hashes in (1, 1 << 16):  # all books share a hash
+        monkeypatch.setattr(bucketed, "COUNTED", hashes)
+        assert rows(bucketed._hot_keys(record, 200)) == {(0, 0): 1}
+    assert rows(bucketed._hot_keys(record, 0)) == {(b, u): 1 for u, b in {(r.user_id, r.b_isbn) for r in record.collect()} if None not in (u, b)}
