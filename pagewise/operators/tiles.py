@@ -1,9 +1,11 @@
 """Dashboard tiles from a state that batches of records are merged into.
 
 Sums and counts of two batches add up; counts of distinct days don't, so the
-days stand as exact bitmaps, which are joined by OR.  A batch of appended
-records is reduced to a part: per (reader, book) the pages and records, and
-per reader the bitmap of the days with a record of a book on the shelf.  Tiles
+days stand as exact bitmaps, 64 days to a number, which are joined by OR.  A
+batch of appended records is reduced to a part: per (reader, book) the pages
+and records, and per reader the bitmaps of the days with a record of a book on
+the shelf: numbers, which Spark aggregates by hash, where a bitmap of Spark's
+own has 4 KB for the few days of a reader and is sorted.  Tiles
 merge the parts, whose rows grow with books and readers and not with the
 records; ``compact`` writes the merged parts as one (``parts``).
 
@@ -25,15 +27,16 @@ def reduced(records: DataFrame, shelf: DataFrame) -> dict[str, DataFrame]:
     """The part of a batch: books (reader, book, pages, n), days (reader, bucket, bits)."""
     books = records.groupBy(*SHELF_KEY).agg(F.sum("r_page").alias("pages"), F.count(F.lit(1)).alias("n"))
     on_shelf = records.filter(F.col("r_date").isNotNull()).join(shelf.select(*SHELF_KEY), SHELF_KEY, "left_semi")
-    day = on_shelf.select("user_id", F.unix_date("r_date").cast("long").alias("day")).distinct()  # a reader's days are few
-    days = day.groupBy("user_id", F.bitmap_bucket_number("day").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("day")).alias("bits"))
+    day = F.unix_date("r_date")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(64)))
+    days = on_shelf.groupBy("user_id", F.floor(day / 64).cast("int").alias("bucket")).agg(F.bit_or(bit).alias("bits"))
     return {"books": books, "days": days}
 
 
 def merged(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """One row per key of parts that were put below one another."""
     books = parts["books"].groupBy(*SHELF_KEY).agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
-    return {"books": books, "days": parts["days"].groupBy("user_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))}
+    return {"books": books, "days": parts["days"].groupBy("user_id", "bucket").agg(F.bit_or("bits").alias("bits"))}
 
 
 class TileState(Parts):
@@ -54,7 +57,7 @@ class TileState(Parts):
         n = state["books"].groupBy("user_id").agg(F.sum("n").alias("totalrow"))
         own = state["books"].join(shelf.select(*SHELF_KEY), SHELF_KEY, "left_semi")
         own = own.groupBy("user_id").agg(F.sum("pages").alias("yrpage"), F.count("b_isbn").alias("yrbook"))
-        days = state["days"].groupBy("user_id").agg(F.sum(F.bitmap_count("bits")).alias("yrdt"))
+        days = state["days"].groupBy("user_id").agg(F.sum(F.bit_count("bits").cast("long")).alias("yrdt"))
         out = reader.select("user_id")
         for t in (own, days, n):
             out = out.join(t, "user_id", "left")

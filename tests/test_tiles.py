@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewise.operators import dashboard, lists, progress
-from pagewise.operators.tiles import TileState
+from pagewise.operators.tiles import TileState, merged, reduced
 from pagewise.sources import catalog, sql_functions
 from pagewise.sources.binding import ReadingLog, driver_log
 from tests.conftest import SF001
@@ -90,3 +90,15 @@ def test_payloads_of_broken_shape(spark):
     got = Counter((r.payload, r.place, r.reason) for r in bad.collect())
     last = texts[9]
     assert got == Counter([(texts[1], None, "not json"), ("", None, "not json"), (None, None, "not json"), *((t, None, "no items") for t in texts[3:7] + texts[8:9]), *((last, i, "no item") for i in (0, 2, 3, 4))])
+
+
+def test_days_are_aggregated_by_hash(spark):
+    log = made(spark)
+    rest = [f"{d}" for d in (-65, -64, -1, 0, 62, 63, 64, 127, 128, 20000)]  # both ends of a number's bits
+    record = spark.createDataFrame([(u, 1, int(d), 1) for u in range(3) for d in rest[u:]] * 2, "user_id long, b_isbn long, d int, r_page long")
+    record = record.select("user_id", "b_isbn", F.date_from_unix_date("d").alias("r_date"), "r_page")
+    part = reduced(record, log.shelf)
+    for days in (part["days"], merged(part)["days"]):
+        plan = days._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+        assert rows(days.groupBy("user_id").agg(F.sum(F.bit_count("bits")).alias("n"))) == Counter([(10, 0), (9, 1), (8, 2)])
