@@ -6,6 +6,10 @@ term, and for blocks of about ``BLOCK_DOCS`` documents the largest weight of
 each term.  Postings lie sorted by term and block, in ranges that Spark samples
 by both, so a very common term is many files.
 
+A text's postings are made where the text is read: only texts whose id comes
+again are exchanged word by word.  A posting carries its document's length, so
+no lengths are joined to them.
+
 ``search`` first adds up, per block, the largest weights of the query's terms:
 no document of the block can score more.  The documents of the most promising
 blocks give a k-th best score, and only blocks whose bound reaches it are read.
@@ -21,7 +25,10 @@ query without a known term has no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +38,7 @@ K1, B = 1.2, 0.75
 BLOCK_DOCS = 128
 FEW_BLOCKS = 1000  # whose numbers go into the scan's filter; more are joined
 TERM = r"\p{L}+"
+BATCH_WORDS = 1 << 20  # words that are sorted at once, or one text
 TABLES = ("postings", "terms", "blocks", "stats")
 
 
@@ -38,6 +46,63 @@ def terms_of(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+FOUND = "term string, doc_id {}, tf long, positions array<int>, length long, first boolean"
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces that begin within the same ``BATCH_WORDS`` words."""
+    piece = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)) // BATCH_WORDS
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(piece)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of texts of an id of their own (doc_id, terms), some texts at a time."""
+    for batch in (part for b in batches for part in _cut(b)):
+        ids, lists = batch.column("doc_id"), batch.column("terms")
+        words, size = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        if not len(words):
+            continue
+        doc = np.repeat(np.arange(len(size)), size)
+        code, place = words.indices.to_numpy(), (np.arange(len(words)) - (np.cumsum(size) - size)[doc]).astype(np.int32)
+        key = doc * len(words.dictionary) + code
+        order = np.argsort(key, kind="stable")  # places stay in order
+        start = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+        ends, at = np.r_[start, len(order)].astype(np.int32), order[start]
+        out = {
+            "term": words.dictionary.take(pa.array(code[at])),
+            "doc_id": ids.take(pa.array(doc[at])),
+            "tf": pa.array(np.diff(ends).astype(np.int64)),
+            "positions": pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order])),
+            "length": pa.array(size[doc[at]].astype(np.int64)),
+            "first": pa.array(place[at] == 0),
+        }
+        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """The postings of texts that share an id, which are one document."""
+    words = docs.select("doc_id", F.posexplode(terms_of("text")).alias("pos", "term"))
+    found = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))  # places of a term in a text
+    own = words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("length"), F.min("term").alias("_least"))
+    return found.join(own, "doc_id").select("term", "doc_id", "tf", "positions", "length", (F.col("term") == F.col("_least")).alias("first"))
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """term, doc_id, tf, positions, the document's length, and whether this is the first of its postings."""
+    docs = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    schema = FOUND.format(docs.schema["doc_id"].dataType.simpleString())
+
+    def made(once: DataFrame) -> DataFrame:
+        return once.select("doc_id", terms_of("text").alias("terms")).mapInArrow(_postings, schema)
+
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    if not again.take(1):
+        return made(docs)
+    return made(docs.join(again, "doc_id", "left_anti")).unionByName(_repeated(docs.join(again, "doc_id", "left_semi")))
+
+
 def build(spark: SparkSession, docs: DataFrame, name: str, block_docs: int = BLOCK_DOCS) -> dict[str, DataFrame]:
     """Store the index of ``docs`` (doc_id, text) under ``name``."""
     root = f"{state_root(spark)}/relevance/{name}"
@@ -46,18 +111,17 @@ def build(spark: SparkSession, docs: DataFrame, name: str, block_docs: int = BLO
         df.write.mode("overwrite").parquet(f"{root}/{table}")
         return spark.read.parquet(f"{root}/{table}")
 
-    words = docs.filter("doc_id is not null").select("doc_id", F.posexplode(terms_of("text")).alias("pos", "term"))
-    found = kept("found", words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))  # places of a term in a text
-    lengths = kept("lengths", found.groupBy("doc_id").agg(F.sum("tf").alias("length")))
-    stats = kept("stats", lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean")))
+    found = kept("found", _found(docs))
+    length = F.when(F.col("first"), F.col("length"))
+    stats = kept("stats", found.agg(F.count(length).alias("docs"), F.avg(length).alias("mean")))
     n, mean = stats.first()
     kept("terms", found.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // block_docs)))).cast("int")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean or 1.0))
     weight = F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)
-    rows = found.join(lengths, "doc_id").select("term", block.alias("block"), "doc_id", "tf", weight.alias("weight"), "positions")
+    rows = found.select("term", block.alias("block"), "doc_id", "tf", weight.alias("weight"), "positions")
     postings = kept("postings", rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block", "doc_id"))
-    kept("blocks", postings.groupBy("term", "block").agg(F.max("weight").alias("most")).repartitionByRange("term").sortWithinPartitions("term"))
+    kept("blocks", postings.groupBy("term", "block").agg(F.max("weight").alias("most")).sortWithinPartitions("term"))
     return read(spark, name)
 
 

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,38 @@ def test_pages_of_changed_readers(spark):
     want = lists.paged_log(changed)
     for u in users:
         assert rows(pages.page(spark, name, u, 1)) == rows(want.filter((F.col("user_id") == u) & (F.col("page_no") == 1)))
+
+
+def test_postings_are_made_where_texts_are_read(spark):
+    data = [r for r in made(5, 60) if r != (1, "ax ax")]
+    once = relevance._found(spark.createDataFrame(data, "doc_id long, text string"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    for docs in (data, data + [(1, "ax ax"), (3, None), (5, "by ax by"), (5, "")]):
+        texts, want = {}, Counter()
+        for i, t in docs:
+            if i is not None and t is not None:
+                texts.setdefault(i, []).append(re.findall(r"[^\W\d_]+", t.lower()))
+        for i, rows_of in texts.items():
+            for term in {w for r in rows_of for w in r}:
+                at = sorted(p for r in rows_of for p, w in enumerate(r) if w == term)
+                want[(term, i, len(at), tuple(at), sum(map(len, rows_of)))] += 1
+        got = relevance._found(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert Counter((r.term, r.doc_id, r.tf, tuple(r.positions), r.length) for r in got) == want
+        assert Counter(r.doc_id for r in got if r["first"]) == Counter({i for _, i, *_ in want})
+
+
+def test_postings_of_pieces_of_a_batch(monkeypatch):
+    texts = [["a", "b", "a"], [], ["b"], ["c"] * 50, ["a", "c"]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "terms": pa.array(texts, pa.list_(pa.string()))})
+    for words in (1, 4, 1 << 20):
+        monkeypatch.setattr(relevance, "BATCH_WORDS", words)
+        got = [r for b in relevance._postings([batch.slice(0, 0), batch]) for r in b.to_pylist()]
+        assert {(r["doc_id"], r["term"]): r["positions"] for r in got} == {(i, t): [p for p, w in enumerate(x) if w == t] for i, x in enumerate(texts) for t in x}
+        assert all(r["tf"] == len(r["positions"]) and r["length"] == len(texts[r["doc_id"]]) and r["first"] == (r["positions"][0] == 0) for r in got)
+        assert len(got) == 6
+
+
+def test_a_block_has_its_largest_weight_once(spark, index):
+    _, found = index
+    want = found["postings"].groupBy("term", "block").agg(F.max("weight").alias("most"))
+    assert rows(found["blocks"]) == rows(want)
