@@ -202,14 +202,36 @@ def log_order() -> list[Column]:
     ]
 
 
+def _numbered(record: DataFrame, shelf: DataFrame) -> DataFrame:
+    """Records of readers that one task can hold, with their books, running totals and numbers.
+
+    Records and books are exchanged once, by reader, as one table: a join of both would deal them again, by book."""
+    known = F.col("user_id").isNotNull() & F.col("b_isbn").isNotNull()
+    book = F.struct("b_title", "b_update_dt").alias("_book")
+    rows = record.filter(known).select(*SHELF_KEY, "r_date", "r_page", F.lit(None).cast(shelf.select(book).schema["_book"].dataType).alias("_book"))
+    none = [F.lit(None).cast(record.schema[c].dataType).alias(c) for c in ("r_date", "r_page")]
+    rows = rows.unionByName(shelf.filter(known).select(*SHELF_KEY, *none, book)).repartition("user_id")
+    days = [F.col("r_date").asc_nulls_last(), F.col("r_page").asc_nulls_last()]
+    w = Window.partitionBy(*SHELF_KEY).orderBy(*days)
+    books = F.collect_list("_book").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumns({"sum_page": F.sum("r_page").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_books": books})
+    rows = rows.filter(F.col("_book").isNull()).select(*SHELF_KEY, "r_date", "r_page", "sum_page", F.inline("_books"))
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(*log_order())))
+
+
 def paged_log(log: ReadingLog, user=None, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Record log with its row number and page number (pages of ``page_size``)."""
+    """Record log with its row number and page number (pages of ``page_size``).
+
+    A reader's whole log is one ordering.  Where one task can hold it, it is numbered whole (``_numbered``); the log of a
+    crowded reader is dealt to buckets."""
     log = log.for_user(user)
-    r = running_pages(log.record, log.shelf)
-    # A reader's whole log is one ordering; its buckets are the books last read
-    # on one day and, inside, the days.
+    many = scan.crowded(scan.crowded_slots([log.record, log.shelf]).scalar())
+    record, shelf = log.record, log.shelf
+    # the buckets of a crowded reader are the books last read on one day and, inside, the days
     days = [("b_update_dt", "desc_nulls_first"), ("r_date", "desc_nulls_first")]
-    r = scan.row_number(r, ["user_id"], log_order()[len(days) :], days)
+    dealt = scan.row_number(running_pages(record.filter(many), shelf.filter(many)), ["user_id"], log_order()[len(days) :], days)
+    columns = ["user_id", "rn", "b_title", "r_date", "r_page", "sum_page", "b_isbn"]
+    r = _numbered(record.filter(~many), shelf.filter(~many)).select(*columns).unionByName(dealt.select(*columns))
     return r.select(
         "user_id",
         F.col("rn").cast("long").alias("rn"),

@@ -12,18 +12,43 @@ Supported: ``sum`` (over non-NULL inputs), ``min``, ``max`` and ``count``; a
 frame is "all preceding rows" with or without the current row.  A suffix
 aggregate is a prefix over the reversed order.  NULL keys and NULL buckets are
 values like any other.
+
+Buckets cost three more exchanges, of the buckets' totals.  Readers that one
+task can hold don't need them: ``crowded`` tells the others by a count under
+hashes of their ids, and it too runs no job when a frame is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+COUNTED = 1 << 16  # hashes of a reader's id under which rows are counted
+CROWDED = 1 << 20  # rows of one hash that one task works on at most
+
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(COUNTED)).cast("int")
+
+
+def crowded_slots(tables: Sequence[DataFrame]) -> DataFrame:
+    """One row, ``slots``: the hashes under which ``tables`` have more than ``CROWDED`` rows together, an array of at most
+    ``COUNTED`` numbers."""
+    rows = reduce(DataFrame.union, [t.select(_slot().alias("slot")) for t in tables])
+    many = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED)
+    return many.agg(F.collect_list("slot").alias("slots"))
+
+
+def crowded(slots: Column) -> Column:
+    """Whether a row's reader falls under one of ``slots``; never NULL."""
+    return F.array_contains(slots, _slot())
+
+
 def _combine(kind: str, off: Column, local: Column) -> Column:
     if kind in ("sum", "count"):
         return F.when(off.isNull(), local).when(local.isNull(), off).otherwise(off + local)

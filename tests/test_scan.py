@@ -1,6 +1,7 @@
 """The bucketed running aggregates equal the plain window, on a skewed key and on NULL keys."""
 
 import random
+import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -91,3 +92,29 @@ def test_keys_and_named_buckets_are_carried_once(spark):
     window = plan.toString().split("Window [count(1)")[1]
     rows_of = window.split("Project [")[1].split("\n")[0]  # what is exchanged below the window of the rows
     assert " AS _place" in rows_of and rows_of.split("struct(")[0].count("#") == 1  # id alone
+
+
+def test_a_log_that_fits_is_exchanged_once(spark, monkeypatch):
+    """Pages of readers that one task can hold come from one exchange of records and books; those of dealt readers are the same."""
+    from pagewise.operators import lists
+    from tests.fixture import micro_log
+
+    base = micro_log(spark)
+    path = tempfile.mkdtemp(prefix="pagewise-log-")
+    twice = base.record.unionByName(base.record.filter("b_isbn = 3")).unionByName(spark.createDataFrame([(None, 1, None, 3), (1, None, None, 4)], base.record.schema))
+    for name, df in (("shelf", base.shelf.unionByName(base.shelf.filter("b_isbn = 4"))), ("record", twice)):
+        df.write.parquet(f"{path}/{name}")
+    log = type(base)(base.reader, *(spark.read.parquet(f"{path}/{t}") for t in ("shelf", "record")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = lists.paged_log(log)
+        got = sorted(map(tuple, whole.collect()), key=repr)
+        final = whole._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        dealt = [x for x in final.split("\n") if "Exchange hashpartitioning(" in x and "(slot" not in x]  # slots: the count of rows by reader
+        assert len(dealt) == 1 and "hashpartitioning(user_id" in dealt[0] and ", b_isbn" not in dealt[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for rows in (0, 3):  # all readers dealt to buckets, or some
+        monkeypatch.setattr(scan, "CROWDED", rows)
+        assert _rows(lists.paged_log(log), whole.columns) == got
